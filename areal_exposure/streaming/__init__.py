@@ -1,0 +1 @@
+"""Intentionally empty: the workload is yearly batch files, it defines no streaming operator."""
