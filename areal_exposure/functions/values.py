@@ -48,14 +48,22 @@ def number(c: Column | str) -> Column:
 
 
 def month_day_year(c: Column | str) -> Column:
-    """Month-day-year text to date, one- or two-digit month and day, any of ``/ - . space`` between."""
-    return F.try_to_date(F.translate(F.trim(_col(c)), "-. ", "///"), "M/d/yyyy")
+    """Month-day-year text to date, one- or two-digit month and day, any of ``/ - . space`` between.
+
+    Slashes are tried first; only text that is not read that way pays for the clean-up.
+    """
+    c = _col(c)
+    return F.coalesce(
+        F.try_to_date(c, "M/d/yyyy"), F.try_to_date(F.translate(F.trim(c), "-. ", "///"), "M/d/yyyy")
+    )
 
 
 def water_year(date: Column | str) -> Column:
-    """Year that begins on 1 October of the year before."""
-    date = _col(date)
-    return F.year(date) + (F.month(date) >= 10).cast("int")
+    """Year that begins on 1 October of the year before: the calendar year three months on.
+
+    ``date`` appears once, so that a filter on it parses a text date once per row.
+    """
+    return F.year(F.add_months(_col(date), 3))
 
 
 def first_year(text: Column | str) -> Column:

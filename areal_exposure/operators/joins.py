@@ -29,14 +29,6 @@ def natural_full(left: DataFrame, right: DataFrame) -> DataFrame:
     return null_safe(left, right, [c for c in left.columns if c in right.columns], "full")
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str], name: str, parts: int, min_rows: int) -> DataFrame:
-    """Keys that hold more than 1/parts of the rows (at most ``parts`` of them), with a number of splits."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    share = F.greatest(F.lit(min_rows).cast("double"), total / parts)
-    return counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias(name))
-
-
 def split_hot(
     left: DataFrame,
     right: DataFrame,
@@ -56,19 +48,27 @@ def split_hot(
 
     At most ``parts`` keys per side can be hot, which bounds the broadcast table by ``2 * parts`` rows.
     """
-    hot = null_safe(
-        _hot_keys(left, keys, "_a", parts, min_rows), _hot_keys(right, keys, "_b", parts, min_rows), keys, "full"
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    counts = sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    totals = counts.agg(F.struct(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))).scalar()
+
+    def blocks(side: str) -> Column:
+        share = F.greatest(F.lit(float(min_rows)), F.col("_total")[side] / parts)
+        return F.greatest(F.ceil(F.col(side) / share), F.lit(1)).cast("int")
+
+    hot = (
+        counts.withColumn("_total", totals)
+        .select(*keys, blocks("_l").alias("_a"), blocks("_r").alias("_b"))
+        .where((F.col("_a") > 1) | (F.col("_b") > 1))
     )
 
     def with_blocks(df: DataFrame, own: str, other: str, spread: Sequence[Column | str]) -> DataFrame:
         marked = null_safe(df, F.broadcast(hot), keys, "left")
-        n_own, n_other = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
-        return marked.withColumns(
-            {
-                f"_block{own}": F.pmod(F.xxhash64(*spread), n_own).cast("int"),
-                f"_block{other}": F.explode(F.sequence(F.lit(0), n_other - 1)),
-            }
-        ).drop("_a", "_b")
+        block = F.pmod(F.xxhash64(*spread), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return marked.select(*df.columns, block.alias(f"_block{own}"), copies.alias(f"_block{other}"))
 
     return (
         with_blocks(left, "_a", "_b", spread_left),

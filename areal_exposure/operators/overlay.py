@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure.functions import geometry as G
-from areal_exposure.operators.joins import null_safe, split_hot
+from areal_exposure.operators.joins import split_hot
 
 _CELL = ("_lx", "_ly", "_gx", "_gy")
 _FINEST = -10  # smaller shapes share the grid of 4**-10 units, which keeps cell numbers within 64 bits
 
 
-def _level(extent: Column) -> Column:
-    return F.greatest(F.ceil(F.log2(extent) / 2), F.lit(_FINEST)).cast("int")
+def _level(lo: Column, hi: Column) -> Column:
+    """Exponent of the cell size; a shape without extent gets the finest one (it is listed in no cell)."""
+    extent = F.when(hi > lo, hi - lo)
+    return F.coalesce(F.greatest(F.ceil(F.log2(extent) / 2), F.lit(_FINEST)), F.lit(_FINEST)).cast("int")
 
 
 def _size(level: Column) -> Column:
@@ -29,27 +31,30 @@ def _size(level: Column) -> Column:
 
 
 def _boxed(layer: DataFrame, geom: str, side: str) -> DataFrame:
-    """Add the bounding box and grid level; polygons without extent cannot share area and are left out."""
+    """Add the bounding box and its grid level in x and y."""
     b = F.col(f"_{side}")
-    w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
-    return (
-        layer.withColumn(f"_{side}", G.box(F.col(geom)))
-        .where((w > 0) & (h > 0))
-        .withColumn(f"_{side}_level", F.struct(_level(w).alias("x"), _level(h).alias("y")))
-    )
+    boxed = layer.withColumn(f"_{side}", G.box(F.col(geom)))
+    return boxed.withColumns({f"_{side}_lx": _level(b["x0"], b["x1"]), f"_{side}_ly": _level(b["y0"], b["y1"])})
 
 
 def _levels(boxed: DataFrame, side: str) -> Column:
     """All grid levels of a layer as one array. There are a few dozen at most: sizes by powers of four."""
-    return boxed.agg(F.sort_array(F.collect_set(f"_{side}_level"))).scalar()
+    pair = F.struct(F.col(f"_{side}_lx").alias("x"), F.col(f"_{side}_ly").alias("y"))
+    return boxed.agg(F.sort_array(F.collect_set(pair))).scalar()
 
 
 def _in_cells(boxed: DataFrame, side: str, other_levels: Column) -> DataFrame:
-    b, own = F.col(f"_{side}"), F.col(f"_{side}_level")
+    """One row per cell the box touches, on its own grid or the other layer's coarser ones.
+
+    Polygons without extent cannot share area and are listed nowhere.
+    """
+    b = F.col(f"_{side}")
     grids = F.array_distinct(
         F.transform(
             F.col("_other"),
-            lambda o: F.struct(F.greatest(own["x"], o["x"]).alias("x"), F.greatest(own["y"], o["y"]).alias("y")),
+            lambda o: F.struct(
+                F.greatest(F.col(f"_{side}_lx"), o["x"]).alias("x"), F.greatest(F.col(f"_{side}_ly"), o["y"]).alias("y")
+            ),
         )
     )
 
@@ -66,8 +71,11 @@ def _in_cells(boxed: DataFrame, side: str, other_levels: Column) -> DataFrame:
         )
         return F.flatten(columns)
 
-    listed = boxed.withColumn("_other", other_levels).withColumn("_cell", F.explode(F.flatten(F.transform(grids, cells))))
-    return listed.select(*boxed.columns, *[F.col("_cell")[c].alias(c) for c in _CELL])
+    has_area = (b["x0"] < b["x1"]) & (b["y0"] < b["y1"])
+    listed = boxed.withColumn("_other", other_levels).select(
+        *boxed.columns, F.explode(F.when(has_area, F.flatten(F.transform(grids, cells)))).alias("_cell")
+    )
+    return listed.select(*boxed.columns, "_cell.*")
 
 
 def meeting_pairs(
@@ -79,26 +87,44 @@ def meeting_pairs(
     parts: int = 64,
     min_rows: int = 200_000,
 ) -> DataFrame:
-    """Pairs whose bounding boxes share area, each once, with all columns of both layers.
+    """Pairs whose bounding boxes share area, each once, with all columns of both layers and ``_common``.
 
-    Apart from ``on`` the layers must not share column names. Cells that hold a large part of a layer are
-    split over tasks (see :func:`~areal_exposure.operators.joins.split_hot`).
+    ``_common`` is the area of the common box. Apart from ``on`` the layers must not share column names.
+    Cells that hold a large part of a layer are split over tasks (see
+    :func:`~areal_exposure.operators.joins.split_hot`).
     """
     lb, rb = _boxed(left, left_geom, "l"), _boxed(right, right_geom, "r")
     lc, rc = _in_cells(lb, "l", _levels(rb, "r")), _in_cells(rb, "r", _levels(lb, "l"))
-    names = lambda df, geom: [c for c in df.columns if c != geom]
+
+    def told_apart_by(df: DataFrame, geom: str, side: str) -> list[str]:
+        return [c for c in df.columns if c != geom] + [f"_{side}"]
+
     l2, r2, keys = split_hot(
-        lc, rc, [*on, *_CELL], names(left, left_geom) + ["_l"], names(right, right_geom) + ["_r"], parts, min_rows
+        lc, rc, [*on, *_CELL], told_apart_by(left, left_geom, "l"), told_apart_by(right, right_geom, "r"), parts, min_rows
     )
-    l_box, r_box, l_level, r_level = (F.col(c) for c in ("_l", "_r", "_l_level", "_r_level"))
-    x, y = F.greatest(l_box["x0"], r_box["x0"]), F.greatest(l_box["y0"], r_box["y0"])
-    return (
-        null_safe(l2, r2, keys)
-        .where((x < F.least(l_box["x1"], r_box["x1"])) & (y < F.least(l_box["y1"], r_box["y1"])))
-        .where((F.greatest(l_level["x"], r_level["x"]) == F.col("_lx")) & (F.greatest(l_level["y"], r_level["y"]) == F.col("_ly")))
-        .where((F.floor(x / _size(F.col("_lx"))) == F.col("_gx")) & (F.floor(y / _size(F.col("_ly"))) == F.col("_gy")))
-        .select(*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on])
+    lbox, rbox = F.col("_l"), F.col("_r")
+    x0, y0 = F.greatest(lbox["x0"], rbox["x0"]), F.greatest(lbox["y0"], rbox["y0"])
+    x1, y1 = F.least(lbox["x1"], rbox["x1"]), F.least(lbox["y1"], rbox["y1"])
+    once = (
+        (x0 < x1)
+        & (y0 < y1)
+        & (F.greatest("_l_lx", "_r_lx") == F.col("_lx"))
+        & (F.greatest("_l_ly", "_r_ly") == F.col("_ly"))
+        & (F.floor(x0 / _size(F.col("_lx"))) == F.col("_gx"))
+        & (F.floor(y0 / _size(F.col("_ly"))) == F.col("_gy"))
     )
+    columns = [c for df in (left, right) for c in df.columns if c not in on]
+    return l2.join(r2, keys).where(once).select(*on, *columns, ((x1 - x0) * (y1 - y0)).alias("_common"))
+
+
+def _computed_once(value: Column, area: str | None) -> Column:
+    """Generator of one row with ``value`` where its area counts, none where it does not.
+
+    An area below 1e-12 of the common box is the rounding noise of touching borders. A plain filter would be
+    pushed into the join and compute the value there a second time.
+    """
+    floor = F.col("_common") * 1e-12
+    return F.explode(F.filter(F.array(value), lambda v: (v if area is None else v[area]) > floor))
 
 
 def overlap_join(
@@ -107,21 +133,17 @@ def overlap_join(
     left_geom: str = "geom",
     right_geom: str = "other_geom",
     on: Sequence[str] = (),
-    keep_geometry: bool = False,
     **skew: int,
 ) -> DataFrame:
     """Pairs of polygons that share area, with ``area_intersect`` in squared units of the layers.
 
-    Touching borders do not count: an overlap below 1e-12 of the smaller polygon is rounding noise.
+    Polygons travel as vertices; their edges are worked out where the pair meets.
     """
-    l_edges, r_edges = left.withColumn("_le", G.edges(F.col(left_geom))), right.withColumn("_re", G.edges(F.col(right_geom)))
-    l_edges = l_edges.withColumn("_la", G.area(F.col(left_geom)))
-    r_edges = r_edges.withColumn("_ra", G.area(F.col(right_geom)))
-    pairs = meeting_pairs(l_edges, r_edges, left_geom, right_geom, on, **skew)
-    measured = pairs.withColumn("area_intersect", G.overlap_area(F.col("_le"), F.col("_re")))
-    shared = measured.where(F.col("area_intersect") > F.least("_la", "_ra") * 1e-12)
-    drop = ["_le", "_re", "_la", "_ra"] + ([] if keep_geometry else [left_geom, right_geom])
-    return shared.drop(*drop)
+    pairs = meeting_pairs(left, right, left_geom, right_geom, on, **skew)
+    edged = pairs.withColumns({"_le": G.edges(F.col(left_geom)), "_re": G.edges(F.col(right_geom))})
+    area = _computed_once(G.overlap_area(F.col("_le"), F.col("_re")), None)
+    kept = [c for c in pairs.columns if c not in ("_common", left_geom, right_geom)]
+    return edged.select(*kept, area.alias("area_intersect"))
 
 
 def overlap_pieces(
@@ -134,6 +156,11 @@ def overlap_pieces(
     **skew: int,
 ) -> DataFrame:
     """Like :func:`overlap_join`, with the common piece as a polygon for further overlay."""
-    joined = overlap_join(left, right, left_geom, right_geom, on, keep_geometry=True, **skew)
-    cut = joined.withColumn("_piece", G.clip(F.col(left_geom), F.col(right_geom)))
-    return cut.drop(left_geom, right_geom).withColumnRenamed("_piece", piece)
+    marked = right.withColumn("_convex", G.is_convex(F.col(right_geom)))
+    pairs = meeting_pairs(left, marked, left_geom, right_geom, on, **skew)
+    cut = pairs.withColumn("_piece", G.clip(F.col(left_geom), F.col(right_geom), F.col("_convex")))
+    measured = _computed_once(F.struct(F.col("_piece").alias("g"), G.area(F.col("_piece")).alias("a")), "a")
+    kept = [c for c in pairs.columns if c not in ("_common", "_convex", left_geom, right_geom)]
+    return cut.select(*kept, measured.alias("_cut")).select(
+        *kept, F.col("_cut.g").alias(piece), F.col("_cut.a").alias("area_intersect")
+    )

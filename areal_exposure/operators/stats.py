@@ -49,10 +49,12 @@ def exact_quantiles(
     by = list(by)
     hint = F.broadcast if few_groups else (lambda d: d)
     v = F.col("_v")
-    x = df.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
+    # Nulls are counted as nothing instead of filtered: a filter would move down to the scan and compute the
+    # value there a second time.
+    x = df.select(*by, F.col(value).cast("double").alias("_v"))
     x = x.withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * _COARSE_PER_LOG))
 
-    coarse = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    coarse = x.groupBy(*by, "_b").agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     coarse = coarse.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
     positions = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in positions])))

@@ -40,7 +40,7 @@ def by_year(records: DataFrame, by: Sequence[str], years: tuple[int, int], prefi
         here = F.col("year") == y
         return F.when(F.count_if(here) > 0, V.sum_or_zero(F.when(here, F.col("lbs_chm_used")))).alias(f"{prefix}{y}")
 
-    return records.where(F.col("year").between(*years)).groupBy(*by).agg(*[pounds(y) for y in span])
+    return records.where(F.col("year").isin(*span)).groupBy(*by).agg(*[pounds(y) for y in span])
 
 
 def state_year(records: DataFrame, years: tuple[int, int] = K.STUDY_YEARS, prefix: str = "y") -> DataFrame:

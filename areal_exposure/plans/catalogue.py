@@ -49,7 +49,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Callable[[Views], Da
         name = build.__name__
         _QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
         if sql:
-            _SQL[name] = over(sql, *views)
+            _SQL[name] = over(sql, *views) if views else sql
         return build
 
     return register
