@@ -8,6 +8,7 @@ holes and multi-part shapes need no special case. Coordinates are planar; projec
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 
@@ -149,27 +155,22 @@ def overlap_area(edges_a: Column, edges_b: Column) -> Column:
 def _clip_by_line(ring: Column, a: Column, b: Column) -> Column:
     """Part of a ring on the left of the line from a to b (one step of Sutherland and Hodgman 1974)."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    side = F.transform(ring, lambda p: dx * (p["y"] - a["y"]) - dy * (p["x"] - a["x"]))
     none = F.array().cast("array<struct<x:double,y:double>>")
-    sided = F.zip_with(ring, side, lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("side")))
-    paired = F.zip_with(
-        sided,
-        F.concat(F.slice(sided, F.lit(2), F.size(sided)), F.slice(sided, 1, 1)),
-        lambda p, q: F.struct(p.alias("p"), q.alias("q")),
-    )
 
-    def step(pair: Column) -> Column:
-        p, q = pair["p"], pair["q"]
+    def step(p: Column, q: Column) -> Column:
         t = p["side"] / (p["side"] - q["side"])
         here, cut = point(p["x"], p["y"]), point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
         p_in, q_in = p["side"] >= 0, q["side"] >= 0
         return F.when(p_in & q_in, F.array(here)).when(p_in, F.array(here, cut)).when(q_in, F.array(cut)).otherwise(none)
 
+    def cut_ring(side: Column) -> Column:
+        sided = F.zip_with(ring, side, lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("side")))
+        return _let(sided, lambda z: F.flatten(F.transform(z, lambda p, i: step(p, _next(z, i)))))
+
     # Most lines leave most rings alone: those are passed on or dropped after a single look.
-    return (
-        F.when(F.array_min(side) >= 0, ring)
-        .when(F.array_max(side) < 0, none)
-        .otherwise(F.flatten(F.transform(paired, step)))
+    return _let(
+        F.transform(ring, lambda p: dx * (p["y"] - a["y"]) - dy * (p["x"] - a["x"])),
+        lambda side: F.when(F.array_min(side) >= 0, ring).when(F.array_max(side) < 0, none).otherwise(cut_ring(side)),
     )
 
 
@@ -254,22 +255,23 @@ def buffer(geom: Column, radius: Column, directions: int = 64) -> Column:
     """
     step = 2 * math.pi / directions
     # cos and sin of right angles are made exact, so that 4 directions give a clean rectangle.
-    rays = F.array(
-        *[F.struct(F.lit(round(math.cos(k * step), 15)).alias("c"), F.lit(round(math.sin(k * step), 15)).alias("s")) for k in range(directions)]
-    )
-    pts = F.flatten(geom)
-    lines = F.transform(
-        rays,
-        lambda u: F.struct(
-            u["c"].alias("c"),
-            u["s"].alias("s"),
-            (F.array_max(F.transform(pts, lambda p: p["x"] * u["c"] + p["y"] * u["s"])) + radius).alias("h"),
+    unit = [(round(math.cos(k * step), 15), round(math.sin(k * step), 15)) for k in range(directions)]
+    rays = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in unit])
+    lines = _let(
+        F.flatten(geom),
+        lambda pts: F.transform(
+            rays,
+            lambda u: F.struct(
+                u["c"].alias("c"),
+                u["s"].alias("s"),
+                (F.array_max(F.transform(pts, lambda p: p["x"] * u["c"] + p["y"] * u["s"])) + radius).alias("h"),
+            ),
         ),
     )
     sin_step = math.sin(step)
 
-    def corner(a: Column, i: Column) -> Column:
-        b = _next(lines, i)
+    def corner(a: Column, b: Column) -> Column:
         return point((a["h"] * b["s"] - b["h"] * a["s"]) / sin_step, (b["h"] * a["c"] - a["h"] * b["c"]) / sin_step)
 
-    return F.when(F.size(pts) > 0, F.array(F.transform(lines, corner)))
+    ring = _let(lines, lambda ls: F.transform(ls, lambda a, i: corner(a, _next(ls, i))))
+    return F.when(F.size(geom) > 0, F.array(ring))

@@ -55,7 +55,7 @@ class Albers:
         return rho * F.sin(theta) + self.offset[0], rho0 - rho * F.cos(theta) + self.offset[1]
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """Latitude from the authalic series, good to about 1e-9 degrees."""
+        """Latitude from the authalic series and one Newton step, good to rounding."""
         e2 = self._e**2
         n, c, rho0 = self._cone
         dx, dy = x - self.offset[0], F.lit(rho0) - (y - self.offset[1])
@@ -67,6 +67,9 @@ class Albers:
             + F.sin(beta * 4) * (23 * e2**2 / 360 + 251 * e2**3 / 3780)
             + F.sin(beta * 6) * (761 * e2**3 / 45360)
         )
+        s = F.sin(phi)
+        bend = 1 - s * s * e2
+        phi = phi + bend * bend / (F.cos(phi) * 2) * (q / (1 - e2) - s / bend - F.atanh(s * self._e) / self._e)
         return F.degrees(F.atan2(dx, dy) / n) + self.origin[0], F.degrees(phi)
 
 
