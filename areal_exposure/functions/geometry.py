@@ -256,7 +256,7 @@ def buffer(geom: Column, radius: Column, directions: int = 64) -> Column:
     step = 2 * math.pi / directions
     # cos and sin of right angles are made exact, so that 4 directions give a clean rectangle.
     unit = [(round(math.cos(k * step), 15), round(math.sin(k * step), 15)) for k in range(directions)]
-    rays = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in unit])
+    rays = F.expr("array(" + ", ".join(f"named_struct('c', {c!r}D, 's', {s!r}D)" for c, s in unit) + ")")
     lines = _let(
         F.flatten(geom),
         lambda pts: F.transform(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from areal_exposure import constants as K
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions import values as V
-from areal_exposure.operators.joins import null_safe
+from areal_exposure.operators.joins import many_to_many
 from areal_exposure.operators.overlay import overlap_join, overlap_pieces
 
 
@@ -72,6 +72,7 @@ def crops_with_pounds(
     by_water_year: DataFrame,
     codes: Sequence[str] = tuple(K.CHEMICALS),
     square_units_per_acre: float = K.SQ_METRES_PER_ACRE,
+    **skew: int,
 ) -> DataFrame:
     """Crop pieces with their section-year's whole cropland area and its pounds, one column per chemical.
 
@@ -84,7 +85,8 @@ def crops_with_pounds(
     )
     size = acres(G.area(F.col("geom")), square_units_per_acre)
     whole = crop_pieces.select(*key, size.alias("_acres")).groupBy(*key).agg(F.sum("_acres").alias("crops_acres"))
-    return crop_pieces.select(*key, "geom").join(whole.join(used, key), key)
+    # One row per key on the right, but a section-year may hold a large part of all pieces.
+    return many_to_many(crop_pieces.select(*key, "geom"), whole.join(used, key), key, **skew)
 
 
 def school_buffers(
@@ -158,4 +160,4 @@ def exposed_to_both(wide: DataFrame, column: str, codes: Sequence[str] = tuple(K
 def pounds_mismatch(pieces: DataFrame, crops: DataFrame, keys: Sequence[str], pounds: str = "pounds") -> DataFrame:
     """Rows whose pounds differ between the two inputs; none are expected."""
     other = crops.select(*keys, F.col(pounds).alias("_other"))
-    return null_safe(pieces, other, keys).where(F.col(pounds) != F.col("_other")).drop("_other")
+    return many_to_many(pieces, other, keys).where(F.col(pounds) != F.col("_other")).drop("_other")

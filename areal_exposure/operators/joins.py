@@ -66,7 +66,7 @@ def split_hot(
 
     def with_blocks(df: DataFrame, own: str, other: str, spread: Sequence[Column | str]) -> DataFrame:
         marked = null_safe(df, F.broadcast(hot), keys, "left")
-        block = F.pmod(F.xxhash64(*spread), F.coalesce(own, F.lit(1))).cast("int")
+        block = F.when(F.col(own) > 1, F.pmod(F.xxhash64(*spread), own)).otherwise(F.lit(0)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
         return marked.select(*df.columns, block.alias(f"_block{own}"), copies.alias(f"_block{other}"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,22 +96,26 @@ def exact_quantiles(
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle ``(var_x, var_y, r)`` over the rows that have every column; null for a constant column.
 
-    One aggregation with map-side moments gives all pairs, whatever the number of rows.
+    An incomplete row counts in no pair (its values are blanked), so a pair is listed even if no row is complete.
+    Each row is fanned out to its pairs and folded again in the same task; one small row per pair and task is
+    shuffled, whatever the number of rows.
     """
-    complete = df.select(*columns).dropna(subset=list(columns))
-    pairs = [(columns[i], columns[j]) for i in range(len(columns)) for j in range(i)]
-    spread = [F.stddev_samp(c).alias(f"sd_{c}") for c in columns]
-    joint = [F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in pairs]
-    sd = {c: F.col(f"sd_{c}") for c in columns}
-    rows = [
-        F.struct(
-            F.lit(a).alias("var_x"),
-            F.lit(b).alias("var_y"),
-            F.when((sd[a] > 0) & (sd[b] > 0), F.col(f"cov_{a}_{b}") / sd[a] / sd[b]).alias("r"),
-        )
-        for a, b in pairs
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    complete = values.select(*[F.when(whole, F.col(c)).alias(c) for c in columns])
+    pairs = [
+        F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), F.col(x).alias("x"), F.col(y).alias("y"))
+        for i, x in enumerate(columns)
+        for y in columns[:i]
     ]
-    return complete.agg(*spread, *joint).select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+    moments = (
+        complete.select(F.explode(F.array(*pairs)).alias("pair"))
+        .select("pair.*")
+        .groupBy("var_x", "var_y")
+        .agg(F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sd_x"), F.stddev_samp("y").alias("sd_y"))
+    )
+    r = F.when((F.col("sd_x") > 0) & (F.col("sd_y") > 0), F.col("cov") / F.col("sd_x") / F.col("sd_y"))
+    return moments.select("var_x", "var_y", r.alias("r"))
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 30, few_groups: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ from areal_exposure.plans.driver_views import (
     Views,
 )
 from areal_exposure.sources import layers, names, text
-from areal_exposure.sources.scratch import shared_folder
+from areal_exposure.sources.scratch import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -103,7 +103,9 @@ def priced_crops(v: Views) -> DataFrame:
 def fractions(v: Views) -> DataFrame:
     """Buffers with 4 directions around rectangular grounds are rectangles, so SQL can state the result."""
     buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE, directions=4)
-    return A.buffer_crop_fractions(buffers, priced_crops(v), square_units_per_acre=SQUARE_UNITS_PER_ACRE)
+    # The overlay reads its layers three times (sizes, hot cells, join), so a joined layer is written down first.
+    priced = written(priced_crops(v), "priced-crops")
+    return A.buffer_crop_fractions(buffers, priced, square_units_per_acre=SQUARE_UNITS_PER_ACRE)
 
 
 def school_totals(v: Views) -> DataFrame:
@@ -558,7 +560,8 @@ def school_apportion(v):
 def school_apportion_round(v):
     """The same with round buffers (64 directions)."""
     buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE)
-    parts = A.buffer_crop_fractions(buffers, priced_crops(v), square_units_per_acre=SQUARE_UNITS_PER_ACRE)
+    priced = written(priced_crops(v), "priced-crops")
+    parts = A.buffer_crop_fractions(buffers, priced, square_units_per_acre=SQUARE_UNITS_PER_ACRE)
     return A.school_totals(parts, SCHOOL).withColumn("pounds", r6("pounds", "pounds"))
 
 
@@ -572,7 +575,7 @@ select chem_code, radius, case when hi > lo then least(cast(floor((f - lo) / (hi
     "fractions",
 )
 def fraction_histogram(v):
-    marked = fractions(v).withColumn("f", F.round("intersection_fraction", 9))
+    marked = written(fractions(v).select("chem_code", "radius", F.round("intersection_fraction", 9).alias("f")))
     return S.histogram(marked, "f", ["chem_code", "radius"], few_groups=True)
 
 
@@ -581,7 +584,7 @@ def pounds_mismatch(v):
     """Pounds carried through the overlay against the section-year totals they came from; no mismatch is expected."""
     keys = ["chem_code", "co_mtrs", "water_year"]
     yearly = T.section_water_year(in_water_years(v)).select(*keys, "pounds")
-    parts = fractions(v).select(*keys, "pounds")
+    parts = written(fractions(v).select(*keys, "pounds"))
     mismatch = A.pounds_mismatch(parts, yearly, keys).select(F.lit(1).alias("bad"))
     compared = parts.select(F.lit(0).alias("bad"))
     return compared.unionByName(mismatch).agg(
@@ -610,7 +613,7 @@ def school_two_buffers(v):
 )
 def natural_full_join(v):
     """Both radii joined on all shared columns, null equal to null."""
-    totals = school_totals(v)
+    totals = written(school_totals(v))
     near, far = (
         totals.where(F.col("radius") == r).select("chem_code", *SCHOOL, r6("pounds", A.radius_column(r)))
         for r in K.BUFFER_MILES
@@ -627,7 +630,7 @@ and cds_code in (select cds_code from two_buffers where chem_code = '136' and {c
     "two_buffers",
 )
 def schools_both(v):
-    wide = two_buffers(v)
+    wide = written(two_buffers(v))
     exposed = [
         A.exposed_to_both(wide, A.radius_column(r)).select(F.lit(r).alias("radius"), "cds_code", "school")
         for r in K.BUFFER_MILES

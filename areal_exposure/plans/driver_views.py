@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +61,20 @@ def _money(c: str) -> Column:
 class Views:
     spark: SparkSession
     folder: str
+    _tables: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table; its file footer is looked at once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def records(self) -> DataFrame:
+        if "records" not in self._tables:
+            self._tables["records"] = self._records()
+        return self._tables["records"]
+
+    def _records(self) -> DataFrame:
         lines = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         day = F.col("l_shipdate")
         return lines.select(
