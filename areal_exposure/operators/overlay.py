@@ -85,7 +85,7 @@ def meeting_pairs(
     right_geom: str,
     on: Sequence[str] = (),
     parts: int = 64,
-    min_rows: int = 200_000,
+    min_rows: int = 20_000,
 ) -> DataFrame:
     """Pairs whose bounding boxes share area, each once, with all columns of both layers and ``_common``.
 

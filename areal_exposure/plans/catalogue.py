@@ -147,6 +147,15 @@ def chemical_codes(v):
     return text.read_distinct(v.spark, path, ["chem_code"], pattern=None)
 
 
+@query(f"select distinct * from records where chem_code in ({CODES})", "records")
+def csv_scan(v):
+    """The records as CSV files; the chemicals are picked while the files are parsed."""
+    path = shared_folder(v.spark, "records")
+    text.write_text_table(v.records(), path)
+    raw = text.read_records(v.spark, path, RECORD_COLUMNS, pattern="*.csv", codes=tuple(K.CHEMICALS))
+    return R.distinct_records(raw)
+
+
 @query("select use_no, year, error_desc from errors", "errors")
 def path_year(v):
     path = shared_folder(v.spark, "errors")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +18,14 @@ def read_text_table(
     columns: Sequence[str] | None = None,
     pattern: str | None = None,
     with_path: bool = False,
+    keep: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Every column as text, so codes keep their zeros. Blank and ``NA`` are null, fields are trimmed.
 
     ``path`` is searched through its subfolders; ``pattern`` is a file-name glob such as ``*udc*``. Without
     ``columns`` the names come from the header of one file. Every file must carry the same header; one that
-    does not fails instead of putting values under the wrong name.
+    does not fails instead of putting values under the wrong name. ``keep`` lists the wanted values of some
+    columns; it is put straight on the file column, so the scan drops other rows while it parses them.
     """
     reader = (
         spark.read.option("header", True)
@@ -38,6 +40,8 @@ def read_text_table(
     if columns:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
     df = reader.csv(path)
+    for name, values in (keep or {}).items():
+        df = df.where(F.col(f"`{name}`").isin(*values))
     path_column = [F.col("_metadata.file_path").alias("_path")] if with_path else []
     return df.select(*[V.blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns], *path_column)
 
@@ -48,9 +52,14 @@ def below(root: str) -> Column:
 
 
 def read_records(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, pattern: str | None = "*udc*"
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    pattern: str | None = "*udc*",
+    codes: Sequence[str] | None = None,
 ) -> DataFrame:
-    return read_text_table(spark, path, columns, pattern)
+    """Use records as text, only those of the chemicals in ``codes`` when given."""
+    return read_text_table(spark, path, columns, pattern, keep={"chem_code": codes} if codes else None)
 
 
 def read_with_path_year(

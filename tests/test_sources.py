@@ -40,6 +40,16 @@ def test_csv_keeps_nulls_and_zeros(spark):
     assert {tuple(r) for r in text.read_records(spark, path, pattern="*.csv").collect()} == {("01", None), (None, "a,b")}
 
 
+def test_chemical_filter_reaches_the_scan(spark, tmp_path):
+    (tmp_path / "udc.csv").write_text("use_no,chem_code,lbs\n1,573,2\n2,999,3\n3,136,\n4,,5\n")
+    df = text.read_records(spark, str(tmp_path), codes=["573", "136"])
+    assert {tuple(r) for r in df.collect()} == {("1", "573", "2"), ("3", "136", None)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "In(chem_code, [136,573])" in plan or "In(chem_code, [573,136])" in plan
+    only_pounds = df.select("lbs")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<chem_code:string,lbs:string>" in only_pounds
+
+
 def feature(geometry, **properties):
     return {"type": "Feature", "properties": properties, "geometry": geometry}
 
