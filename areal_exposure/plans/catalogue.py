@@ -18,7 +18,6 @@ from areal_exposure.functions.projection import CALIFORNIA, map_points
 from areal_exposure.operators import apportion as A
 from areal_exposure.operators import census as C
 from areal_exposure.operators import joins as J
-from areal_exposure.operators import overlay as O
 from areal_exposure.operators import records as R
 from areal_exposure.operators import stats as S
 from areal_exposure.operators import totals as T
@@ -575,12 +574,12 @@ def school_apportion_round(v):
 
 
 @query(
-    """with ends as (select chem_code, radius, min(f) as lo, max(f) as hi from (select *, round(fraction, 9) as f from fractions) group by 1, 2)
-select chem_code, radius, case when hi > lo then least(cast(floor((f - lo) / (hi - lo) * 30) as bigint) + 1, 30) else 1 end as bin,
-  count(*) as n from (select *, round(fraction, 9) as f from fractions) join ends using (chem_code, radius) group by 1, 2, 3""".replace(
-        "with ends as (", "select * from (with ends as ("
-    )
-    + ")",
+    """select chem_code, radius,
+  case when hi > lo then least(cast(floor((f - lo) / (hi - lo) * 30) as bigint) + 1, 30) else 1 end as bin, count(*) as n
+from (select chem_code, radius, round(fraction, 9) as f from fractions)
+join (select chem_code, radius, min(round(fraction, 9)) as lo, max(round(fraction, 9)) as hi from fractions group by 1, 2)
+  using (chem_code, radius)
+group by 1, 2, 3""",
     "fractions",
 )
 def fraction_histogram(v):
@@ -681,16 +680,17 @@ def tract_profile(v):
 
 
 _CORRELATED = P.correlated_columns(YEARS)
-_COMPLETE = " and ".join(f"{c} is not null" for c in _CORRELATED)
+_COMPLETE = "complete as (select * from tract_profile where " + " and ".join(f"{c} is not null" for c in _CORRELATED) + ")"
 
 
-@query(
-    " union all ".join(
-        f"select '{a}' as var_x, '{b}' as var_y, round(case when stddev({a}) > 0 and stddev({b}) > 0 then corr({a}, {b}) end, 6) as r from complete"
-        for i, a in enumerate(_CORRELATED)
-        for b in _CORRELATED[:i]
-    ).join((f"select * from (with complete as (select * from tract_profile where {_COMPLETE}) ", ")")),
-    "tract_profile",
-)
+def _corr(a: str, b: str) -> str:
+    spread = f"stddev({a}) > 0 and stddev({b}) > 0"
+    return f"select '{a}' as var_x, '{b}' as var_y, round(case when {spread} then corr({a}, {b}) end, 6) as r from complete"
+
+
+_PAIRS = " union all ".join(_corr(a, b) for i, a in enumerate(_CORRELATED) for b in _CORRELATED[:i])
+
+
+@query(f"select * from (with {_COMPLETE} {_PAIRS})", "tract_profile")
 def correlation_matrix(v):
     return S.correlation_matrix(profile(v), _CORRELATED).withColumn("r", r6("r", "r"))

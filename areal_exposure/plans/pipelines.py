@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure import constants as K
-from areal_exposure.functions.projection import CALIFORNIA, map_points
+from areal_exposure.functions.projection import CALIFORNIA
 from areal_exposure.operators import apportion as A
 from areal_exposure.operators import census as C
 from areal_exposure.operators import joins as J
@@ -141,6 +141,6 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
 
 def _exporter(to_lonlat) -> Callable[[DataFrame], DataFrame]:
     def export(layer: DataFrame) -> DataFrame:
-        return layer.withColumn("geom", map_points(F.col("geom"), to_lonlat)) if to_lonlat else layer
+        return layers.moved(layer, to_lonlat) if to_lonlat else layer
 
     return export

@@ -7,13 +7,14 @@ several lines has to be read whole by one task: ask for that with ``whole_file``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from areal_exposure.functions import geometry as G
+from areal_exposure.functions.projection import map_points
 
 _RING = "array<array<double>>"
 
@@ -119,6 +120,11 @@ def feature_lines(df: DataFrame, geom: str = "geom", point: str | None = None, k
     return df.select(text.alias("value"), *keep)
 
 
+def moved(layer: DataFrame, move: Callable[[Column, Column], tuple[Column, Column]], geom: str = "geom") -> DataFrame:
+    """A layer on other coordinates: ``CALIFORNIA.forward`` after reading degrees, ``.inverse`` before writing them."""
+    return layer.withColumn(geom, map_points(F.col(geom), move))
+
+
 def write_layer(df: DataFrame, path: str, geom: str = "geom", point: str | None = None) -> None:
     feature_lines(df, geom, point).write.text(path)
 
