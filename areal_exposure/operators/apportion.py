@@ -67,26 +67,20 @@ def crops_by_section(crops: DataFrame, sections: DataFrame, **skew: int) -> Data
     return overlap_pieces(crops, layer, **skew).drop("area_intersect")
 
 
-def crops_with_pounds(
+def cropland_years(
     crop_pieces: DataFrame,
     by_water_year: DataFrame,
     codes: Sequence[str] = tuple(K.CHEMICALS),
     square_units_per_acre: float = K.SQ_METRES_PER_ACRE,
-    **skew: int,
 ) -> DataFrame:
-    """Crop pieces with their section-year's whole cropland area and its pounds, one column per chemical.
-
-    Done before the school overlay, while rows are few: afterwards only arithmetic is left. Pieces of a
-    section-year without use drop out; a chemical not used there is null.
-    """
+    """Per section and water year: whole cropland area and pounds, one column per chemical (null where unused)."""
     key = ["co_mtrs", "water_year"]
     used = by_water_year.groupBy(*key).agg(
         *[F.max(F.when(F.col("chem_code") == c, F.col("pounds"))).alias(f"_pounds_{c}") for c in codes]
     )
     size = acres(G.area(F.col("geom")), square_units_per_acre)
     whole = crop_pieces.select(*key, size.alias("_acres")).groupBy(*key).agg(F.sum("_acres").alias("crops_acres"))
-    # One row per key on the right, but a section-year may hold a large part of all pieces.
-    return many_to_many(crop_pieces.select(*key, "geom"), whole.join(used, key), key, **skew)
+    return whole.join(used, key)
 
 
 def school_buffers(
@@ -97,31 +91,33 @@ def school_buffers(
     return sized.withColumn("geom", G.buffer(F.col("geom"), F.col("radius") * units_per_mile, directions))
 
 
-def buffer_crop_fractions(
-    buffers: DataFrame,
-    crops: DataFrame,
-    codes: Sequence[str] = tuple(K.CHEMICALS),
-    square_units_per_acre: float = K.SQ_METRES_PER_ACRE,
-    **skew: int,
+def buffer_crop_acres(
+    buffers: DataFrame, crop_pieces: DataFrame, square_units_per_acre: float = K.SQ_METRES_PER_ACRE, **skew: int
 ) -> DataFrame:
-    """Per school buffer, section, water year and chemical: part of the cropland inside, and its pounds.
-
-    One overlay serves all radii and chemicals. ``crops`` comes from :func:`crops_with_pounds`.
-    """
+    """Cropland inside each school buffer, per section and water year. One overlay serves all radii."""
     school = [c for c in buffers.columns if c != "geom"]
-    pounds = [f"_pounds_{c}" for c in codes]
+    crops = crop_pieces.select("co_mtrs", "water_year", "geom")
     pieces = overlap_join(buffers.withColumnRenamed("geom", "_buffer"), crops, "_buffer", "geom", **skew)
-    inside = pieces.groupBy(*school, "co_mtrs", "water_year").agg(
-        acres(F.sum("area_intersect"), square_units_per_acre).alias("intersection_acres"),
-        *[F.max(c).alias(c) for c in ["crops_acres", *pounds]],
-    )
+    inside = acres(F.sum("area_intersect"), square_units_per_acre).alias("intersection_acres")
+    return pieces.groupBy(*school, "co_mtrs", "water_year").agg(inside)
+
+
+def crop_fractions(
+    inside: DataFrame, years: DataFrame, codes: Sequence[str] = tuple(K.CHEMICALS), **skew: int
+) -> DataFrame:
+    """Part of the section-year's cropland inside the buffer and its pounds, per chemical used there.
+
+    ``inside`` is :func:`buffer_crop_acres`, ``years`` is :func:`cropland_years`. Joined after the overlay, so
+    that no polygon is shuffled for it; a section-year near many schools is split. The join counts ``inside``
+    first, so hand over a written table.
+    """
+    key = ["co_mtrs", "water_year"]
+    joined = many_to_many(inside, years, key, **skew)
     per_chemical = F.array(
         *[F.struct(F.lit(c).alias("chem_code"), F.col(f"_pounds_{c}").alias("pounds")) for c in codes]
     )
     used = F.filter(per_chemical, lambda s: s["pounds"].isNotNull())
-    rows = inside.withColumn("_use", F.explode(used)).select(
-        *school, "co_mtrs", "water_year", "intersection_acres", "crops_acres", "_use.*"
-    )
+    rows = joined.withColumn("_use", F.explode(used)).select(*inside.columns, "crops_acres", "_use.*")
     fraction = V.ratio("intersection_acres", "crops_acres")
     return rows.withColumns(
         {"intersection_fraction": fraction, "pounds_intersection": fraction * F.col("pounds")}

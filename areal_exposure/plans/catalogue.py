@@ -94,17 +94,13 @@ def tract_pounds(v: Views) -> DataFrame:
     return A.tract_totals(shares(v), T.section_calendar_totals(in_calendar_years(v)))
 
 
-def priced_crops(v: Views) -> DataFrame:
-    yearly = T.section_water_year(in_water_years(v))
-    return A.crops_with_pounds(R.cropland(v.crops()), yearly, square_units_per_acre=SQUARE_UNITS_PER_ACRE)
-
-
-def fractions(v: Views) -> DataFrame:
+def fractions(v: Views, directions: int = 4) -> DataFrame:
     """Buffers with 4 directions around rectangular grounds are rectangles, so SQL can state the result."""
-    buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE, directions=4)
-    # The overlay reads its layers three times (sizes, hot cells, join), so a joined layer is written down first.
-    priced = written(priced_crops(v), "priced-crops")
-    return A.buffer_crop_fractions(buffers, priced, square_units_per_acre=SQUARE_UNITS_PER_ACRE)
+    crops = R.cropland(v.crops())
+    yearly = T.section_water_year(in_water_years(v))
+    buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE, directions=directions)
+    inside = written(A.buffer_crop_acres(buffers, crops, SQUARE_UNITS_PER_ACRE), "inside")
+    return A.crop_fractions(inside, A.cropland_years(crops, yearly, square_units_per_acre=SQUARE_UNITS_PER_ACRE))
 
 
 def school_totals(v: Views) -> DataFrame:
@@ -567,10 +563,7 @@ def school_apportion(v):
 @query()
 def school_apportion_round(v):
     """The same with round buffers (64 directions)."""
-    buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE)
-    priced = written(priced_crops(v), "priced-crops")
-    parts = A.buffer_crop_fractions(buffers, priced, square_units_per_acre=SQUARE_UNITS_PER_ACRE)
-    return A.school_totals(parts, SCHOOL).withColumn("pounds", r6("pounds", "pounds"))
+    return A.school_totals(fractions(v, directions=64), SCHOOL).withColumn("pounds", r6("pounds", "pounds"))
 
 
 @query(

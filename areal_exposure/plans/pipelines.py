@@ -87,9 +87,10 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
 
     # Schools.
     pieces = written(A.crops_by_section(cropland.select("water_year", "geom"), inputs.sections), "crop-pieces")
-    priced = written(A.crops_with_pounds(pieces, yearly, codes, c.square_units_per_acre), "priced-crops")
     buffers = A.school_buffers(inputs.schools, c.radii, c.units_per_mile, c.directions)
-    fractions = written(A.buffer_crop_fractions(buffers, priced, codes, c.square_units_per_acre), "fractions")
+    inside = written(A.buffer_crop_acres(buffers, pieces, c.square_units_per_acre), "inside")
+    years = A.cropland_years(pieces, yearly, codes, c.square_units_per_acre)
+    fractions = written(A.crop_fractions(inside, years, codes), "fractions")
     write_text_table(fractions, f"{out}/school_years")
     bins = S.histogram(fractions, "intersection_fraction", ["chem_code", "radius"], few_groups=True)
     write_text_table(bins.orderBy("chem_code", "radius", "bin"), f"{out}/fraction_histogram")

@@ -187,10 +187,10 @@ def test_concave_crops_conserve_area_and_pounds(spark):
     pieces = A.crops_by_section(crops, sections)
     assert pieces.agg(F.sum(G.area(F.col("geom")))).first()[0] == pytest.approx(4.0)
     totals = spark.createDataFrame([("573", s, 2018, 100.0) for s, _ in grid], "chem_code string, co_mtrs string, water_year int, pounds double")
-    priced = A.crops_with_pounds(pieces, totals, square_units_per_acre=1.0)
+    years = A.cropland_years(pieces, totals, square_units_per_acre=1.0)
     schools = spark.createDataFrame([("k1", "S", box(-9, -9, 9, 9)), ("k1", "S", box(-9, -9, 9, 9)), ("k2", "T", box(0.1, 0.1, 0.2, 0.2))], f"cds_code string, school string, geom {G.GEOM_TYPE}")
     buffers = A.school_buffers(schools, radii=(0.5,), units_per_mile=1.0)
-    parts = A.buffer_crop_fractions(buffers, priced, square_units_per_acre=1.0)
+    parts = A.crop_fractions(A.buffer_crop_acres(buffers, pieces, 1.0), years)
     rows = parts.collect()
     assert all(0 < r["intersection_fraction"] <= 1 + 1e-9 for r in rows)
     got = {r["cds_code"]: r["pounds"] for r in A.school_totals(parts, ["cds_code", "school"]).collect()}
