@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import language, token_counts, token_files
-from areal_exposure.llm.common import documents
+from areal_exposure.llm import language, packing, quality, secret_scan, token_counts, token_files
+from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -33,8 +42,22 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def of_kinds(spans: str, *kinds: str) -> Column:
+    """How many spans are of these kinds."""
+    return F.size(F.filter(spans, lambda s: s["kind"].isin(*kinds))).cast("long")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secret_scan.find_secrets(docs, secret_scan.dictionary(docs))
+    counts = [of_kinds("spans", kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    digest = F.sha2(secret_scan.span_text(base), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_token_counts, op5_token_files, op8_language)
+    named = (op1_packing, op2_token_counts, op3_quality, op5_token_files, op8_language, op9_secrets)
     return {q.__name__: q for q in named}
 
 
