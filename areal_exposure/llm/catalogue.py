@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import language, packing, quality, secret_scan, token_counts, token_files
+from areal_exposure.llm import language, near_copies, packing, quality, secret_scan, token_counts, token_files
 from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
@@ -32,6 +32,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_digests(token_files.read_ids(spark, folder))
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(documents(spark, sf_dir))
+
+
 def language_model(docs: DataFrame) -> language.Model:
     return language.train(docs.where(~language.held_out(F.col("doc_id"))))
 
@@ -57,7 +61,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_token_counts, op3_quality, op5_token_files, op8_language, op9_secrets)
+    named = (op1_packing, op2_token_counts, op3_quality, op5_token_files, op6_near_copies, op8_language, op9_secrets)
     return {q.__name__: q for q in named}
 
 
