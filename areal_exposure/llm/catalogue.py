@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import language, near_copies, packing, quality, secret_scan, token_counts, token_files
+from areal_exposure.llm import benchmark_leaks, language, near_copies, packing, quality, secret_scan, token_counts, token_files
 from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -61,7 +65,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_token_counts, op3_quality, op5_token_files, op6_near_copies, op8_language, op9_secrets)
+    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op8_language, op9_secrets)
     return {q.__name__: q for q in named}
 
 
