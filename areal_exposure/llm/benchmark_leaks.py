@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import whole_text
+from areal_exposure.sources.scratch import written
 
 SIZES = (8, 16)
 STRIDE = 4
@@ -79,7 +80,7 @@ def with_votes(df: DataFrame, votes: list[str], out: str) -> DataFrame:
 def fingerprints(df: DataFrame, stride: int) -> DataFrame:
     """``df`` (with ``hashes``) once per window start ``at``, with fingerprints f8 and f16.
 
-    Where fewer words follow than a fingerprint takes, it is of no use and ``fitting`` must be asked.
+    Where fewer words follow than a fingerprint takes, it is of no use.
     """
     n = F.size("hashes")
     starts = F.sequence(F.lit(0), n - SIZES[0], F.lit(stride))
@@ -92,35 +93,45 @@ def fingerprints(df: DataFrame, stride: int) -> DataFrame:
     return df.drop(*votes)
 
 
-def fitting(size: int) -> Column:
-    return F.col("at") + size <= F.size("hashes")
+def block_keys(windows: DataFrame) -> DataFrame:
+    """Each whole window's fingerprints in ``print``, once for each block, with ``key``: size, block and its bits.
 
-
-def _keys(size: int, print_: str) -> list[Column]:
-    """The join keys of a fingerprint's blocks; each names its size and block too. Without a whole window, -1."""
-    base = [(size << 8 | k) << _BITS for k in range(_BLOCKS)]
-    mask = (1 << _BITS) - 1
-    bits = [F.shiftrightunsigned(print_, _BITS * k).bitwiseAND(F.lit(mask).cast("long")) for k in range(_BLOCKS)]
-    return [F.when(fitting(size), F.lit(b).cast("long") + x).otherwise(-1) for b, x in zip(base, bits, strict=True)]
+    The fingerprints are laid out in rows first and cut afterwards, so that each is worked out once.
+    """
+    prints = F.posexplode(F.array(*(f"f{s}" for s in SIZES))).alias("which", "print")
+    others = [c for c in windows.columns if c not in {f"f{s}" for s in SIZES}]
+    rows = windows.select(*others, prints).withColumn("size", F.get(F.array(*map(F.lit, SIZES)), F.col("which")))
+    rows = rows.where(F.col("at") + F.col("size") <= F.size("hashes"))
+    rows = rows.withColumn("block", F.explode(F.array(*map(F.lit, range(_BLOCKS)))))
+    bits = F.expr(f"shiftrightunsigned(print, {_BITS} * block) & {(1 << _BITS) - 1}L")
+    head = (F.col("size") * 256 + F.col("block")).cast("long") * (1 << _BITS)
+    return rows.select(*others, "size", "print", (head + bits).alias("key"))
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """key, print, item, offset: the blocks of every window of the items' own size, at every word."""
-    found = fingerprints(items, 1)
-    size = window_size(F.size("hashes"))
-    rows = [
-        found.where((size == s) & fitting(s)).select("item_id", "hashes", "at", F.col(f"f{s}").alias("print"), F.explode(F.array(*_keys(s, f"f{s}"))).alias("key"))
-        for s in SIZES
-    ]
-    return rows[0].union(rows[1]).select("key", "print", "item_id", F.col("at").alias("offset"), F.col("hashes").alias("item"))
-
-
-def _counted(hashes: Column) -> Column:
-    """Five-word shingles of a stretch of words, each with the number of its like before it."""
+    """key, print, item_id, offset, item: the blocks of every window of the items' own size, at every word."""
+    rows = block_keys(fingerprints(items, 1)).where(F.col("size") == window_size(F.size("hashes")))
+    return rows.select("key", "print", "item_id", F.col("at").alias("offset"), F.col("hashes").alias("item"))
+
+
+def _rolled(hashes: str) -> Column:
+    """The five-word shingles of a stretch of words."""
     places = F.sequence(F.lit(0), F.size(hashes) - WORDS)
-    rolled = F.transform(places, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WORDS))))
-    all_ = F.when(F.size(hashes) >= WORDS, rolled).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(all_, lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(all_, 1, i), lambda t: t == s)).alias("n")))
+    made = F.transform(places, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WORDS))))
+    return F.when(F.size(hashes) >= WORDS, made).otherwise(F.array().cast("array<bigint>"))
+
+
+def similarities(candidates: DataFrame) -> DataFrame:
+    """doc_id, item_id, start and similarity of candidates (with the words' hashes of ``stretch`` and ``item``)."""
+    key = ["doc_id", "item_id", "start", "print"]
+    each = candidates.select("doc_id", "item_id", "start", F.xxhash64("stretch").alias("print"), "stretch", "item")
+    each = each.dropDuplicates(key)  # the grouping below needs no other exchange
+    sides = F.arrays_zip(F.array(_rolled("stretch"), _rolled("item")).alias("shingles"), F.array(F.lit(1), F.lit(0)).alias("is_doc"))
+    each = each.select(*key, F.explode(sides).alias("side"))
+    each = each.select(*key, "side.is_doc", F.explode("side.shingles").alias("shingle"))
+    counts = each.groupBy(*key, "shingle").agg(F.sum("is_doc").alias("one"), F.sum(1 - F.col("is_doc")).alias("two"))
+    share = F.sum(F.least("one", "two")) / F.sum(F.greatest("one", "two"))
+    return counts.groupBy(*key).agg(share.alias("similarity")).drop("print")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
@@ -135,23 +146,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     found are shuffled, to keep each once.
     """
     items = benchmark.select("item_id", word_hashes(whole_text()).alias("hashes"))
-    index = item_index(items)
+    index = written(item_index(items), "index")
     if index.count() <= _SENT_ROWS:
         index = F.broadcast(index)
     windows = docs.select("doc_id", word_hashes(whole_text()).alias("hashes"))
     windows = fingerprints(windows.where(F.size("hashes") >= WORDS), STRIDE)
-    probes = F.array(*(F.struct(F.col(f"f{s}").alias("p"), k.alias("key")) for s in SIZES for k in _keys(s, f"f{s}")))
-    probes = windows.select("doc_id", "hashes", "at", F.explode(probes).alias("probe"))
-    probes = probes.select("doc_id", "hashes", "at", "probe.p", "probe.key")
+    probes = block_keys(windows).withColumnRenamed("print", "p")
     near = F.bit_count(F.col("p").bitwiseXOR(F.col("print"))) <= RADIUS
     met = probes.join(index, (probes["key"] == index["key"]) & near)
     start = F.greatest(F.lit(0), F.col("at") - F.col("offset"))
     length = F.size("item") + F.least(F.lit(0), F.col("at") - F.col("offset"))
     met = met.select("doc_id", "item_id", "item", start.alias("start"), F.slice("hashes", start + 1, length).alias("stretch"))
-    one, two = _counted(F.col("stretch")), _counted(F.col("item"))
-    both = F.size(F.array_intersect(one, two))
-    either = F.greatest(F.size("stretch") - WORDS + 1, F.lit(0)) + F.size("item") - WORDS + 1 - both
-    met = met.withColumn("similarity", both / either).where(F.col("similarity") >= least)
+    met = similarities(met).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
     met = met.groupBy("doc_id", "item_id").agg(best)
     return met.select("doc_id", "item_id", "best.similarity", (-F.col("best.s")).alias("start"))
