@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import benchmark_leaks, language, near_copies, packing, quality, secret_scan, token_counts, token_files
+from areal_exposure.llm import benchmark_leaks, disclosure, language, near_copies, packing, quality, secret_scan, token_counts, token_files
 from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
@@ -64,8 +64,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.disclosures(documents(spark, sf_dir))
+    counts = [of_kinds("spans", kind).alias(f"n_{kind}") for kind in disclosure.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*disclosure.BASE))
+    digest = F.sha2(disclosure.span_text(base), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), disclosure.span_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op8_language, op9_secrets)
+    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op8_language, op9_secrets, op10_disclosure)
     return {q.__name__: q for q in named}
 
 
