@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import ready, whole_text
@@ -117,13 +117,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's members (band, key, doc_id, n) with the one that has most company over all its buckets."""
+def _pair(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def centred(members: DataFrame) -> DataFrame:
+    """``members`` of buckets (band, key, doc_id, n) with ``centre``: of each bucket the one with most company."""
     company = members.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    best = F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("centre")
-    centres = members.join(company, "doc_id").groupBy("band", "key").agg(best)
-    pairs = members.join(centres, ["band", "key"]).where("doc_id <> centre")
-    return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    rank = F.struct("company", (-F.col("doc_id")).alias("before"))
+    centres = members.join(company, "doc_id").groupBy("band", "key").agg(F.max_by("doc_id", rank).alias("centre"), F.max(rank).alias("rank"))
+    return members.join(centres, ["band", "key"])
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """One pair for each member: with that centre of its buckets which has most company."""
+    best = centred(members).groupBy("doc_id").agg(F.max_by("centre", "rank").alias("centre"))
+    return best.where("doc_id <> centre").select(*_pair("doc_id", "centre")).distinct()
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their labels, of the buckets that still have several components; ``main`` is the commonest."""
+    own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = own.select("band", "key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    sizes = own.groupBy("band", "key", "label").agg(F.count("*").alias("many"))
+    main = F.max_by("label", F.struct("many", "label")).alias("main")
+    several = sizes.groupBy("band", "key").agg(main, F.max("many").alias("n_main"), F.count("*").alias("kinds"))
+    return own.join(several.where("kinds > 1").drop("kinds"), ["band", "key"])
+
+
+def centre_pairs(mixed_ones: DataFrame) -> DataFrame:
+    """Pairs of members of mixed buckets with the centre of each, where their components differ."""
+    found = centred(mixed_ones)
+    known = mixed_ones.select(F.col("doc_id").alias("centre"), F.col("label").alias("its")).distinct()
+    apart = found.join(known, "centre").where("label <> its")
+    return apart.select(*_pair("doc_id", "centre")).distinct()
 
 
 def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -140,18 +167,13 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
+def rest_pairs(mixed_ones: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs of a bucket that are still in different components and agree in enough registers.
 
     The members of a bucket are dealt to blocks by a hash, its commonest component apart from the others, and
     blocks meet pairwise inside tasks; blocks of that component don't meet each other. Only pairs that pass come out.
     """
-    own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("band", "key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    sizes = own.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    most = F.max_by("label", F.struct("n", "label")).alias("main")
-    mixed_ones = sizes.groupBy("band", "key").agg(most, F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    own = own.join(mixed_ones.where("kinds > 1"), ["band", "key"]).join(signs.select("doc_id", "bits"), "doc_id")
+    own = mixed_ones.join(signs.select("doc_id", "bits"), "doc_id")
     main = F.col("label") == F.col("main")
     blocks = F.ceil(F.when(main, F.col("n_main")).otherwise(F.col("n") - F.col("n_main")) / _BLOCK)
     own = own.withColumn("is_main", main).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest(blocks, F.lit(1))))
@@ -172,9 +194,9 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     words is one shingle, one without words is like equal texts only. A null text is an empty one. Rows that share
     a doc_id share a class; a null doc_id gets a null class. Other columns are ignored.
 
-    Copies are put aside before signatures meet. In each bucket all members are first tried with one centre only;
-    what is then not yet connected is tried in blocks (``rest_pairs``), so that no link between texts of a bucket
-    is lost and no group's pairs are listed.
+    Copies are put aside before signatures meet. Each text is first tried with one centre of its buckets only, then
+    with the other centres it isn't connected with; what is then still apart is tried in blocks (``rest_pairs``), so
+    that no link between texts of a bucket is lost and no group's pairs are listed.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -192,11 +214,14 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     members = written(rows.join(buckets, ["band", "key"]), "members")
 
     same_id = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    edges = written(verified(star_pairs(members), texts, least).union(same_id), "links")
+    edges = written(verified(first_pairs(members), texts, least).union(same_id), "links")
     labels = components(edges)
-    more = written(verified(rest_pairs(members, labels, signs), texts, least), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    for pairs in (centre_pairs, lambda mixed_ones: rest_pairs(mixed_ones, signs)):
+        apart = written(mixed_buckets(members, labels), "mixed")
+        more = written(verified(pairs(apart), texts, least), "links")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
     found = reps.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
