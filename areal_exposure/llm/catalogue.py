@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import benchmark_leaks, disclosure, language, near_copies, packing, quality, secret_scan, token_counts, token_files
+from areal_exposure.llm import benchmark_leaks, disclosure, language, near_copies, packing, quality, secret_scan, token_counts, token_files, versions
 from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
@@ -40,6 +40,10 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(documents(spark, sf_dir))
 
 
+def op7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.fingerprints(documents(spark, sf_dir))
+
+
 def language_model(docs: DataFrame) -> language.Model:
     return language.train(docs.where(~language.held_out(F.col("doc_id"))))
 
@@ -73,7 +77,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op8_language, op9_secrets, op10_disclosure)
+    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op7_versions, op8_language, op9_secrets, op10_disclosure)
     return {q.__name__: q for q in named}
 
 
