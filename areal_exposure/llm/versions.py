@@ -1,6 +1,6 @@
 """Fingerprints of texts that tell how much two versions share: invertible Bloom lookup tables of paragraphs.
 
-A text's paragraphs (stretches up to a sentence's or line's end, at most 240 characters) are hashed; the k-th of
+A text's paragraphs (stretches up to a sentence's or line's end, at most 64 characters) are hashed; the k-th of
 equal ones counts as its own. Each digest is added to one cell in each of three parts of a table, which keeps the
 number of digests in a cell and the bits of digests and checks folded by exclusive or. Subtracting the tables of two
 versions cancels what they share; cells left with one digest give it away, which clears it from its other cells, and
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from areal_exposure.llm.common import whole_text
 from areal_exposure.sources.scratch import written
 
-PARAGRAPH = r"[^\n.!?]{1,240}[\n.!?\s]*|[\n.!?\s]+"
+PARAGRAPH = r"[^\n.!?]{1,64}[\n.!?\s]*|[\n.!?\s]+"
 PARTS = 3
 #: Turns of peeling, one part of the table each. At the usual load a table is empty after about ten.
 TURNS = 14
@@ -170,10 +170,10 @@ def _compared(pairs: DataFrame, factor: float) -> DataFrame:
 
 
 def _likeness(other: str) -> Column:
-    """Share of common paragraphs, from the numbers of differing ones."""
-    both = F.col("own_n") - F.col(f"mine_{other}")
-    either = F.col("own_n") + F.col(f"theirs_{other}")
-    return F.when(either == 0, 1.0).otherwise(both / either)
+    """Common paragraphs as a share of both versions' mean number, from the numbers of differing ones."""
+    common = F.col("own_n") - F.col(f"mine_{other}")
+    both = F.col("own_n") + common + F.col(f"theirs_{other}")
+    return F.when(both == 0, 1.0).otherwise(2 * common / both)
 
 
 def _fingerprint(name: str) -> Column:
@@ -184,7 +184,7 @@ def fingerprints(docs: DataFrame, factor: float = 1.7) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is ``edited`` with the next document's text, by doc_id and then text. A fingerprint is the root
-    of a text's table, so equal texts have equal ones; the likenesses (0 to 1, by common paragraphs of all) come
+    of a text's table, so equal texts have equal ones; the likenesses (0 to 1, twice the common paragraphs by all) come
     from the full tables, which have ``factor`` cells for each paragraph of both versions and are doubled until
     every difference is recovered. A null or empty text has no paragraphs, and two such are alike (1); an empty
     table gives no rows. Other columns are ignored.
