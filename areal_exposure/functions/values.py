@@ -72,8 +72,9 @@ def first_year(text: Column | str) -> Column:
 
 
 def pad_code(code: Column | str, width: int = 2) -> Column:
-    """Zero-pad a whole number; longer codes stay whole."""
-    return F.format_string(f"%0{width}d", _col(code).cast("int"))
+    """Zero-pad a whole number; longer codes stay whole, a missing one stays null."""
+    whole = _col(code).cast("int")
+    return F.when(whole.isNotNull(), F.format_string(f"%0{width}d", whole))
 
 
 def ratio(a: Column | str, b: Column | str, per: float = 1.0) -> Column:

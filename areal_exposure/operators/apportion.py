@@ -147,10 +147,10 @@ def two_buffers(totals: DataFrame, attributes: Sequence[str], radii: Sequence[fl
 
 
 def exposed_to_both(wide: DataFrame, column: str, codes: Sequence[str] = tuple(K.CHEMICALS)) -> DataFrame:
-    """Schools whose buffer has a total for each of two chemicals."""
-    known = wide.where(F.col(column).isNotNull())
-    first, second = (known.where(F.col("chem_code") == c) for c in codes)
-    return first.select("cds_code", "school").join(second.select("cds_code"), "cds_code", "left_semi")
+    """Schools whose buffer has a total for each of the chemicals, however many; one row a school."""
+    known = wide.where(F.col(column).isNotNull() & F.col("chem_code").isin(*codes))
+    counted = known.groupBy("cds_code").agg(F.min("school").alias("school"), F.count_distinct("chem_code").alias("_n"))
+    return counted.where(F.col("_n") == len(set(codes))).select("cds_code", "school")
 
 
 def pounds_mismatch(pieces: DataFrame, crops: DataFrame, keys: Sequence[str], pounds: str = "pounds") -> DataFrame:

@@ -120,10 +120,11 @@ def meeting_pairs(
 def _computed_once(value: Column, area: str | None) -> Column:
     """Generator of one row with ``value`` where its area counts, none where it does not.
 
-    An area below 1e-12 of the common box is the rounding noise of touching borders. A plain filter would be
-    pushed into the join and compute the value there a second time.
+    Borders that touch give an area of a few rounding errors of the common box's; a piece is kept unless its area is
+    below that noise, so thin slivers stay. A plain filter would be pushed into the join and compute the value there
+    a second time.
     """
-    floor = F.col("_common") * 1e-12
+    floor = F.col("_common") * 2.0**-50
     return F.explode(F.filter(F.array(value), lambda v: (v if area is None else v[area]) > floor))
 
 

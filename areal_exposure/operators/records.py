@@ -50,9 +50,15 @@ def with_section_key(records: DataFrame, parts: Sequence[str] = K.SECTION_KEY_PA
     return records.withColumn("co_mtrs", V.paste(*parts))
 
 
-def between_years(records: DataFrame, years: tuple[int, int] = K.STUDY_YEARS, column: str = "water_year") -> DataFrame:
-    """A list of years, not two comparisons: the filter moves below the de-duplication, next to the scan, and there
+def between_years(
+    records: DataFrame, years: tuple[int, int | None] = K.STUDY_YEARS, column: str = "water_year"
+) -> DataFrame:
+    """Years from the first to the second, or without end if that is None.
+
+    A list of years, not two comparisons: the filter moves below the de-duplication, next to the scan, and there
     the date is parsed once."""
+    if years[1] is None:
+        return records.where(F.col(column) >= years[0])
     return records.where(F.col(column).isin(*range(years[0], years[1] + 1)))
 
 

@@ -34,13 +34,31 @@ def _parse(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", _polygon(one)).when(kind == "MultiPolygon", F.flatten(F.transform(many, _polygon)))
 
 
+def _shape(geometry: Column) -> Column:
+    """The polygons of a geometry; of a collection, those of its members (lines and points have no area)."""
+    members = F.filter(geometry["geometries"], lambda g: g["type"].isin("Polygon", "MultiPolygon"))
+    collected = F.flatten(F.transform(members, lambda g: _parse(g["type"], g["coordinates"])))
+    other = F.raise_error(F.concat(F.lit("geometry that is no polygon, collection or point: "), geometry["type"]))
+    return (
+        F.when(geometry["type"] == "GeometryCollection", collected)
+        .when(geometry["type"].isNull() | geometry["type"].isin("Polygon", "MultiPolygon", "Point"), _parse(geometry["type"], geometry["coordinates"]))
+        .otherwise(other.cast("array<array<struct<x:double,y:double>>>"))
+    )
+
+
+def _checked(feature: Column) -> Column:
+    wrong = F.raise_error(F.lit("an object that is no feature, or one that can't be read"))
+    return F.when(feature["type"] == "Feature", feature).otherwise(wrong)
+
+
 def _features(raw: DataFrame, properties: StructType) -> DataFrame:
     """Rows of one struct ``feature`` to property columns and ``geom`` (``x``/``y`` for points)."""
+    raw = raw.withColumn("feature", _checked(F.col("feature")))
     kind, coordinates = F.col("feature.geometry.type"), F.col("feature.geometry.coordinates")
-    xy = F.from_json(F.when(kind == "Point", coordinates), "array<double>")
+    xy = F.from_json(F.when(kind == "Point", coordinates), "array<double>", {"mode": "FAILFAST"})
     return raw.select(
         *[F.col("feature.properties")[n].alias(n) for n in properties.names],
-        _parse(kind, coordinates).alias("geom"),
+        _shape(F.col("feature.geometry")).alias("geom"),
         F.when(kind == "Point", G.point(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)))).alias("point"),
         "path",
     )
@@ -56,26 +74,33 @@ def read_layer(
 ) -> DataFrame:
     """Polygon features below ``path`` (all files stacked), with the given property columns, e.g. ``"co_mtrs string"``.
 
-    A property that some file lacks is null there. A line that announces a feature and cannot be parsed fails
-    the job; wrapper lines of a collection are skipped. Point features come back in ``point``.
+    A property that some file lacks is null there. A line may hold several features, and the end of a collection
+    after them. A line from which not every feature it announces can be read fails the job, and so does a whole
+    collection in one line; wrapper lines without a feature are skipped. Point features come back in ``point``;
+    of a collection of geometries the polygons count; other kinds fail the job.
     """
-    props = StructType.fromDDL(properties)
-    feature = f"struct<type:string,properties:{props.simpleString()},geometry:struct<type:string,coordinates:string>>"
+    props, shape = StructType.fromDDL(properties), "type:string,coordinates:string"
+    feature = f"struct<type:string,properties:{props.simpleString()},geometry:struct<{shape},geometries:array<struct<{shape}>>>>"
     reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if whole_file:
-        docs = reader.option("multiLine", True).schema(f"features array<{feature}>").json(path)
-        raw = docs.select(F.explode("features").alias("feature"), F.col("_metadata.file_path").alias("path"))
+        docs = reader.option("multiLine", True).option("mode", "FAILFAST").schema(f"type string, features array<{feature}>").json(path)
+        none = F.raise_error(F.lit("a file that holds no collection of features")).cast(f"array<{feature}>")
+        held = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(none)
+        raw = docs.select(F.explode(held).alias("feature"), F.col("_metadata.file_path").alias("path"))
     else:
-        line = F.regexp_replace(F.trim("value"), r",$", "")
-        is_feature = F.col("value").rlike(r'"type"\s*:\s*"Feature"')
-        whole = F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"') & F.col("value").rlike(r"\}\s*\]\s*\}\s*$")
-        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-        text = F.when(whole, F.raise_error(F.lit("a whole collection in one line: read it with whole_file=True"))).otherwise(line)
-        raw = lines.where(is_feature | whole).select(
-            F.from_json(text, feature, {"mode": "FAILFAST"}).alias("feature"), "path"
-        )
+        announced = F.regexp_count(F.col("value"), F.lit(r'"type"\s*:\s*"Feature"'))
+        whole = F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"')
+        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), announced.alias("n"))
+        lines = lines.where(F.col("n") > 0)
+        array = F.concat(F.lit("["), F.regexp_replace(F.trim("value"), r",$", ""), F.lit("]"))
+        text = F.when(whole, F.raise_error(F.lit("a collection begins in a line with features: read it with whole_file=True"))).otherwise(array)
+        held = F.from_json(text, f"array<{feature}>", {"mode": "FAILFAST"})
+        raw = lines.select("path", "n", held.alias("held"))
+        lost = F.raise_error(F.lit("a line announces features that can't be read")).cast(f"array<{feature}>")
+        all_read = F.when(F.size("held") == F.col("n"), F.col("held")).otherwise(lost)
+        raw = raw.select(F.explode(all_read).alias("feature"), "path")
     out = _features(raw, props)
     return out if with_path else out.drop("path")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
@@ -19,9 +20,15 @@ def read_text_table(
     pattern: str | None = None,
     with_path: bool = False,
     keep: Mapping[str, Sequence[str]] | None = None,
+    trim: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Every column as text, so codes keep their zeros. Blank and ``NA`` are null, fields are trimmed.
 
+    Quotes inside quoted fields are doubled, as in ordinary CSV; a row with a wrong number of fields stops the job.
+    Files with line breaks inside quotes need ``multi_line``, which reads each file in one task. ``trim=False``
+    keeps outer blanks.
+
     ``path`` is searched through its subfolders; ``pattern`` is a file-name glob such as ``*udc*``. Without
     ``columns`` the names come from the header of one file. Every file must carry the same header; one that
     does not fails instead of putting values under the wrong name. ``keep`` lists the wanted values of some
@@ -31,8 +38,12 @@ def read_text_table(
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("nullValue", "NA")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
+        .option("escape", '"')
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # else the fields of a row aren't counted
+        .option("multiLine", multi_line)
+        .option("ignoreLeadingWhiteSpace", trim)
+        .option("ignoreTrailingWhiteSpace", trim)
         .option("recursiveFileLookup", True)
     )
     if pattern:
@@ -47,8 +58,12 @@ def read_text_table(
 
 
 def below(root: str) -> Column:
-    """The part of a row's file path under the folder that was read."""
-    return F.substring_index(F.col("_path"), quote(root.split(":")[-1].rstrip("/")), -1)
+    """The part of a row's file path under the folder that was read, which may be given relative to the current one.
+
+    The first copy of the folder's path is cut, so that folders of the same name below it stay.
+    """
+    folder = re.escape(quote(root.split(":")[-1].rstrip("/")))
+    return F.regexp_replace(F.col("_path"), rf"^.*?(?<=/){folder.lstrip('/')}(?=/|$)", "")
 
 
 def read_records(
@@ -77,5 +92,6 @@ def read_distinct(
 
 
 def write_text_table(df: DataFrame, path: str) -> None:
-    """CSV with a header, nulls blank. The folder holds one file per task."""
-    df.write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """CSV with a header, nulls blank, quotes doubled, blanks kept. The folder holds one file per task."""
+    writer = df.write.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
