@@ -61,6 +61,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     extra = F.struct(F.col("before").alias("grp"), F.lit(True).alias("extra"))
     homes = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, extra))
     rows = rows.select("doc_id", "text", "place", F.explode(homes).alias("home")).select("doc_id", "text", "place", "home.*")
+    # Two ranges a task: a task's tables then fit in memory without spilling, however many documents there are.
+    rows = rows.repartition(max(1, ranges // 2), "grp")
     order = Window.partitionBy("grp").orderBy("extra", "place", "doc_id", "text")
     rows = rows.withColumn("following", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     return rows.where(~F.col("extra")).select("doc_id", "text", "following", "grp", "row")
