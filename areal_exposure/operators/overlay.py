@@ -1,7 +1,7 @@
 """Spatial overlay: which polygons of two layers meet, over what area, and the common pieces.
 
-Each polygon is put on a grid whose cell is the power of four just above its own width and height, so it
-touches at most four cells whatever its size. A pair meets on the coarser grid of the two; polygons are
+Each polygon is put on a grid whose square cell is the power of four just above its longer side, so it touches at
+most four cells whatever its size. A pair meets on the coarser grid of the two; polygons are
 therefore also listed on those coarser grids that the other layer uses. A pair is kept only in the one cell
 that holds the lower-left corner of the common box (Dittrich and Seeger 2000), so no ``distinct`` follows.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from areal_exposure.functions import geometry as G
 from areal_exposure.operators.joins import split_hot
 
-_CELL = ("_lx", "_ly", "_gx", "_gy")
+_CELL = ("_level", "_gx", "_gy")
 _FINEST = -10  # smaller shapes share the grid of 4**-10 units, which keeps cell numbers within 64 bits
 
 
@@ -31,16 +31,16 @@ def _size(level: Column) -> Column:
 
 
 def _boxed(layer: DataFrame, geom: str, side: str) -> DataFrame:
-    """Add the bounding box and its grid level in x and y."""
+    """Add the bounding box and its grid level, that of its longer side."""
     b = F.col(f"_{side}")
     boxed = layer.withColumn(f"_{side}", G.box(F.col(geom)))
-    return boxed.withColumns({f"_{side}_lx": _level(b["x0"], b["x1"]), f"_{side}_ly": _level(b["y0"], b["y1"])})
+    level = F.greatest(_level(b["x0"], b["x1"]), _level(b["y0"], b["y1"]))
+    return boxed.withColumn(f"_{side}_level", level)
 
 
 def _levels(boxed: DataFrame, side: str) -> Column:
     """All grid levels of a layer as one array. There are a few dozen at most: sizes by powers of four."""
-    pair = F.struct(F.col(f"_{side}_lx").alias("x"), F.col(f"_{side}_ly").alias("y"))
-    return boxed.agg(F.sort_array(F.collect_set(pair))).scalar()
+    return boxed.agg(F.sort_array(F.collect_set(f"_{side}_level"))).scalar()
 
 
 def _in_cells(boxed: DataFrame, side: str, other_levels: Column) -> DataFrame:
@@ -49,24 +49,16 @@ def _in_cells(boxed: DataFrame, side: str, other_levels: Column) -> DataFrame:
     Polygons without extent cannot share area and are listed nowhere.
     """
     b = F.col(f"_{side}")
-    grids = F.array_distinct(
-        F.transform(
-            F.col("_other"),
-            lambda o: F.struct(
-                F.greatest(F.col(f"_{side}_lx"), o["x"]).alias("x"), F.greatest(F.col(f"_{side}_ly"), o["y"]).alias("y")
-            ),
-        )
-    )
+    grids = F.array_distinct(F.transform(F.col("_other"), lambda o: F.greatest(F.col(f"_{side}_level"), o)))
 
     def span(lo: str, hi: str, level: Column) -> Column:
         return F.sequence(F.floor(b[lo] / _size(level)), F.floor(b[hi] / _size(level)))
 
     def cells(g: Column) -> Column:
         columns = F.transform(
-            span("x0", "x1", g["x"]),
+            span("x0", "x1", g),
             lambda gx: F.transform(
-                span("y0", "y1", g["y"]),
-                lambda gy: F.struct(g["x"].alias("_lx"), g["y"].alias("_ly"), gx.alias("_gx"), gy.alias("_gy")),
+                span("y0", "y1", g), lambda gy: F.struct(g.alias("_level"), gx.alias("_gx"), gy.alias("_gy"))
             ),
         )
         return F.flatten(columns)
@@ -108,10 +100,9 @@ def meeting_pairs(
     once = (
         (x0 < x1)
         & (y0 < y1)
-        & (F.greatest("_l_lx", "_r_lx") == F.col("_lx"))
-        & (F.greatest("_l_ly", "_r_ly") == F.col("_ly"))
-        & (F.floor(x0 / _size(F.col("_lx"))) == F.col("_gx"))
-        & (F.floor(y0 / _size(F.col("_ly"))) == F.col("_gy"))
+        & (F.greatest("_l_level", "_r_level") == F.col("_level"))
+        & (F.floor(x0 / _size(F.col("_level"))) == F.col("_gx"))
+        & (F.floor(y0 / _size(F.col("_level"))) == F.col("_gy"))
     )
     columns = [c for df in (left, right) for c in df.columns if c not in on]
     return l2.join(r2, keys).where(once).select(*on, *columns, ((x1 - x0) * (y1 - y0)).alias("_common"))
