@@ -120,3 +120,159 @@ def test_written_table_is_in_the_shared_folder(spark):
     df = written(spark.range(3), "numbers")
     assert df.count() == 3
     assert all(spark.conf.get("spark.checkpoint.dir") in f for f in df.inputFiles())
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, tmp_path):
+    rows = [("1", 'Joe "Red" Hill, Jr'), ("2", "two\nlines"), ("3", "  padded "), ("4", "back\\slash"), ("5", None)]
+    text.write_text_table(spark.createDataFrame(rows, "id string, name string").coalesce(1), f"{tmp_path}/out")
+    (file,) = (tmp_path / "out").glob("part-*.csv")
+    assert file.read_bytes() == b'id,name\n1,"Joe ""Red"" Hill, Jr"\n2,"two\nlines"\n3,  padded \n4,back\\slash\n5,\n'
+    back = text.read_text_table(spark, f"{tmp_path}/out", pattern="*.csv", trim=False, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_csv_row_of_wrong_width_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,a,b\n2,c\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        text.read_text_table(spark, str(tmp_path)).select("id").collect()
+
+
+@pytest.mark.parametrize("root", ["pur", "/data/2001/pur/", "file:/data/2001/pur"])
+def test_path_below_the_folder_that_was_read(spark, root):
+    paths = spark.createDataFrame([("file:///data/2001/pur/2018/pur/pur_errors2.csv",)], "_path string")
+    assert paths.select(text.below(root).alias("p")).first()["p"] == "/2018/pur/pur_errors2.csv"
+
+
+SQUARE = {"type": "Polygon", "coordinates": [[[0, 0], [0, 2], [2, 2], [2, 0], [0, 0]], [[0.5, 0.5], [1, 0.5], [1, 1], [0.5, 1], [0.5, 0.5]]]}
+TWO = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 6], [5, 5]]]]}
+
+
+def test_collection_with_one_feature_per_line(spark, tmp_path):
+    lines = [json.dumps(feature(SQUARE, key="a", n=1)), json.dumps(feature(TWO, key="b", n=None)), json.dumps(feature(None, key="c", n=2))]
+    (tmp_path / "layer.geojson").write_text('{\n"type": "FeatureCollection",\n"name": "x",\n"features": [\n' + ",\n".join(lines) + "\n]\n}\n")
+    df = layers.read_layer(spark, str(tmp_path), "key string, n int, gone string")
+    got = {r["key"]: r for r in df.withColumn("area", G.area(F.col("geom"))).collect()}
+    assert got["a"]["area"] == pytest.approx(3.75) and got["a"]["n"] == 1 and got["a"]["gone"] is None
+    assert got["b"]["area"] == pytest.approx(2.0)
+    assert got["c"]["geom"] is None and len(got) == 3
+
+
+def test_whole_collection_file(spark, tmp_path):
+    doc = {"type": "FeatureCollection", "features": [feature(SQUARE, key="a"), feature(TWO, key="b")]}
+    (tmp_path / "layer.geojson").write_text(json.dumps(doc))
+    df = layers.read_layer(spark, str(tmp_path), "key string", whole_file=True)
+    assert {r["key"]: round(r["area"], 6) for r in df.withColumn("area", G.area(F.col("geom"))).collect()} == {"a": 3.75, "b": 2.0}
+    with pytest.raises(Exception, match="whole_file"):
+        layers.read_layer(spark, str(tmp_path), "key string").collect()
+
+
+def test_broken_feature_fails(spark, tmp_path):
+    (tmp_path / "layer.geojson").write_text('{"type":"Feature","properties":{"key":"a"},"geometry":\n')
+    with pytest.raises(Exception):
+        layers.read_layer(spark, str(tmp_path), "key string").collect()
+
+
+def test_layer_roundtrip_keeps_holes_and_parts(spark, tmp_path):
+    lines = "\n".join(json.dumps(feature(g, key=k)) for k, g in (("a", SQUARE), ("b", TWO)))
+    (tmp_path / "in.geojson").write_text(lines)
+    df = layers.read_layer(spark, str(tmp_path), "key string").drop("point")
+    path = shared_folder(spark, "layer")
+    layers.write_layer(df, path)
+    raw = {json.loads(r["value"])["properties"]["key"]: json.loads(r["value"])["geometry"] for r in spark.read.text(path).collect()}
+    assert raw["a"]["type"] == "Polygon" and len(raw["a"]["coordinates"]) == 2
+    assert raw["b"]["type"] == "MultiPolygon" and len(raw["b"]["coordinates"]) == 2
+    back = layers.read_layer(spark, path, "key string").drop("point")
+    assert back.exceptAll(df).count() == 0 and back.count() == 2
+
+
+def test_point_layer(spark):
+    df = spark.createDataFrame([("a", (1.5, 2.0))], "key string, point struct<x:double,y:double>")
+    path = shared_folder(spark, "points")
+    layers.write_layer(df, path, point="point")
+    row = layers.read_layer(spark, path, "key string").first()
+    assert (row["point"]["x"], row["point"]["y"], row["geom"]) == (1.5, 2.0, None)
+
+
+def test_yearly_layers_and_stacking(spark):
+    square = spark.createDataFrame([("a", 2018), ("b", 2019)], "key string, water_year int").withColumn(
+        "geom", G.rectangle(*[F.lit(float(v)) for v in (0, 0, 1, 1)])
+    )
+    path = shared_folder(spark, "yearly")
+    layers.write_layer_by(square, path, "water_year")
+    one = layers.read_layer(spark, f"{path}/water_year=2018", "key string, water_year int")
+    assert [(r["key"], r["water_year"]) for r in one.collect()] == [("a", 2018)]
+    both = layers.stack([one.drop("water_year"), layers.read_layer(spark, f"{path}/water_year=2019", "key string, water_year int")])
+    assert {(r["key"], r["water_year"]) for r in both.collect()} == {("a", None), ("b", 2019)}
+
+
+def test_written_table_is_in_the_shared_folder(spark):
+    df = written(spark.range(3), "numbers")
+    assert df.count() == 3
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in df.inputFiles())
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, tmp_path):
+    rows = [("1", 'Joe "Red" Hill, Jr'), ("2", "two\nlines"), ("3", "  padded "), ("4", "back\\slash"), ("5", None)]
+    text.write_text_table(spark.createDataFrame(rows, "id string, name string").coalesce(1), f"{tmp_path}/out")
+    (file,) = (tmp_path / "out").glob("part-*.csv")
+    assert file.read_bytes() == b'id,name\n1,"Joe ""Red"" Hill, Jr"\n2,"two\nlines"\n3,  padded \n4,back\\slash\n5,\n'
+    back = text.read_text_table(spark, f"{tmp_path}/out", pattern="*.csv", trim=False, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_csv_row_of_wrong_width_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,a,b\n2,c\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        text.read_text_table(spark, str(tmp_path)).select("id").collect()
+
+
+def test_year_below_a_relative_folder(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "pur" / "2018"
+    folder.mkdir(parents=True)
+    (folder / "pur_errors2.csv").write_text("use_no\n1\n")
+    monkeypatch.chdir(tmp_path)
+    path = "file:" + str(tmp_path / "pur")
+    assert [r["year"] for r in text.read_with_path_year(spark, path).collect()] == [2018]
+
+
+SQUARE = "[[[0,0],[1,0],[1,1],[0,1],[0,0]]]"
+POLYGON = f'{{"type":"Polygon","coordinates":{SQUARE}}}'
+
+
+def feature(name, geometry=POLYGON):
+    return f'{{"type":"Feature","properties":{{"name":"{name}"}},"geometry":{geometry}}}'
+
+
+def areas(spark, path, **how):
+    layer = layers.read_layer(spark, str(path), "name string", **how)
+    return {r["name"]: r["a"] for r in layer.select("name", G.area(F.col("geom")).alias("a")).collect()}
+
+
+def test_two_features_in_a_line_and_the_end_of_a_collection(spark, tmp_path):
+    (tmp_path / "a.json").write_text(f"{feature('a')},{feature('b')},\n{feature('c')}]}}\n")
+    assert areas(spark, tmp_path) == {"a": 1.0, "b": 1.0, "c": 1.0}
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        f'{{"type":"FeatureCollection","features":[{feature("a")}],"bbox":[0,0,1,1]}}',
+        f"{feature('a')} {feature('b')}",
+        feature("a", '{"type":"LineString","coordinates":[[0,0],[1,1]]}'),
+    ],
+)
+def test_what_would_be_lost_fails(spark, tmp_path, content):
+    (tmp_path / "a.json").write_text(content + "\n")
+    with pytest.raises(Exception, match="whole_file|announces|no polygon|Malformed"):
+        areas(spark, tmp_path)
+
+
+def test_collections_of_geometries_and_whole_files(spark, tmp_path):
+    line = '{"type":"LineString","coordinates":[[0,0],[1,1]]}'
+    mixed = f'{{"type":"GeometryCollection","geometries":[{POLYGON},{line}]}}'
+    (tmp_path / "a.json").write_text(feature("a", mixed) + "\n")
+    assert areas(spark, tmp_path) == {"a": 1.0}
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "b.json").write_text(f'{{"type":"FeatureCollection","features":[{feature("b")},\n{feature("c", mixed)}],"bbox":[0]}}')
+    assert areas(spark, whole, whole_file=True) == {"b": 1.0, "c": 1.0}

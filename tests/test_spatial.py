@@ -213,3 +213,30 @@ def test_mismatch_report(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, 3.0)], "k string, pounds double")
     b = spark.createDataFrame([("x", 1.0), ("y", 2.5), (None, 4.0)], "k string, pounds double")
     assert {r["k"] for r in A.pounds_mismatch(a, b, ["k"]).collect()} == {"y", None}
+
+
+def shapes(spark, name, rings):
+    rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in ring]]) for k, ring in enumerate(rings)]
+    return spark.createDataFrame(rows, f"{name} int, {name}_geom array<array<struct<x:double,y:double>>>")
+
+
+def test_thin_sliver_is_kept_and_touching_borders_are_not(spark):
+    section = shapes(spark, "s", [[(0, 0), (1000, 0), (1000, 1000), (0, 1000)]])
+    others = [[(0, 0), (1000, 1000), (1000, 1000 + 1e-9)], [(1, 1), (999, 999), (999, 999 + 1e-9)], [(1000, 0), (1100, 0), (1100, 90), (1000, 90)]]
+    found = O.overlap_join(section, shapes(spark, "o", others), "s_geom", "o_geom").collect()
+    rows = {r["o"]: r["area_intersect"] for r in found}
+    assert 2 not in rows and rows[1] == pytest.approx(4.99e-7, rel=0.2)
+
+
+def test_rows_per_polygon_before_the_shuffle(spark):
+    fields = shapes(spark, "f", [[(k, 0), (k + 1, 0), (k + 1, 1), (k, 1)] for k in range(200)])
+    boxes = [[(0, 0), (1.5 * 2**i, 0), (1.5 * 2**i, 1.5 * 2**j), (0, 1.5 * 2**j)] for i in range(8) for j in range(8)]
+    left, right = O._boxed(fields, "f_geom", "l"), O._boxed(shapes(spark, "b", boxes), "b_geom", "r")
+    assert O._in_cells(left, "l", O._levels(right, "r")).count() <= 10 * fields.count()
+
+
+@pytest.mark.parametrize("codes", [("a",), ("a", "b", "c")])
+def test_exposed_to_any_number_of_chemicals(spark, codes):
+    rows = [(c, s, "n", 1.0 if s != "2" or c != "a" else None) for c in "abcd" for s in ("1", "2")]
+    wide = spark.createDataFrame(rows, "chem_code string, cds_code string, school string, pounds double")
+    assert [r["cds_code"] for r in A.exposed_to_both(wide, "pounds", codes).collect()] == ["1"]

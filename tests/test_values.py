@@ -210,3 +210,14 @@ def test_hot_keys_are_really_split(spark):
     assert keys == ["k", "_block_a", "_block_b"]
     assert l2.count() == 4000 and r2.count() == 4000
     assert l2.groupBy(*keys).count().agg(F.max("count")).first()[0] < 330
+
+
+def test_missing_code_stays_missing(spark):
+    df = spark.createDataFrame([("7",), (None,), ("123",)], "c string")
+    assert [r["p"] for r in df.select(V.pad_code("c").alias("p")).collect()] == ["07", None, "123"]
+
+
+def test_years_without_end(spark):
+    df = spark.createDataFrame([(y,) for y in (2017, 2018, 2030, None)], "water_year int")
+    assert [r[0] for r in R.between_years(df, (2018, None)).collect()] == [2018, 2030]
+    assert [r[0] for r in R.between_years(df, (2017, 2018)).collect()] == [2017, 2018]
