@@ -118,22 +118,29 @@ def train(docs: DataFrame, per_language: int = 1500, least: int = 2) -> Model:
     for k in range(ORDER + 1):
         grams += np.where(order >= k, byte_class[data >> 8 * k & 255].astype(np.int64) * c**k, 0)
     node = np.zeros(1, np.int32)
-    cost = np.full((1, c, many), 8.0)
+    cost = np.full((1, c, many), 8.0, np.float32)
     for k in range(ORDER + 1):
         mine = order == k
         contexts, at = np.unique(grams[mine] // c, return_inverse=True)
-        follow = np.zeros((len(contexts), c, many))
+        follow = np.zeros((len(contexts), c, many), np.float32)
         np.add.at(follow, (at, grams[mine] % c, lang[mine]), n[mine])
         longer = node[np.arange(c**k) % len(node)].copy()  # a context without a node has that of its shorter one
-        shorter = cost[longer[contexts]]
-        total, kinds = follow.sum(1, keepdims=True), (follow > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit = -np.log2(follow / (total + kinds))
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+        for i in range(0, len(contexts), 1024):  # in place and in pieces: the driver is small
+            cut = slice(i, i + 1024)
+            follow[cut] = _bits(follow[cut], cost[longer[contexts[cut]]])
         longer[contexts] = len(cost) + np.arange(len(contexts))
-        cost = np.concatenate([cost, np.where(follow > 0, hit, escape + shorter)])
-        node = longer
-    return Model(languages, byte_class, node, cost.astype(np.float32))
+        cost, node = np.concatenate([cost, follow]), longer
+    return Model(languages, byte_class, node, cost)
+
+
+def _bits(follow: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Code lengths in contexts from counts of the bytes that follow, and from the code lengths in shorter contexts."""
+    follow = follow.astype(np.float64)
+    total, kinds = follow.sum(1, keepdims=True), (follow > 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = -np.log2(follow / (total + kinds))
+        escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+    return np.where(follow > 0, hit, escape + shorter)
 
 
 def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
