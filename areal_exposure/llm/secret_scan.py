@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from areal_exposure.llm.common import ready, utf8, whole_text
+from areal_exposure.sources.scratch import written
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
@@ -161,11 +163,20 @@ def scan(texts: pa.Array, guesser: Guesser, least: float = LEAST_BITS) -> list[l
 
 
 def dictionary(docs: DataFrame, size: int = 20_000) -> Guesser:
-    """The ``size`` commonest words of three letters or more in all texts, ranked; ties by spelling."""
+    """The commonest words of three letters or more in all texts, ranked, ties by spelling: at most ``size``.
+
+    Words as rare as the first one beyond ``size`` are all left out. The limit is found from how many words have
+    each count, so no more than the dictionary itself reaches the driver.
+    """
     words = docs.select(F.explode(F.split(F.lower(whole_text()), r"[^\p{L}]+")).alias("word"))
     usual = words.where(F.length("word").between(3, _LONGEST_WORD)).groupBy("word").count()
-    top = usual.orderBy(F.desc("count"), "word").limit(size).collect()
-    return Guesser({r["word"]: k for k, r in enumerate(top, 1)})
+    usual = written(usual, "words")
+    many = usual.groupBy("count").agg(F.count("*").alias("words"))
+    upto = many.select("count", F.sum("words").over(Window.orderBy(F.desc("count"))).alias("upto"))
+    beyond = upto.where(F.col("upto") > size).agg(F.max("count")).first()[0] or 0
+    top = usual.where(F.col("count") > beyond).collect()
+    ranked = sorted(top, key=lambda r: (-r["count"], r["word"]))
+    return Guesser({r["word"]: k for k, r in enumerate(ranked, 1)})
 
 
 def spans(spark: SparkSession, guesser: Guesser, text: Column, least: float = LEAST_BITS) -> Column:
