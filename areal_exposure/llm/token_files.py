@@ -238,6 +238,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     ``ids`` are little-endian unsigned 32-bit integers, the end id included.
     """
+    ready(spark)
     by_rank = [r["id"] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").toLocalIterator()]
     id_of = spark.sparkContext.broadcast(np.array(by_rank, dtype="<u4"))
 
