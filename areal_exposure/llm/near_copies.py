@@ -117,6 +117,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` of components after more ``edges`` (a, b): only the components that these connect are gone through."""
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        edges = edges.join(known, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_label", end)).drop("_node", "_label")
+    joined = components(edges)
+    moved = joined.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    old = labels.join(moved, F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_label", "label").alias("label"))
+    return written(old.union(joined), "labels")
+
+
 def _pair(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
@@ -220,8 +231,7 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
         apart = written(mixed_buckets(members, labels), "mixed")
         more = written(verified(pairs(apart), texts, least), "links")
         if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+            labels = merged(labels, more)
     found = reps.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
