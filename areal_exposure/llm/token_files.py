@@ -184,7 +184,7 @@ def write_ids(docs: DataFrame, folder: str, file: str, end_id: int, block_tokens
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select("doc_id", whole_text().alias("text"))
-    ordered = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     drafts = ordered.mapInArrow(_drafts(file, end_id, block_tokens), DRAFT)
     drafts.write.option("compression", "zstd").parquet(f"{folder}/drafts")
     drafts = spark.read.parquet(f"{folder}/drafts")
