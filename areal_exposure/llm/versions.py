@@ -1,7 +1,7 @@
 """Fingerprints of texts that tell how much two versions share: invertible Bloom lookup tables of paragraphs.
 
 A text's paragraphs (stretches up to a sentence's or line's end, at most 64 characters) are hashed; the k-th of
-equal ones counts as its own. Each digest is added to one cell in each of three parts of a table, which keeps the
+equal ones counts as its own. Each digest is added to one cell in each of four parts of a table, which keeps the
 number of digests in a cell and the bits of digests and checks folded by exclusive or. Subtracting the tables of two
 versions cancels what they share; cells left with one digest give it away, which clears it from its other cells, and
 so on, until the differing digests are all known. Where cells remain, a larger table is tried. Everything is column
@@ -18,11 +18,10 @@ from areal_exposure.llm.common import whole_text
 from areal_exposure.sources.scratch import written
 
 PARAGRAPH = r"[^\n.!?]{1,64}[\n.!?\s]*|[\n.!?\s]+"
-PARTS = 3
-#: Turns of peeling, one part of the table each. At the usual load a table is empty after about ten.
-TURNS = 14
+PARTS = 4
+#: Turns of peeling, one part of the table each. At the usual load a table is empty after about twelve.
+TURNS = 16
 _BLOCK_ROWS, _MOST_BLOCKS = 512, 1 << 16
-_SENT_ROWS = 50_000
 # Rows of a pair's table beside its cells, and kinds of tables.
 _ROOT, _MINE, _THEIRS = -1, -2, -3
 _OWN, _EDITED, _TO_EDITED, _TO_NEXT = range(4)
@@ -38,11 +37,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) with ``following``, the text after it by doc_id (then text), and a key grp, row.
 
     After the last comes the first. Rows are dealt to at most 65,536 ranges of doc_id; each range also gets the
     first document of the range after it, so that no row needs another range. A null doc_id counts as the least.
+    ``only`` has the ranges (grp) that are wanted, if not all are.
     """
     ends = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low = ends["low"] or 0
@@ -61,6 +61,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     extra = F.struct(F.col("before").alias("grp"), F.lit(True).alias("extra"))
     homes = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, extra))
     rows = rows.select("doc_id", "text", "place", F.explode(homes).alias("home")).select("doc_id", "text", "place", "home.*")
+    if only is not None:  # at most a row per range
+        rows = rows.join(F.broadcast(only.select("grp").distinct()), "grp", "left_semi")
     # Two ranges a task: a task's tables then fit in memory without spilling, however many documents there are.
     rows = rows.repartition(max(1, ranges // 2), "grp")
     order = Window.partitionBy("grp").orderBy("extra", "place", "doc_id", "text")
@@ -171,6 +173,23 @@ def _compared(pairs: DataFrame, factor: float) -> DataFrame:
     return peeled(differences(cell_entries(pairs, factor)))
 
 
+def _told(docs: DataFrame, factor: float, bad: DataFrame | None = None) -> DataFrame:
+    """Each row of ``docs`` (or those of ``bad``, by grp and row) with what its tables tell; the texts move once."""
+    rows = with_next(docs, bad)
+    if bad is not None:
+        rows = rows.join(bad, ["grp", "row"], "left_semi")
+    after = rows.withColumn("edited", edited(F.col("text"), F.col("following")))
+    arrays = [digests(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "edited"), ("following", "following"))]
+    found = _compared(after.select("grp", "row", *arrays), factor)
+    values = [c for c in found.columns if c not in ("grp", "row")]
+    found = found.withColumnsRenamed({"grp": "_grp", "row": "_row"})
+    digest = F.sha2("edited", 256).alias("edited_sha256")
+    about = after.select("doc_id", "grp", "row", F.char_length("text").cast("long").alias("n_chars"), digest)
+    same = (F.col("grp") == F.col("_grp")) & (F.col("row") == F.col("_row"))
+    # A pair without any paragraph has no table: all of its numbers are 0.
+    return about.join(found, same, "left").drop("_grp", "_row").fillna(0, values)
+
+
 def _likeness(other: str) -> Column:
     """Common paragraphs as a share of both versions' mean number, from the numbers of differing ones."""
     common = F.col("own_n") - F.col(f"mine_{other}")
@@ -191,24 +210,14 @@ def fingerprints(docs: DataFrame, factor: float = 1.7) -> DataFrame:
     every difference is recovered. A null or empty text has no paragraphs, and two such are alike (1); an empty
     table gives no rows. Other columns are ignored.
     """
-    rows = with_next(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")))
-    after = rows.withColumn("edited", edited(F.col("text"), F.col("following")))
-    arrays = [digests(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "edited"), ("following", "following"))]
-    pairs = after.select("grp", "row", *arrays)
-    found = written(_compared(pairs, factor), "tables")
-    fail = (F.col("left_edited") > 0) | (F.col("left_next") > 0)
-    bad = found.where(fail).select("grp", "row")
-    failed = bad.count()
-    while failed:
+    docs = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    out = written(_told(docs, factor), "versions")
+    failed = (F.col("left_edited") > 0) | (F.col("left_next") > 0)
+    while not out.where(failed).isEmpty():
         factor *= 2
-        again = pairs.join(F.broadcast(bad) if failed <= _SENT_ROWS else bad, ["grp", "row"])
-        found = written(found.where(~fail).union(_compared(again, factor)), "tables")
-        bad = found.where(fail).select("grp", "row")
-        failed = bad.count()
-    digest = F.sha2("edited", 256).alias("edited_sha256")
-    about = after.select("doc_id", "grp", "row", F.char_length("text").cast("long").alias("n_chars"), digest)
-    out = about.join(found.withColumnsRenamed({"grp": "_grp", "row": "_row"}), (F.col("grp") == F.col("_grp")) & (F.col("row") == F.col("_row")), "left")
-    out = out.fillna(0, [c for c in found.columns if c not in ("grp", "row")])
+        bad = out.where(failed).select("grp", "row")
+        again = _told(docs, factor, bad)
+        out = written(out.where(~failed).union(again), "versions")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", _fingerprint("own").alias("fingerprint"), _fingerprint("edited").alias("edited_fingerprint"),
         _likeness("edited").alias("near_edited"), _likeness("next").alias("near_next"),
