@@ -61,7 +61,7 @@ def of_kinds(spans: str, *kinds: str) -> Column:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = secret_scan.find_secrets(docs, secret_scan.dictionary(docs))
+    found = secret_scan.find_secrets(docs, secret_scan.word_ranks(docs))
     counts = [of_kinds("spans", kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
     digest = F.sha2(secret_scan.span_text(base), 256)

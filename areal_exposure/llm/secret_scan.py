@@ -1,14 +1,19 @@
 """Secrets in texts: fixed patterns, and values in credential contexts that are costly to guess.
 
 The guess cost of a value is the least sum of bits over all ways to cut it into dictionary words (by rank of
-frequency in the corpus, with case and look-alike characters), dates, repeats, keyboard walks and brute-force
+frequency among all words of the corpus, with case and look-alike characters), dates, repeats, keyboard walks and brute-force
 characters, found by dynamic programming over its positions. Words and walks are cheap, random keys aren't.
+
+The corpus' words stay a Spark table (``word_ranks``): the substrings of the values are joined with it, so each value
+is priced with the ranks of just the words that it holds. Words inside such values don't count as met, else a key's
+own letters would be a word.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +47,9 @@ CONTEXTS = (
 )
 #: One of these stands in every match of ASSIGN and CONTEXTS.
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "://")
+_HINTED = "|".join(_HINTS)
+_VALUES = "array<struct<start: int, end: int, value: string>>"
+_PIECES = 100_000
 _IS_HEX = np.zeros(256, dtype=bool)
 _IS_HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 
@@ -128,6 +136,16 @@ class Guesser:
                 start = k
 
 
+def pieces(value: str) -> Iterator[str]:
+    """The substrings of letters that ``Guesser`` looks up for a value, plain and look-alike."""
+    lower = value.lower() if len(value.lower()) == len(value) else value
+    plain = lower.translate(_LOOK_ALIKE)
+    for text in (lower, plain) if plain != lower else (lower,):
+        for run in re.finditer(r"[^\W\d_]+", text):
+            for i in range(run.start(), run.end() - 2):
+                yield from (text[i:j] for j in range(i + 3, min(run.end(), i + _LONGEST_WORD) + 1))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the fixed patterns, leftmost and not overlapping within a kind."""
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -135,15 +153,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def context_values(text: str) -> list[tuple[int, int]]:
+    """Where the values of credential contexts are, by start."""
+    return sorted({m.span(1) for pattern in CONTEXTS for m in pattern.finditer(text)})
+
+
+def _uncovered(found: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    return [(a, b) for a, b in found if not any(i <= a and b <= j for _, i, j in base)]
+
+
 def guess_spans(text: str, guesser: Guesser, base: list[tuple[str, int, int]], least: float) -> list:
     """Costly values in credential contexts that no span of ``base`` holds already."""
-    found = {m.span(1) for pattern in CONTEXTS for m in pattern.finditer(text)}
-    new = [(a, b) for a, b in sorted(found) if not any(i <= a and b <= j for _, i, j in base)]
+    new = _uncovered(context_values(text), base)
     return [("guess", a, b) for a, b in new if guesser.bits(text[a:b]) >= least]
 
 
-def scan(texts: pa.Array, guesser: Guesser, least: float = LEAST_BITS) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text by start, then kind as listed."""
+def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
+    return span[1], KINDS.index(span[0]), span[2]
+
+
+def scan(texts: pa.Array, guesser: Guesser | None, least: float = LEAST_BITS) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text by start, then kind as listed; without a guesser those of the fixed patterns."""
     data, at = utf8(texts.fill_null(""))
     blocks = np.flatnonzero(_IS_HEX[data[: len(data) // 8 * 8]].reshape(-1, 8).all(1)) * 8
     long_hex = set((np.searchsorted(at, blocks, "right") - 1).tolist())  # 16 in a row fill one of the blocks of 8
@@ -155,9 +185,9 @@ def scan(texts: pa.Array, guesser: Guesser, least: float = LEAST_BITS) -> list[l
             hinted = any(h in lower for h in _HINTS)
             if hinted or k in long_hex or "AKIA" in text:
                 spans = base_spans(text)
-                if hinted:
+                if hinted and guesser is not None:
                     spans += guess_spans(text, guesser, spans, least)
-                spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+                spans.sort(key=_order)
         out.append(spans)
     return out
 
@@ -179,7 +209,103 @@ def dictionary(docs: DataFrame, size: int = 20_000) -> Guesser:
     return Guesser({r["word"]: k for k, r in enumerate(ranked, 1)})
 
 
-def spans(spark: SparkSession, guesser: Guesser, text: Column, least: float = LEAST_BITS) -> Column:
+def _words(text: Column) -> Column:
+    return F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")
+
+
+def _hinted(docs: DataFrame) -> DataFrame:
+    return docs.where(F.lower("text").rlike(_HINTED))
+
+
+def _covered(texts: pa.Array) -> pa.Array:
+    """The stretches that values of credential contexts cover, each once."""
+    out = []
+    for text in texts.to_pylist():
+        stretches: list[list[int]] = []
+        for a, b in context_values(text):
+            if stretches and a < stretches[-1][1]:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
+        out.append([text[a:b] for a, b in stretches])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _valued(texts: pa.Array) -> pa.Array:
+    """The values of credential contexts that no span of the fixed patterns holds."""
+    out = []
+    for text in texts.to_pylist():
+        new = _uncovered(context_values(text), base_spans(text))
+        out.append([{"start": a, "end": b, "value": text[a:b]} for a, b in new])
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+    return pa.array(out, pa.list_(kind))
+
+
+def word_ranks(docs: DataFrame) -> DataFrame:
+    """word, rank: every word of 3 to 24 letters that is met outside the values of credential contexts.
+
+    The rank is the number of words at least as common, so equally common ones share it. It comes from how many words
+    have each count.
+    """
+    ready(docs.sparkSession)
+    all_words = docs.select(_words(whole_text())).withColumn("met", F.lit(1))
+    values = _hinted(docs).select(F.explode(F.arrow_udf(_covered, "array<string>").asNondeterministic()("text")).alias("value"))
+    met = all_words.unionAll(values.select(_words(F.col("value"))).withColumn("met", F.lit(-1)))
+    usual = met.where(F.length("word").between(3, _LONGEST_WORD)).groupBy("word").agg(F.sum("met").alias("count"))
+    usual = written(usual.where("count > 0"), "words")
+    many = usual.groupBy("count").agg(F.count("*").alias("words"))
+    ranks = many.select("count", F.sum("words").over(Window.orderBy(F.desc("count"))).alias("rank"))
+    return usual.join(written(ranks, "ranks"), "count").select("word", "rank")
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("_k"), F.xxhash64(F.lit(9), text).alias("_l")]
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (v, w, value) to v, w and each of the value's distinct pieces."""
+    for batch in batches:
+        for v, w, value in zip(*(batch[c].to_pylist() for c in ("v", "w", "value")), strict=True):
+            found = list(set(pieces(value)))
+            for i in range(0, len(found), _PIECES):
+                some = found[i : i + _PIECES]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v] * len(some), pa.int64()), pa.array([w] * len(some), pa.int64()), pa.array(some, pa.string())],
+                    names=["v", "w", "word"],
+                )
+
+
+def guessed(docs: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
+    """_k, _l, _guessed: where each text (by its two hashes) has values that take at least ``least`` bits to guess."""
+    found = _hinted(docs).select(*_text_key(F.col("text")), F.explode(F.arrow_udf(_valued, _VALUES).asNondeterministic()("text")).alias("s"))
+    key = [F.xxhash64("s.value").alias("v"), F.xxhash64(F.lit(9), "s.value").alias("w")]
+    found = written(found.select("_k", "_l", "s.start", "s.end", "s.value", *key), "values")
+    values = found.groupBy("v", "w").agg(F.first("value").alias("value"))
+    held = values.mapInArrow(_piece_rows, "v long, w long, word string").join(ranks, "word")
+    held = held.groupBy("v", "w").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+
+    @F.arrow_udf("boolean")
+    def costly(values: pa.Array, words: pa.Array) -> pa.Array:
+        both = zip(values.to_pylist(), words.to_pylist(), strict=True)
+        return pa.array([Guesser({r["word"]: r["rank"] for r in w or ()}).bits(v) >= least for v, w in both], pa.bool_())
+
+    priced = values.join(held, ["v", "w"], "left").select("v", "w", costly.asNondeterministic()("value", "words").alias("costly"))
+    places = found.select("_k", "_l", "start", "end", "v", "w").distinct()
+    places = places.join(priced.where("costly").select("v", "w"), ["v", "w"], "left_semi")
+    span = F.struct(F.lit("guess").alias("kind"), "start", "end")
+    return written(places.groupBy("_k", "_l").agg(F.collect_list(span).alias("_guessed")), "guessed")
+
+
+def _joined(rows: DataFrame, costly: DataFrame) -> DataFrame:
+    """``rows`` (with _k, _l of their texts) with the spans of ``guessed``, or null."""
+    return rows.join(costly, ["_k", "_l"], "left")
+
+
+def _merged(base: list[tuple[str, int, int]], found: list[dict] | None) -> list[tuple[str, int, int]]:
+    return sorted([*base, *((s["kind"], s["start"], s["end"]) for s in found or ())], key=_order)
+
+
+def spans(spark: SparkSession, guesser: Guesser | None, text: Column, least: float = LEAST_BITS) -> Column:
     """Column of the spans of a text: kind, start and end in code points, end exclusive."""
     shared = spark.sparkContext.broadcast(guesser)
 
@@ -192,29 +318,49 @@ def spans(spark: SparkSession, guesser: Guesser, text: Column, least: float = LE
     return find.asNondeterministic()(text)
 
 
-def find_secrets(docs: DataFrame, guesser: Guesser, least: float = LEAST_BITS) -> DataFrame:
+def find_secrets(docs: DataFrame, guesser: Guesser | DataFrame, least: float = LEAST_BITS) -> DataFrame:
     """Per row of ``docs``: doc_id and spans (kind, start, end) by start, then kind as in ``KINDS``.
 
     Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns; ``guess`` is a value of a credential context
     that takes ``least`` bits to guess and lies in no other span. A null or empty text has no spans; repeated rows
-    give repeated rows; other columns are ignored. A text is read whole, in the task that reads its row.
+    give repeated rows; other columns are ignored. A text is read whole, in the task that reads its row. The words
+    are those of ``guesser``: a small dictionary, or a table of word and rank (``word_ranks``) of any size.
     """
     ready(docs.sparkSession)
+    if isinstance(guesser, DataFrame):
+        base = spans(docs.sparkSession, None, F.col("text")).alias("_base")
+        rows = _joined(docs.select("doc_id", *_text_key(F.col("text")), base), guessed(docs, guesser, least))
+        kind = F.when(F.col("_guessed").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", F.col("_guessed").cast(SPANS)), _by_order))
+        return rows.select("doc_id", kind.alias("spans"))
     return docs.select("doc_id", spans(docs.sparkSession, guesser, F.col("text"), least).alias("spans"))
 
 
-def redacted(docs: DataFrame, guesser: Guesser, mark: str = "[secret]", least: float = LEAST_BITS) -> DataFrame:
-    """``docs`` with ``mark`` in place of every secret in text, and n_chars to match; other texts stay as they are."""
+def _by_order(a: Column, b: Column) -> Column:
+    """Compares spans by start, kind as in ``KINDS`` and end."""
+    one, two = (F.struct(s["start"], F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]), s["end"]) for s in (a, b))
+    return F.when(one < two, -1).when(one > two, 1).otherwise(0)
+
+
+def redacted(docs: DataFrame, guesser: Guesser | DataFrame, mark: str = "[secret]", least: float = LEAST_BITS) -> DataFrame:
+    """``docs`` with ``mark`` in place of every secret in text, and n_chars to match; other texts stay as they are.
+
+    ``guesser`` is as in ``find_secrets``.
+    """
     ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(guesser)
+    table = isinstance(guesser, DataFrame)
+    shared = docs.sparkSession.sparkContext.broadcast(None if table else guesser)
 
     @F.arrow_udf("string")
-    def mask(texts: pa.Array) -> pa.Array:
-        found = scan(texts, shared.value, least)
+    def mask(texts: pa.Array, costly: pa.Array) -> pa.Array:
+        found = map(_merged, scan(texts, shared.value, least), costly.to_pylist())
         return pa.array([t and masked(t, f, mark) for t, f in zip(texts.to_pylist(), found, strict=True)], pa.string())
 
     name = "_masked_text"
-    out = docs.withColumn(name, mask.asNondeterministic()(F.col("text")))
+    if table:
+        rows = _joined(docs.select("*", *_text_key(F.col("text"))), guessed(docs, guesser, least))
+    else:
+        rows = docs.withColumn("_guessed", F.lit(None).cast(SPANS))
+    out = rows.withColumn(name, mask.asNondeterministic()(F.col("text"), F.col("_guessed")))
     changed = ~F.col(name).eqNullSafe(F.col("text"))
     replaced = {"text": F.col(name)}
     if "n_chars" in docs.columns:
