@@ -1,9 +1,10 @@
 """Benchmark items inside documents, found by SimHash windows and a multi-index over their bits.
 
 Words' 64-bit hashes vote on the bits of a window's fingerprint. A window is sized to an item: 16 words for items
-long enough that a copy of four fifths of it must hold 19 words in a row, else 8. Items have a fingerprint at every
-word, documents at every fourth, so a stretch of 19 (11) copied words has a whole document window that some item
-window equals. Fingerprints are cut into four blocks of 16 bits: two that differ in at most three bits agree in a
+long enough that a copy of four fifths of it must hold 19 words in a row, else 8 if it must hold 11. Items have a
+fingerprint at every word, documents at every fourth, so a stretch of 19 (11) copied words has a whole document window
+that some item window equals. Items too short for that (5 to 12 words) are a class of their own: all their five-word
+shingles are looked up at every word of the documents, as a copy shares at least one. Fingerprints are cut into four blocks of 16 bits: two that differ in at most three bits agree in a
 block, so a join on blocks finds all within that radius. Each candidate gives a place in the document, where as
 many words as the item has are compared with it by counted five-word shingles. All of it is column arithmetic: the
 words' votes are added for all 64 bits at once by carry-save adders on bitwise operations.
@@ -33,10 +34,13 @@ def word_hashes(text: Column) -> Column:
 
 
 def window_size(words: Column) -> Column:
-    """The largest window that a copy of four fifths of an item of so many words must hold whole; null below five words."""
+    """The largest window that a copy of four fifths of an item of so many words must hold whole, wherever it starts.
+
+    ``WORDS`` where that is no fingerprint's, and null below five words.
+    """
     intact = F.floor((words - WORDS + 1) * 0.8) + WORDS - 1
-    fits = F.when(intact >= SIZES[1] + STRIDE - 1, SIZES[1])
-    return fits.otherwise(F.when(words >= WORDS, SIZES[0]))
+    fits = F.when(intact >= SIZES[1] + STRIDE - 1, SIZES[1]).when(intact >= SIZES[0] + STRIDE - 1, SIZES[0])
+    return fits.otherwise(F.when(words >= WORDS, WORDS))
 
 
 def with_votes(df: DataFrame, votes: list[str], out: str) -> DataFrame:
@@ -114,6 +118,18 @@ def item_index(items: DataFrame) -> DataFrame:
     return rows.select("key", "print", "item_id", F.col("at").alias("offset"), F.col("hashes").alias("item"))
 
 
+def shingle_keys(df: DataFrame) -> DataFrame:
+    """``df`` (with ``hashes``) once per five-word shingle, at every word ``at``, with its hash as ``print`` and ``key``."""
+    df = df.where(F.size("hashes") >= WORDS).select("*", F.posexplode(_rolled("hashes")).alias("at", "print"))
+    return df.withColumn("key", F.col("print"))
+
+
+def short_index(items: DataFrame) -> DataFrame:
+    """As ``item_index``, of the items too short for fingerprints, by five-word shingles."""
+    rows = shingle_keys(items.where(window_size(F.size("hashes")) == WORDS))
+    return rows.select("key", "print", "item_id", F.col("at").alias("offset"), F.col("hashes").alias("item"))
+
+
 def _rolled(hashes: str) -> Column:
     """The five-word shingles of a stretch of words."""
     places = F.sequence(F.lit(0), F.size(hashes) - WORDS)
@@ -134,6 +150,16 @@ def similarities(candidates: DataFrame) -> DataFrame:
     return counts.groupBy(*key).agg(share.alias("similarity")).drop("print")
 
 
+def _looked_up(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, hashes, at, item_id, item, offset of the documents' keys that an index has, with prints in the radius."""
+    if index.count() <= _SENT_ROWS:
+        index = F.broadcast(index)
+    probes = probes.withColumnRenamed("print", "p")
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("print"))) <= RADIUS
+    met = probes.join(index, (probes["key"] == index["key"]) & near)
+    return met.select("doc_id", "hashes", "at", "item_id", "item", "offset")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity and start: each document and benchmark item (item_id, text) that it holds.
 
@@ -146,14 +172,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     found are shuffled, to keep each once.
     """
     items = benchmark.select("item_id", word_hashes(whole_text()).alias("hashes"))
-    index = written(item_index(items), "index")
-    if index.count() <= _SENT_ROWS:
-        index = F.broadcast(index)
     windows = docs.select("doc_id", word_hashes(whole_text()).alias("hashes"))
-    windows = fingerprints(windows.where(F.size("hashes") >= WORDS), STRIDE)
-    probes = block_keys(windows).withColumnRenamed("print", "p")
-    near = F.bit_count(F.col("p").bitwiseXOR(F.col("print"))) <= RADIUS
-    met = probes.join(index, (probes["key"] == index["key"]) & near)
+    windows = windows.where(F.size("hashes") >= WORDS)
+    met = _looked_up(block_keys(fingerprints(windows, STRIDE)), written(item_index(items), "index"))
+    short = written(short_index(items), "short_index")
+    if not short.isEmpty():
+        met = met.unionAll(_looked_up(shingle_keys(windows), short))
     start = F.greatest(F.lit(0), F.col("at") - F.col("offset"))
     length = F.size("item") + F.least(F.lit(0), F.col("at") - F.col("offset"))
     met = met.select("doc_id", "item_id", "item", start.alias("start"), F.slice("hashes", start + 1, length).alias("stretch"))

@@ -49,6 +49,26 @@ def test_leaks_are_found_and_clean_documents_left(spark, make, odd_texts):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_short_items_are_found_at_every_place(spark, make):
+    rng = random.Random(8)
+    items = [words(rng, n) for n in range(5, 14)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for before in range(9):
+            for after in (0, 30):  # alone, and at the start, inside and at the end of a text
+                want.add((len(texts), k))
+                texts.append(f"{words(rng, before)} {item.upper()}, {words(rng, after)}")
+    for k in (4, 5, 6, 7, 8):  # without the last word, at the end of a text: 0.8 or more of the shingles
+        for before in range(4):
+            want.add((len(texts), k))
+            texts.append(f"{words(rng, 20 + before)} {' '.join(items[k].split()[:-1])}")
+    texts += [" ".join(items[k].split()[:-1]) for k in range(4)] + [f"{items[k].split()[0]} {words(rng, 20)}" for k in range(9)]
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in B.leaks(make(texts), benchmark).collect()}
+    assert set(found) == want
+    assert all(found[d, k] == 1 for d, k in want if d < 2 * 9 * len(items))
+
+
 def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert B.leaks(make([]), none).count() == 0
