@@ -2,12 +2,14 @@
 
 Fixed patterns find e-mail and IP addresses, card and phone numbers. How strongly a term reveals such a value is
 estimated from the corpus: the pointwise mutual information of term and value, over documents, as a share of the
-value's own information. Terms near a value that tell more than a threshold are generalised, those that tell nearly
-all are removed. Everything is column arithmetic and grouping.
+value's own information. Terms of a text with a value that tell more than a threshold of it are generalised wherever
+they stand in that text, those that tell nearly all are removed. Everything is column arithmetic and grouping.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ _PATTERNS = {
     "card": rf"[0-9][0-9{_SEP}]{{12,}}",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters before and after a value whose words are its context.
-REACH = 80
 _SENT_ROWS = 200_000
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -40,8 +40,11 @@ def _marked(text: Column, kind: str) -> Column:
     return F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", _SEP) if kind == "card" else text
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` in ``text`` with start and end in code points: the matches, and the pieces between."""
+def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of ``pattern`` in ``text`` (those ``wanted`` only) with start and end in code points.
+
+    They are found by the matches and the pieces between.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
@@ -50,7 +53,10 @@ def located(text: Column, pattern: str) -> Column:
         start = held["at"] + pair["piece"]
         end = start + F.coalesce(F.char_length(pair["value"]), F.lit(0))
         new = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(held["found"], F.array(new)).alias("found"))
+        more = F.concat(held["found"], F.array(new))
+        if wanted is not None:
+            more = F.when(wanted(pair["value"]), more).otherwise(held["found"])
+        return F.struct(end.alias("at"), more.alias("found"))
 
     pairs = F.arrays_zip(pieces.alias("piece"), values.alias("value"))
     found = F.aggregate(pairs, none, add, lambda held: held["found"])
@@ -109,43 +115,64 @@ def _named(kind: str):
     return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, unit, entity, term, start, end: each word of letters near a value of ``found`` (doc_id, unit, text, spans).
+def with_values(found: DataFrame) -> DataFrame:
+    """unit, n_docs, text, spans: each different text of ``found`` (doc_id, unit, text, spans) that has values, once."""
+    held = found.where(F.size("spans") > 0).groupBy("unit")
+    one = held.agg(F.count_distinct(F.xxhash64("doc_id")).alias("n_docs"), F.first(F.struct("text", "spans")).alias("one"))
+    return one.select("unit", "n_docs", "one.text", "one.spans")
+
+
+def entities(units: DataFrame, support: int) -> DataFrame:
+    """unit, n_docs, entity, n_entity: the values of each text that are met in ``support`` texts or more."""
+    hashes = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
+    own = units.select("unit", "n_docs", F.explode(F.array_distinct(hashes)).alias("entity"))
+    known = own.groupBy("entity").agg(F.sum("n_docs").alias("n_entity"), F.count("*").alias("n")).where(F.col("n") >= support)
+    return own.join(known.drop("n"), "entity")
+
+
+def words_outside(units: DataFrame) -> DataFrame:
+    """unit, term: each distinct word of three letters or more of a text, but for those that values overlap."""
+    text = F.translate("text", _SEP, _OWN)
+    order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def add(held: Column, s: Column) -> Column:
+        kept = F.substring(text, held["at"] + 1, F.greatest(F.lit(0), s["start"] - held["at"]))
+        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], kept, F.lit(_SEP)).alias("out"))
+
+    none, size = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.char_length("text")
+    cut = F.aggregate(order, none, add, lambda h: F.concat(h["out"], F.substring(text, h["at"] + 1, size)))
+    words = F.array_distinct(F.split(F.lower(cut), rf"[^\p{{L}}{_SEP}]+"))
+    each = units.select("unit", F.explode(words).alias("term"))
+    return each.where((F.length("term") > 2) & (F.instr("term", _SEP) == 0))
 
-    Words that the reach cuts, and those inside a value, are left out.
-    """
-    one = found.where(F.size("spans") > 0).select("doc_id", "unit", "text", "spans", F.explode("spans").alias("s"))
-    before, size = F.greatest(F.lit(0), F.col("s.start") - REACH), F.char_length("text")
-    sides = F.array(
-        F.struct(before.alias("at"), F.substring("text", before + 1, F.col("s.start") - before).alias("part")),
-        F.struct(F.col("s.end").alias("at"), F.substring("text", F.col("s.end") + 1, F.lit(REACH)).alias("part")),
-    )
-    entity = F.xxhash64("s.kind", F.lower("s.value")).alias("entity")
-    one = one.select("doc_id", "unit", "spans", entity, size.alias("size"), F.explode(sides).alias("side"))
-    one = one.select("doc_id", "unit", "spans", "entity", "size", "side.at", F.char_length("side.part").alias("n"), F.explode(located(F.col("side.part"), r"\p{L}+")).alias("w"))
-    whole = ((F.col("w.start") > 0) | (F.col("at") == 0)) & ((F.col("w.end") < F.col("n")) | (F.col("at") + F.col("n") == F.col("size")))
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    words = one.where(whole).select("doc_id", "unit", "spans", "entity", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"))
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return words.where(apart & (F.length("term") > 2)).drop("spans")
-
-
-def revealing(near: DataFrame, texts: DataFrame, total: int, threshold: float, support: int) -> DataFrame:
-    """entity, term, share: terms that tell at least ``threshold`` of an entity's information.
 
-    ``near`` is from ``contexts``, ``texts`` has every document's text and ``total`` is their number. A pair must be
-    met in ``support`` different texts, as an estimate from one text says nothing.
+def met_together(units: DataFrame, texts: DataFrame, total: int, threshold: float, support: int) -> DataFrame:
+    """unit, n_docs, entity, n_entity, term, n_term: every value and word that a text of ``units`` has both.
+
+    ``texts`` has every document's text and ``total`` is their number. Left out are pairs that cannot pass: values and
+    terms of too few texts, and terms so common that even in all of a value's texts they tell less than ``threshold``.
     """
-    docs = F.count_distinct("doc_id", "unit")
-    entities = near.groupBy("entity").agg(docs.alias("n_entity"))
-    pairs = near.groupBy("entity", "term").agg(docs.alias("n_both"), F.count_distinct("unit").alias("n_texts"))
-    pairs = written(pairs.where(F.col("n_texts") >= support).join(entities, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
+    own = written(entities(units, support), "entities")
+    words = written(words_outside(units.join(own.select("unit").distinct(), "unit", "left_semi")), "words")
+    terms = written(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term"), "terms")
     if terms.count() <= _SENT_ROWS:
         terms = F.broadcast(terms)
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    held = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    found = pairs.join(held, "term")
+    every = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    counted = written(every.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term")), "counted")
+    n = F.lit(float(total))
+    most = F.log2(n / F.col("n_term")) + 1e-9 >= threshold * F.log2(n / F.col("n_entity"))
+    words = words.join(counted, "term").withColumnRenamed("unit", "_unit")
+    return written(own.join(words, (F.col("unit") == F.col("_unit")) & most).drop("_unit"), "pairs")
+
+
+def revealing(met: DataFrame, total: int, threshold: float, support: int) -> DataFrame:
+    """entity, term, share: terms that tell at least ``threshold`` of an entity's information.
+
+    ``met`` is from ``met_together``. A pair must be met in ``support`` different texts, as an estimate from one text
+    says nothing.
+    """
+    counts = F.sum("n_docs").alias("n_both"), F.count("*").alias("n_texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+    found = met.groupBy("entity", "term").agg(*counts).where(F.col("n_texts") >= support)
     n = F.lit(float(total))
     information = F.log2(n / F.col("n_entity"))
     mutual = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -153,11 +180,28 @@ def revealing(near: DataFrame, texts: DataFrame, total: int, threshold: float, s
     return found.select("entity", "term", share.alias("share")).where(F.col("share") >= threshold)
 
 
+def marked_terms(units: DataFrame, actions: DataFrame) -> DataFrame:
+    """_unit, terms: where the terms of ``actions`` (unit, term, action) stand in their text, all places outside values."""
+    held = actions.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    words = located(F.col("text"), r"\p{L}+", lambda w: F.map_contains_key(F.col("actions"), F.lower(w)))
+    own = units.join(held, "unit").select("unit", "spans", "actions", words.alias("words"))
+
+    def apart(w: Column) -> Column:
+        return ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+
+    def span(w: Column) -> Column:
+        action = F.element_at("actions", F.lower(w["value"])).alias("action")
+        return F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), action)
+
+    return own.select(F.col("unit").alias("_unit"), F.transform(F.filter("words", apart), span).alias("terms"))
+
+
 def disclosures(docs: DataFrame, threshold: float = 0.75, remove: float = 0.95, support: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, unit (a hash of the text) and spans (kind, start, end, action), by kind and start.
 
-    Kinds email, ip, card and phone are the fixed patterns, with action ``hide``. A ``term`` near such a value that
-    tells at least ``threshold`` of its information has action ``generalise``, or ``remove`` from share ``remove``.
+    Kinds email, ip, card and phone are the fixed patterns, with action ``hide``. A ``term`` anywhere in a text with
+    such a value that tells at least ``threshold`` of its information has action ``generalise``, or ``remove`` from
+    share ``remove``, at all its places there outside values.
     Positions are in code points. A null or empty text has no spans; repeated rows give repeated rows; an empty
     table none. Other columns are ignored. Counts are over all documents.
     """
@@ -165,16 +209,13 @@ def disclosures(docs: DataFrame, threshold: float = 0.75, remove: float = 0.95,
     found = base_spans(rows)
     slim = F.when(F.size("spans") > 0, F.col("text")).otherwise("").alias("text")  # texts without values aren't kept
     found = written(found.select("doc_id", "unit", "spans", slim), "values")
-    near = written(contexts(found), "contexts")
-    told = revealing(near, rows, found.count(), threshold, support)
-    most = F.max("share").alias("share")
-    marked = near.join(told, ["entity", "term"]).groupBy("doc_id", "unit", "start", "end").agg(most)
+    units, total = written(with_values(found), "units"), found.count()
+    met = met_together(units, rows, total, threshold, support)
+    told = met.join(revealing(met, total, threshold, support), ["entity", "term"])
+    told = told.groupBy("unit", "term").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
-    span = F.struct(F.lit("term").alias("kind"), "start", "end", action)
-    marked = marked.groupBy("doc_id", "unit").agg(F.sort_array(F.collect_list(span)).alias("terms"))
-    marked = marked.select(F.col("doc_id").alias("_doc"), F.col("unit").alias("_unit"), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("unit") == F.col("_unit"))
-    out = found.select("doc_id", "unit", "spans").join(marked, same, "left")
+    marked = written(marked_terms(units, told.select("unit", "term", action)), "terms")
+    out = found.select("doc_id", "unit", "spans").join(marked, F.col("unit") == F.col("_unit"), "left")
     kind = "array<struct<kind:string,start:int,end:int,action:string>>"
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("hide").alias("action")))
     return out.select("doc_id", "unit", F.concat(base.cast(kind), F.coalesce(F.col("terms").cast(kind), F.array().cast(kind))).alias("spans"))

@@ -118,6 +118,17 @@ def test_terms_that_give_a_person_away(make):
     assert all(clean[k] == texts[k] for k in range(3, len(texts)))
 
 
+def test_terms_far_from_the_value_and_at_all_their_places(make):
+    far = "common words follow " * 20
+    told = [f"Hermione {far}at h.g@wiz.org {far}about {x} HERMIONE and éh.g@wiz.org" for x in ("owls", "cats", "tea")]
+    texts = [*told, *(f"Common words follow about {k} things at and" for k in range(20)), told[0], "mail lone@wiz.org to Albus"]
+    found = {r["doc_id"]: r["spans"] for r in disclosure.disclosures(make(texts)).collect()}
+    for k in (0, 1, 2, 23):
+        terms = [(s["start"], texts[k][s["start"] : s["end"]]) for s in found[k] if s["kind"] == "term"]
+        assert terms == [(0, "Hermione"), (texts[k].index("HERMIONE"), "HERMIONE")]
+    assert all(s["kind"] != "term" for k in range(3, 23) for s in found[k]) and len(found[24]) == 1
+
+
 @pytest.mark.parametrize("run", [disclosure.disclosures, disclosure.sanitised])
 def test_no_documents(make, run):
     assert run(make([])).count() == 0
