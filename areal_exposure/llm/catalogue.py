@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal_exposure.llm import benchmark_leaks, disclosure, language, near_copies, packing, quality, secret_scan, token_counts, token_files, versions
+from areal_exposure.llm import (
+    benchmark_leaks,
+    disclosure,
+    language,
+    near_copies,
+    packing,
+    phrases,
+    quality,
+    ranked_search,
+    secret_scan,
+    token_automaton,
+    token_counts,
+    token_files,
+    versions,
+)
+from areal_exposure.llm.catalogue_sql import ORACLE_SQL
 from areal_exposure.llm.common import documents, table
 from areal_exposure.sources.scratch import shared_folder
 
@@ -76,10 +91,36 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), disclosure.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_automaton.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_token_counts, op3_quality, op4_benchmark_leaks, op5_token_files, op6_near_copies, op7_versions, op8_language, op9_secrets, op10_disclosure)
+    named = (
+        op1_packing,
+        op2_token_counts,
+        op3_quality,
+        op4_benchmark_leaks,
+        op5_token_files,
+        op6_near_copies,
+        op7_versions,
+        op8_language,
+        op9_secrets,
+        op10_disclosure,
+        op11_phrases,
+        op12_token_automaton,
+        op13_ranked_search,
+    )
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)

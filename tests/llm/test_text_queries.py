@@ -18,8 +18,13 @@ COLUMNS = {
     "op7_versions": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op12_token_automaton": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_disclosure": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
 }
+OTHER_COLUMNS = {
+    "op11_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op13_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+}
 NATIVE = ("op4_benchmark_leaks", "op7_versions", "op10_disclosure")
 UNWANTED = "CartesianProduct|BroadcastNestedLoopJoin"
 PYTHON = "Python|Pandas|Arrow"
@@ -27,7 +32,7 @@ PYTHON = "Python|Pandas|Arrow"
 
 def test_all_are_registered():
     assert set(catalogue.queries()) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(catalogue.queries()))
@@ -37,6 +42,8 @@ def test_query(spark, name):
         assert [f"{c} {t}" for c, t in df.dtypes] == COLUMNS[name].split(", ")
         docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
         assert df.agg(F.count("*"), F.count_distinct("doc_id")).first() == (docs, docs)
+    elif name in OTHER_COLUMNS:
+        assert [f"{c} {t}" for c, t in df.dtypes] == OTHER_COLUMNS[name].split(", ")
     else:
         assert "doc_id" in df.columns and df.count() > 0
     plan = df._jdf.queryExecution().executedPlan().toString()
