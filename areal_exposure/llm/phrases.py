@@ -6,9 +6,10 @@ corrections. The count of a shorter phrase is the flow out of its node, the sum
 its end corrections, level by level down to pairs. A node through which all flow goes on by one edge (or came by one)
 is compacted into that edge: the phrase is met only inside the longer one.
 
-A phrase met ``least`` times has only words and pairs met as often. So words are counted first, then pairs, the latter
-by hash, and pieces are cut where a rarer word or pair stands; the graph holds the rest. Which words and
-pairs are common is sent to tasks as bitmaps of fixed size, in which a wrong bit only leaves more in the graph.
+A phrase met ``least`` times has only words met as often. So words are counted first, and pieces are cut where a rarer
+word stands; the graph holds the rest. Which words are common is sent to tasks as a bitmap of fixed size, in which
+a wrong bit only leaves more in the graph. Grams are dealt out by their first three words, so the counts of three to
+five words need no further shuffle. The flow out of pairs is added up in the tasks that read the texts, then between them.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,11 @@ _END = b","
 _BYTES = bytes(44 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a bitmap.
 _BITS = 25
-#: What a task holds before it hands counts on: distinct words or grams, pairs, and known words.
-_HELD, _HELD_PAIRS, _KNOWN = 500_000, 2_000_000, 500_000
+#: What a task holds before it hands counts on: distinct words, grams, and known words.
+_HELD, _HELD_GRAMS, _KNOWN = 500_000, 2_000_000, 500_000
+#: So many of the commonest words, up to so many bytes long, stand in grams as one character; others are spelled.
+_CODED, _CODED_BYTES = 200_000, 64
 _SEED = 42
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -71,36 +75,51 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from rows(held)
 
 
+def codes(words: list[str]) -> dict[bytes, int]:
+    """A character for each word, the commonest first; none is a blank or a comma."""
+    points = (c for c in count(0x30) if not 0xD800 <= c < 0xE000)
+    return {w.encode(): c for w, c in zip(words, points)}
+
+
 class _Words(dict):
-    """Numbers for the words of a language, with their hashes and whether they are common; 0 is the end of a piece."""
+    """Numbers for the words of a language, with their codes and whether they are common; 0 is the end of a piece."""
 
-    def __init__(self, lang: str, common: np.ndarray):
+    def __init__(self, lang: str, common: np.ndarray, code: dict[bytes, int]):
         super().__init__()
-        self.lead, self.common = lang.encode() + b"\t", common
-        self.hashes, self.allowed = array("Q", [0]), array("B", [0])
+        self.lead, self.common, self.code = lang.encode() + b"\t", common, code
+        self.codes, self.allowed = array("I", [0]), array("B", [0])
         self[_END] = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(self.lead + word, _SEED)
-        number = self[word] = len(self.hashes)
-        self.hashes.append(h)
-        self.allowed.append(_has(self.common, h))
+        number = self[word] = len(self.codes)
+        self.codes.append(self.code.get(word, 0))
+        self.allowed.append(_has(self.common, xxhash.xxh64_intdigest(self.lead + word, _SEED)))
         return number
 
-    def pairs(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Where two common words stand side by side in a piece, and the hashes of these pairs."""
+    def grams(self, found: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """The longest gram at every place where common words follow each other in a piece: as rows of codes, or spelled."""
         numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        allowed = np.array(self.allowed, np.bool_)[numbers]
-        hashes = np.array(self.hashes, np.uint64)[numbers]
+        allowed = np.zeros(len(found) + LONGEST, np.bool_)
+        allowed[: len(found)] = np.array(self.allowed, np.bool_)[numbers]
+        code = np.zeros(len(found) + LONGEST, np.uint32)
+        code[: len(found)] = np.array(self.codes, np.uint32)[numbers]
         at = np.flatnonzero(allowed[:-1] & allowed[1:])
-        first, second = hashes[at], hashes[at + 1]
-        mixed = (first ^ (first >> np.uint64(29))) * _M1 + (second ^ (second >> np.uint64(32))) * _M2
-        return at, mixed ^ (mixed >> np.uint64(31))
-
-
-def _known(held: dict[str, _Words], lang: str, common: np.ndarray) -> _Words:
+        rows = np.zeros((len(at), LONGEST), np.uint32)
+        going, spelled = np.ones(len(at), np.bool_), np.zeros(len(at), np.bool_)
+        for k in range(LONGEST):
+            going &= allowed[at + k]
+            rows[:, k] = np.where(going, code[at + k], 0)
+            spelled |= going & (code[at + k] == 0)
+        written_out = []
+        for i in at[spelled].tolist():
+            n = next((k for k in range(LONGEST) if not allowed[i + k]), LONGEST)
+            written_out.append(" ".join(chr(c) if (c := int(code[i + k])) else "," + found[i + k].decode() for k in range(n)))
+        return rows[~spelled], written_out
+
+
+def _known(held: dict[str, _Words], lang: str, common: np.ndarray, code: dict[bytes, int]) -> _Words:
     if lang not in held or len(held[lang]) > _KNOWN:
-        held[lang] = _Words(lang, common)
+        held[lang] = _Words(lang, common, code)
     return held[lang]
 
 
@@ -109,55 +128,66 @@ def _has(bitmap: np.ndarray, h: int) -> int:
     return int(bitmap[bit >> 6]) >> (bit & 63) & 1
 
 
-def _have(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & np.uint64((1 << _BITS) - 1)
-    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+def _added_up(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of codes and how often each is there."""
+    wide = rows.astype(np.uint64)
+    first = wide[:, 0] << np.uint64(42) | wide[:, 1] << np.uint64(21) | wide[:, 2]
+    second = wide[:, 3] << np.uint64(21) | wide[:, 4]
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+    return rows[order[new]], np.diff(np.append(new, len(rows)))
 
 
-def _counted_pairs(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """pair (hash) and n."""
+def _spaced(rows: np.ndarray) -> pa.Array:
+    """Rows of codes as strings with blanks between the characters; zeros at the end are left out."""
+    n, k = rows.shape
+    points = np.zeros((n, 2 * k - 1), np.uint32)
+    points[:, ::2] = rows
+    points[:, 1::2] = np.where(rows[:, 1:] > 0, 32, 0)
+    return pa.array(points.view(f"<U{2 * k - 1}").ravel(), pa.string())
 
-    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    words, parts, size = {}, [], 0
-    for batch in batches:
-        for lang, texts in _by_language(batch).items():
-            parts.append(_known(words, lang, common).pairs(tokens(texts))[1])
-            size += len(parts[-1])
-        if size > _HELD_PAIRS:
-            yield rows(parts)
-            parts, size = [], 0
-    if size:
-        yield rows(parts)
 
+def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, code: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """lang, lead (first three words), tail (the rest) and n of the longest grams; under a null tail, the flow out of pairs.
 
-def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, common_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """lang, gram, k (words), n: at every place the longest gram, up to five words, in a run of common pairs."""
-
-    def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            k = [g.count(b" ") + 1 for g in counts]
-            grams = pa.array([g.decode() for g in counts], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), grams, pa.array(k, pa.int32()), pa.array(counts.values(), pa.int64())], names=["lang", "gram", "k", "n"])
+    Grams come in order, so the flow out of their pairs is a sum over neighbours. A gram of two words is only in that.
+    """
 
-    words, held = {}, defaultdict(Counter)
+    def batch_of(lang: str, lead: pa.Array, tail: pa.Array, n: np.ndarray | list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(lead), pa.string()), lead, tail, pa.array(n, pa.int64())], names=["lang", "lead", "tail", "n"])
+
+    def rows(held: dict[str, list[np.ndarray]], spelled: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            grams, n = _added_up(np.concatenate(parts))
+            new = np.flatnonzero(np.concatenate(([True], (grams[1:, :2] != grams[:-1, :2]).any(axis=1))))
+            lead = _spaced(grams[new, :2])
+            yield batch_of(lang, lead, pa.nulls(len(lead), pa.string()), np.add.reduceat(n, new))
+            grams, n = grams[grams[:, 2] > 0], n[grams[:, 2] > 0]
+            for i in range(0, len(grams), 100_000):
+                part = grams[i : i + 100_000]
+                yield batch_of(lang, _spaced(part[:, :3]), _spaced(part[:, 3:]), n[i : i + 100_000])
+        for lang, counts in spelled.items():
+            pairs = Counter()
+            for gram, n in counts.items():
+                pairs[" ".join(gram.split(" ")[:2])] += n
+            yield batch_of(lang, pa.array(pairs, pa.string()), pa.nulls(len(pairs), pa.string()), list(pairs.values()))
+            longer = [(g.split(" "), n) for g, n in counts.items() if g.count(" ") > 1]
+            lead, tail = (pa.array([" ".join(w) for w in words], pa.string()) for words in ([g[:3] for g, _ in longer], [g[3:] for g, _ in longer]))
+            yield batch_of(lang, lead, tail, [n for _, n in longer])
+
+    words, held, spelled, size = {}, defaultdict(list), defaultdict(Counter), 0
     for batch in batches:
         for lang, texts in _by_language(batch).items():
-            found = tokens(texts)
-            at, pairs = _known(words, lang, common).pairs(found)
-            at = at[_have(common_pairs, pairs)]
-            runs = np.zeros(len(found) + LONGEST, np.int8)
-            runs[at] = 1
-            length = runs[at].copy()
-            for ahead in range(1, LONGEST - 1):
-                length += (length == ahead) & (runs[at + ahead] == 1)
-            held[lang].update([b" ".join(found[i : i + n]) for i, n in zip(at.tolist(), (length + 1).tolist(), strict=True)])
-        if sum(map(len, held.values())) > _HELD:
-            yield from rows(held)
-            held = defaultdict(Counter)
-    yield from rows(held)
+            coded, written_out = _known(words, lang, common, code).grams(tokens(texts))
+            if len(coded):
+                held[lang].append(coded)
+            spelled[lang].update(written_out)
+            size += len(coded) + len(written_out)
+        if size > _HELD_GRAMS:
+            yield from rows(held, spelled)
+            held, spelled, size = defaultdict(list), defaultdict(Counter), 0
+    yield from rows(held, spelled)
 
 
 def _bitmap(hashes: DataFrame, h: str) -> np.ndarray:
@@ -171,9 +201,9 @@ def _bitmap(hashes: DataFrame, h: str) -> np.ndarray:
 
 
 def graph(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Words (lang, word, n; all words of a language under a null word) and edges with end corrections (lang, gram, k, n).
+    """Words (lang, word, n; all words of a language under a null word) and the graph's phrases (lang, phrase, k, n).
 
-    Holds the words, and the grams of words and pairs, that are met ``least`` times in their language. Both are written tables.
+    Both are written tables, and hold what is met ``least`` times in its language.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -181,34 +211,43 @@ def graph(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     total = F.sum("n").cast("long").alias("n")
     words = texts.mapInArrow(_counted_words, "lang string, word string, n long").groupBy("lang", "word").agg(total)
     words = written(words.where(F.col("word").isNull() | (F.col("n") >= least)), "words")
-    hashed = words.where("word is not null").select(F.xxhash64(F.concat_ws("\t", "lang", "word")).alias("h"))
-    common = spark.sparkContext.broadcast(_bitmap(hashed, "h"))
+    listed = words.where("word is not null")
+    common = spark.sparkContext.broadcast(_bitmap(listed.select(F.xxhash64(F.concat_ws("\t", "lang", "word")).alias("h")), "h"))
+    commonest = listed.where(F.octet_length("word") <= _CODED_BYTES).groupBy("word").agg(total).orderBy(F.desc("n"), "word")
+    code = spark.sparkContext.broadcast(codes([r["word"] for r in commonest.limit(_CODED).collect()]))
+
+    grams = texts.mapInArrow(lambda batches: _counted_grams(batches, common.value, code.value), "lang string, lead string, tail string, n long")
+    return words, written(_spelled(_flows(grams, least), code), "phrases")
 
-    pairs = texts.mapInArrow(lambda batches: _counted_pairs(batches, common.value), "pair long, n long")
-    pairs = pairs.groupBy("pair").agg(total).where(F.col("n") >= least)
-    common_pairs = spark.sparkContext.broadcast(_bitmap(pairs, "pair"))
 
-    grams = texts.mapInArrow(lambda batches: _counted_grams(batches, common.value, common_pairs.value), "lang string, gram string, k int, n long")
-    return words, written(grams.groupBy("lang", "gram", "k").agg(total), "edges")
+def _flows(grams: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, k, n of all phrases of two to five words that are met often, from grams as (lang, lead, tail, n)."""
+    total = F.sum("n").cast("long").alias("n")
+    often = F.col("n") >= least
+    edges = grams.repartition("lang", "lead").groupBy("lang", "lead", "tail").agg(total)
+    # no phrase is met more often than its first three words, whose count is all flow that leaves them
+    flow = F.sum("n").over(Window.partitionBy("lang", "lead"))
+    held = written(edges.withColumn("flow", flow).where(F.col("flow") >= least).drop("flow"), "edges")
+
+    pair = held.where("tail is null").select("lang", F.col("lead").alias("phrase"), F.lit(2).alias("k"), "n")
+    edges = held.where("tail is not null")
+    whole = F.concat_ws(" ", "lead", "tail")
+    flow = edges.where("tail != ''").withColumn("tail", F.substring_index("tail", " ", 1)).groupBy("lang", "lead", "tail").agg(total)
+    five = edges.where(F.instr("tail", " ") > 0).select("lang", whole.alias("phrase"), F.lit(5).alias("k"), "n")
+    four = flow.select("lang", whole.alias("phrase"), F.lit(4).alias("k"), "n")
+    three = edges.groupBy("lang", F.col("lead").alias("phrase")).agg(total).select("lang", "phrase", F.lit(3).alias("k"), "n")
+    return pair.unionByName(three).unionByName(four).unionByName(five).where(often)
 
 
-def flows(edges: DataFrame) -> dict[int, DataFrame]:
-    """lang, phrase and n for each number of words from five to two: flow out of a node plus its end corrections."""
-    ends = {k: edges.where(F.col("k") == k).select("lang", F.col("gram").alias("phrase"), "n") for k in range(2, LONGEST + 1)}
-    levels = {LONGEST: ends[LONGEST]}
-    for k in range(LONGEST - 1, 1, -1):
-        leaving = levels[k + 1].select("lang", F.substring_index("phrase", " ", k).alias("phrase"), "n")
-        levels[k] = leaving.unionByName(ends[k]).groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("n"))
-    return levels
+def _spelled(phrases: DataFrame, code: Broadcast) -> DataFrame:
+    """The same phrases with their words instead of codes."""
 
+    @F.arrow_udf("string")
+    def spelled(coded: pa.Array) -> pa.Array:
+        word = {chr(c): w.decode() for w, c in code.value.items()}
+        return pa.array([" ".join(x[1:] if x[0] == "," else word[x] for x in p.split(" ")) for p in coded.to_pylist()], pa.string())
 
-def phrase_counts(edges: DataFrame, least: int = 100) -> DataFrame:
-    """lang, phrase, k, n of all phrases of two to five words met ``least`` times; a written table."""
-    common = None
-    for k, level in flows(edges).items():
-        level = level.where(F.col("n") >= least).withColumn("k", F.lit(k))
-        common = level if common is None else common.unionByName(level)
-    return written(common, "phrases")
+    return phrases.withColumn("phrase", spelled("phrase"))
 
 
 def _part(phrase: str, k: Column) -> Column:
@@ -237,8 +276,7 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000) -> DataFr
     ones have no words, and a null lang is ``und``. Repeated rows count each time. A phrase is scored by its weakest cut
     into two; ties of score go to the more frequent, then the lower in byte order. No rows in, no rows out. Only lang and text are read.
     """
-    words, edges = graph(docs, least)
-    found = phrase_counts(edges, least)
+    words, found = graph(docs, least)
     totals = words.where("word is null").select("lang", F.col("n").alias("all_words"))
     counts = found.select("lang", "phrase", "n").unionByName(words.where("word is not null").select("lang", F.col("word").alias("phrase"), "n"))
     left, right = (counts.select("lang", F.col("phrase").alias(f"{s}_part"), F.col("n").alias(s)) for s in ("l", "r"))

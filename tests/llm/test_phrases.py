@@ -34,8 +34,8 @@ def found(docs, least, first):
     return sorted(map(tuple, phrases.collocations(docs, least, first).collect()))
 
 
-@pytest.mark.parametrize(("seed", "first"), [(1, 2000), (2, 7)])
-def test_against_brute_force(make, monkeypatch, seed, first):
+@pytest.mark.parametrize(("seed", "first", "coded"), [(1, 2000, 200_000), (2, 7, 3), (3, 2000, 0)])
+def test_against_brute_force(make, monkeypatch, seed, first, coded):
     rng = random.Random(seed)
     vocabulary = ["a", "b", "C", "Élan", "d\x1ce", "f\xa0g", "h'i", "rare%d"]
     texts, langs = [], []
@@ -46,7 +46,8 @@ def test_against_brute_force(make, monkeypatch, seed, first):
     texts += ["the same line over and over again here"] * 30 + [None, "", " ,; ", "x"]
     langs += ["en"] * 34
     monkeypatch.setattr(phrases, "_HELD", 200)  # several parts from each task
-    monkeypatch.setattr(phrases, "_HELD_PAIRS", 200)
+    monkeypatch.setattr(phrases, "_HELD_GRAMS", 200)
+    monkeypatch.setattr(phrases, "_CODED", coded)  # the rest are spelled
     assert found(make(texts, langs=langs), 5, first) == brute(texts, langs, 5, first)
 
 
