@@ -10,12 +10,12 @@ The predicted language is the one under which the whole text has the least code
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +162,7 @@ def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 def languages_of(model: Model, texts: pa.Array) -> pa.Array:
     """Struct of lang_pred, score and bits (least code length per byte) of each text."""
-    letter = re.compile(r"[^\W\d_]")
+    letter = regex.compile(r"\p{L}")
     ok = [t is not None and letter.search(t) is not None for t in texts.to_pylist()]
     bits, size = code_lengths(model, texts)
     ok = np.array(ok, dtype=bool) & bool(model.languages)

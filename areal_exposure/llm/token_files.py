@@ -100,7 +100,9 @@ class Encoder:
         made, needed = {}, set()
         for w in words:
             core = w.rstrip(_TAIL)
-            parts = (core.lower(), w[len(core) :]) if core.isalpha() and max(core) < "\u0250" else (w, "")
+            # a letter may become a letter and a mark, which the library takes together with what follows
+            alike = core.isalpha() and max(core) < "\u0250" and core.lower().isalpha()
+            parts = (core.lower(), w[len(core) :]) if alike else (w, "")
             made[w] = parts
             needed.update(parts)
         needed = [w for w in needed if w and w not in self.known]

@@ -69,6 +69,8 @@ def test_languages_of_held_out_and_odd_texts(make, odd_texts):
     assert len(odd) == len(odd_texts)
     assert all(odd[k]["lang_pred"] == "und" and odd[k]["score"] == 0 for k in range(4))
     assert all(0 <= r["score"] <= 1 for r in odd.values())
+    unlettered = language.identify(make(["² ½ 12", "① Ⅷ", "日", "ª"]), model).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(unlettered, key=lambda r: r["doc_id"])] == [True, True, False, False]
     kept = language.accepted(make(["abc dab é", None, "12"]), model)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [0]
 

@@ -48,8 +48,11 @@ def test_codes_round_trip(ranks):
     assert token_files.decoded(control, data, len(ranks)).tolist() == ranks
 
 
-@given(st.lists(st.text(max_size=40), min_size=1, max_size=8))
-@settings(deadline=None, max_examples=80)
+MARKED = st.lists(st.sampled_from([*"aZİıßΣςéÉ '.,!12", "ANKARAYİ", "İ,", "\u0301", "\u0307", "'S", "<|endoftext|>", "\xa0", "ǅ"]), max_size=25).map("".join)
+
+
+@given(st.lists(st.text(max_size=40) | MARKED, min_size=1, max_size=8))
+@settings(deadline=None, max_examples=2500)
 def test_ids_by_word_equal_the_library(texts):
     import pyarrow as pa
 
