@@ -235,11 +235,11 @@ def test_year_below_a_relative_folder(spark, tmp_path, monkeypatch):
     assert [r["year"] for r in text.read_with_path_year(spark, path).collect()] == [2018]
 
 
-SQUARE = "[[[0,0],[1,0],[1,1],[0,1],[0,0]]]"
-POLYGON = f'{{"type":"Polygon","coordinates":{SQUARE}}}'
+RING = "[[[0,0],[1,0],[1,1],[0,1],[0,0]]]"
+POLYGON = f'{{"type":"Polygon","coordinates":{RING}}}'
 
 
-def feature(name, geometry=POLYGON):
+def named(name, geometry=POLYGON):
     return f'{{"type":"Feature","properties":{{"name":"{name}"}},"geometry":{geometry}}}'
 
 
@@ -249,16 +249,16 @@ def areas(spark, path, **how):
 
 
 def test_two_features_in_a_line_and_the_end_of_a_collection(spark, tmp_path):
-    (tmp_path / "a.json").write_text(f"{feature('a')},{feature('b')},\n{feature('c')}]}}\n")
+    (tmp_path / "a.json").write_text(f"{named('a')},{named('b')},\n{named('c')}]}}\n")
     assert areas(spark, tmp_path) == {"a": 1.0, "b": 1.0, "c": 1.0}
 
 
 @pytest.mark.parametrize(
     "content",
     [
-        f'{{"type":"FeatureCollection","features":[{feature("a")}],"bbox":[0,0,1,1]}}',
-        f"{feature('a')} {feature('b')}",
-        feature("a", '{"type":"LineString","coordinates":[[0,0],[1,1]]}'),
+        f'{{"type":"FeatureCollection","features":[{named("a")}],"bbox":[0,0,1,1]}}',
+        f"{named('a')} {named('b')}",
+        named("a", '{"type":"LineString","coordinates":[[0,0],[1,1]]}'),
     ],
 )
 def test_what_would_be_lost_fails(spark, tmp_path, content):
@@ -270,9 +270,9 @@ def test_what_would_be_lost_fails(spark, tmp_path, content):
 def test_collections_of_geometries_and_whole_files(spark, tmp_path):
     line = '{"type":"LineString","coordinates":[[0,0],[1,1]]}'
     mixed = f'{{"type":"GeometryCollection","geometries":[{POLYGON},{line}]}}'
-    (tmp_path / "a.json").write_text(feature("a", mixed) + "\n")
+    (tmp_path / "a.json").write_text(named("a", mixed) + "\n")
     assert areas(spark, tmp_path) == {"a": 1.0}
     whole = tmp_path / "whole"
     whole.mkdir()
-    (whole / "b.json").write_text(f'{{"type":"FeatureCollection","features":[{feature("b")},\n{feature("c", mixed)}],"bbox":[0]}}')
+    (whole / "b.json").write_text(f'{{"type":"FeatureCollection","features":[{named("b")},\n{named("c", mixed)}],"bbox":[0]}}')
     assert areas(spark, whole, whole_file=True) == {"b": 1.0, "c": 1.0}
