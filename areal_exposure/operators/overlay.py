@@ -26,11 +26,12 @@ def _level(lo: Column, hi: Column) -> Column:
     return F.coalesce(F.greatest(F.ceil(F.log2(extent) / 2), F.lit(_FINEST)), F.lit(_FINEST)).cast("int")
 
 
-def _size(level: Column) -> Column:
+def level_size(level: Column) -> Column:
+    """Side of a grid cell."""
     return F.pow(F.lit(4.0), level)
 
 
-def _boxed(layer: DataFrame, geom: str, side: str) -> DataFrame:
+def boxed(layer: DataFrame, geom: str, side: str) -> DataFrame:
     """Add the bounding box and its grid level, that of its longer side."""
     b = F.col(f"_{side}")
     boxed = layer.withColumn(f"_{side}", G.box(F.col(geom)))
@@ -38,7 +39,7 @@ def _boxed(layer: DataFrame, geom: str, side: str) -> DataFrame:
     return boxed.withColumn(f"_{side}_level", level)
 
 
-def _levels(boxed: DataFrame, side: str) -> Column:
+def levels_of(boxed: DataFrame, side: str) -> Column:
     """All grid levels of a layer as one array. There are a few dozen at most: sizes by powers of four."""
     return boxed.agg(F.sort_array(F.collect_set(f"_{side}_level"))).scalar()
 
@@ -52,7 +53,7 @@ def _in_cells(boxed: DataFrame, side: str, other_levels: Column) -> DataFrame:
     grids = F.array_distinct(F.transform(F.col("_other"), lambda o: F.greatest(F.col(f"_{side}_level"), o)))
 
     def span(lo: str, hi: str, level: Column) -> Column:
-        return F.sequence(F.floor(b[lo] / _size(level)), F.floor(b[hi] / _size(level)))
+        return F.sequence(F.floor(b[lo] / level_size(level)), F.floor(b[hi] / level_size(level)))
 
     def cells(g: Column) -> Column:
         columns = F.transform(
@@ -85,8 +86,8 @@ def meeting_pairs(
     Cells that hold a large part of a layer are split over tasks (see
     :func:`~areal_exposure.operators.joins.split_hot`).
     """
-    lb, rb = _boxed(left, left_geom, "l"), _boxed(right, right_geom, "r")
-    lc, rc = _in_cells(lb, "l", _levels(rb, "r")), _in_cells(rb, "r", _levels(lb, "l"))
+    lb, rb = boxed(left, left_geom, "l"), boxed(right, right_geom, "r")
+    lc, rc = _in_cells(lb, "l", levels_of(rb, "r")), _in_cells(rb, "r", levels_of(lb, "l"))
 
     def told_apart_by(df: DataFrame, geom: str, side: str) -> list[str]:
         return [c for c in df.columns if c != geom] + [f"_{side}"]
@@ -101,8 +102,8 @@ def meeting_pairs(
         (x0 < x1)
         & (y0 < y1)
         & (F.greatest("_l_level", "_r_level") == F.col("_level"))
-        & (F.floor(x0 / _size(F.col("_level"))) == F.col("_gx"))
-        & (F.floor(y0 / _size(F.col("_level"))) == F.col("_gy"))
+        & (F.floor(x0 / level_size(F.col("_level"))) == F.col("_gx"))
+        & (F.floor(y0 / level_size(F.col("_level"))) == F.col("_gy"))
     )
     columns = [c for df in (left, right) for c in df.columns if c not in on]
     return l2.join(r2, keys).where(once).select(*on, *columns, ((x1 - x0) * (y1 - y0)).alias("_common"))

@@ -17,6 +17,7 @@ from areal_exposure.functions import values as V
 from areal_exposure.functions.projection import CALIFORNIA, map_points
 from areal_exposure.operators import apportion as A
 from areal_exposure.operators import census as C
+from areal_exposure.operators import fragments as FR
 from areal_exposure.operators import joins as J
 from areal_exposure.operators import records as R
 from areal_exposure.operators import stats as S
@@ -564,6 +565,46 @@ def school_buffer_round(v):
     return buffers.select("cds_code", "radius", r6(G.area(F.col("geom")), "area"))
 
 
+@query(
+    """select cds_code, r as radius, round(0.75E0 * 0.04E0 + 0.8E0 * r + 80 * tan(pi() / 64) * r * r - r * r, 6) as area
+from (select cds_code, 0.01E0 * (1 + cast(cds_code as bigint) % 9) as r from schools)""",
+    "schools",
+)
+def school_buffer_concave(v):
+    """Grounds without their upper right quarter: five round corners, and a square at the inner one that counts once."""
+    box = G.box(F.col("geom"))
+    x0, y0, x1, y1 = (box[c] for c in ("x0", "y0", "x1", "y1"))
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    grounds = F.array(F.array(*[G.point(x, y) for x, y in ((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1))]))
+    radius = (F.col("cds_code").cast("bigint") % 9 + 1) * F.lit(0.01)
+    shaped = written(v.schools().select("cds_code", radius.alias("radius"), grounds.alias("geom")))
+    return shaped.select("cds_code", "radius", r6(G.area(G.buffer(F.col("geom"), F.col("radius"))), "area"))
+
+
+def _below_diagonal(c: str) -> str:
+    """SQL: area of a section right of and below the diagonal of a tract, above height c."""
+    line = "t.y0 + (t.y1 - t.y0) / (t.x1 - t.x0) * ({} - t.x0) - " + c
+    lo, hi = line.format("greatest(s.x0, t.x0)"), line.format("least(s.x1, t.x1)")
+    return f"(pow(greatest({hi}, 0), 2) - pow(greatest({lo}, 0), 2)) / (2 * (t.y1 - t.y0) / (t.x1 - t.x0))"
+
+
+@query(
+    f"""select co_mtrs, geoid, round(area, 6) as area from (
+  select co_mtrs, geoid, {_below_diagonal("greatest(s.y0, t.y0)")} - {_below_diagonal("least(s.y1, t.y1)")} as area
+  from sections s join tracts t on {meets("s", "t")}) where area > 1e-9""",
+    "sections",
+    "tracts",
+)
+def overlay_triangles(v):
+    """Sections against the lower halves of tracts, by fragments of the tracts' sides."""
+    box = G.box(F.col("geom"))
+    x0, y0, x1, y1 = (box[c] for c in ("x0", "y0", "x1", "y1"))
+    half = F.array(F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1)))
+    sections = v.sections().select("co_mtrs", F.col("geom").alias("other_geom"))
+    shared = FR.detailed_overlap_join(v.tracts().select("geoid", half.alias("geom")), sections, "geoid", "co_mtrs")
+    return shared.where("area_intersect > 1e-9").select("co_mtrs", "geoid", r6("area_intersect", "area"))
+
+
 @query(
     "select chem_code, radius, cds_code, school, district, round(pounds, 6) as pounds from school_totals",
     "school_totals",

@@ -12,6 +12,7 @@ from areal_exposure import constants as K
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions.projection import CALIFORNIA, map_points
 from areal_exposure.operators import apportion as A
+from areal_exposure.operators import fragments as FR
 from areal_exposure.operators import overlay as O
 
 PAIR = f"id int, a {G.GEOM_TYPE}, b {G.GEOM_TYPE}"
@@ -124,6 +125,56 @@ def test_buffer(spark):
     assert square[0] == pytest.approx(8 * 7)
 
 
+def test_buffers_of_concave_shapes_and_parts(spark):
+    r = 0.5
+    far = box(0, 0, 1, 1) + box(9, 9, 10, 11)
+    spike = [ring([(0, 0), (4, 0), (4, 0), (2, 0)])]
+    rows = [(0, L_SHAPE, []), (1, far, []), (2, WITH_HOLE, []), (3, [ring([(3, 3)])], []), (4, [ring([(0, 0), (3, 4)])], []), (5, spike, []), (6, [], []), (7, None, [])]
+    got = dict(spark.createDataFrame(rows, PAIR).select("id", G.area(G.buffer(F.col("a"), F.lit(r)))).collect())
+    disc = math.pi * r * r
+    exact = {
+        0: 3 + 8 * r + 5 / 4 * disc - r * r,  # the two rectangles at the inner corner share a square
+        1: (1 + 4 * r + disc) + (2 + 6 * r + disc),
+        2: 9 + 12 * r + disc,  # the hole of 1 x 1 closes
+        3: disc,
+        4: 5 * 2 * r + disc,
+        5: 4 * 2 * r + disc,
+    }
+    for k, area in exact.items():
+        assert area - 1e-9 <= got[k] <= area * 1.001
+    assert got[6] is None and got[7] is None
+
+
+def distance(pt, geom):
+    def to_side(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = max(0, min(1, ((pt[0] - p["x"]) * dx + (pt[1] - p["y"]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(pt[0] - p["x"] - t * dx, pt[1] - p["y"] - t * dy)
+
+    return 0 if inside(pt, geom) else min(to_side(p, q) for r in geom for p, q in zip(r, r[1:] + r[:1]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_buffers_meet_fields_as_by_point_counting(spark, seed):
+    rng = random.Random(seed)
+    grounds = star(rng, 0, 0, 9, 0.1) + star(rng, 1.8, 0.4, 6, 0.3) if seed else [*box(-1, -1, 1, 1), ring([(-0.8, -0.8), (-0.8, 0.8), (0.8, 0.8), (0.8, -0.8)])]
+    field, r, n = star(rng, 0.6, 0.3, 7), rng.uniform(0.1, 0.5), 200
+    hits = sum(
+        inside(pt, field) and distance(pt, grounds) <= r
+        for i in range(n) for j in range(n) for pt in [(-1 + 3 * (i + 0.5) / n, -1 + 3 * (j + 0.5) / n)]
+    )
+    df = spark.createDataFrame([(0, grounds, field)], PAIR).withColumn("a", G.buffer(F.col("a"), F.lit(r)))
+    got = df.select(G.overlap_area(G.edges(F.col("a")), G.edges(F.col("b")))).first()[0]
+    assert got == pytest.approx(hits * 9 / n / n, abs=0.01)
+
+
+def test_overlapping_curves_count_once(spark):
+    curves = [(0, box(0, 0, 2, 2) + box(1, 1, 3, 3) + box(0, 0, 2, 2), []), (1, [ring([(0, 0), (2, 2), (2, 0), (0, 2)])], [])]
+    got = dict(spark.createDataFrame(curves, PAIR).select("id", G.area(G.wound(F.col("a")))).collect())
+    assert got[0] == pytest.approx(7)
+    assert got[1] == pytest.approx(1)  # of a bow tie, the half that is wound round counter-clockwise
+
+
 def test_equal_area_projection(spark):
     cell = box(-120, 36, -119, 37)
     fine = [ring([(-120 + k / 400, 36) for k in range(400)] + [(-119, 36 + k / 400) for k in range(400)]
@@ -231,8 +282,8 @@ def test_thin_sliver_is_kept_and_touching_borders_are_not(spark):
 def test_rows_per_polygon_before_the_shuffle(spark):
     fields = shapes(spark, "f", [[(k, 0), (k + 1, 0), (k + 1, 1), (k, 1)] for k in range(200)])
     boxes = [[(0, 0), (1.5 * 2**i, 0), (1.5 * 2**i, 1.5 * 2**j), (0, 1.5 * 2**j)] for i in range(8) for j in range(8)]
-    left, right = O._boxed(fields, "f_geom", "l"), O._boxed(shapes(spark, "b", boxes), "b_geom", "r")
-    assert O._in_cells(left, "l", O._levels(right, "r")).count() <= 10 * fields.count()
+    left, right = O.boxed(fields, "f_geom", "l"), O.boxed(shapes(spark, "b", boxes), "b_geom", "r")
+    assert O._in_cells(left, "l", O.levels_of(right, "r")).count() <= 10 * fields.count()
 
 
 @pytest.mark.parametrize("codes", [("a",), ("a", "b", "c")])
@@ -240,3 +291,45 @@ def test_exposed_to_any_number_of_chemicals(spark, codes):
     rows = [(c, s, "n", 1.0 if s != "2" or c != "a" else None) for c in "abcd" for s in ("1", "2")]
     wide = spark.createDataFrame(rows, "chem_code string, cds_code string, school string, pounds double")
     assert [r["cds_code"] for r in A.exposed_to_both(wide, "pounds", codes).collect()] == ["1"]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_fragments_give_the_same_areas(spark, seed):
+    """Shapes of all sizes, many of them with vertices and sides on the lines of the grid."""
+    rng = random.Random(seed)
+
+    def shape(k):
+        if k % 3 == 0:  # on the grid
+            x, y, w, h = (rng.randint(-6, 6) for _ in range(4))
+            return box(x, y, x + abs(w) + 1, y + abs(h) + 1)
+        if k % 3 == 1:
+            x, y = rng.randint(-4, 4), rng.randint(-4, 4)
+            return [ring([(x + p["x"] * 4, y + p["y"] * 4) for p in r]) for r in (L_SHAPE, U_SHAPE, WITH_HOLE)[k % 9 // 3]]
+        size, x, y = 4 ** rng.uniform(-2, 2), rng.uniform(-6, 6), rng.uniform(-6, 6)
+        return [ring([(x + size * p["x"], y + size * p["y"]) for p in r]) for r in star(rng, 0, 0, rng.randint(3, 40))]
+
+    left = spark.createDataFrame([(i, shape(i)) for i in range(60)] + [(98, []), (99, None)], f"i int, geom {G.GEOM_TYPE}")
+    right = spark.createDataFrame([(j, shape(j)) for j in range(60)] + [(99, [])], f"j int, other_geom {G.GEOM_TYPE}")
+    want = {(r["i"], r["j"]): r["area_intersect"] for r in O.overlap_join(left, right).collect() if r["area_intersect"] > 1e-9}
+    got = {(r["i"], r["j"]): r["area_intersect"] for r in FR.detailed_overlap_join(left, right, "i", "j").collect() if r["area_intersect"] > 1e-9}
+    assert got.keys() == want.keys() and len(want) > 500
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items())
+
+
+def test_a_tract_of_many_vertices(spark):
+    """50,000 vertices against 5,000 sections; a pair is told the few sides in its cells."""
+    n, rng = 50_000, random.Random(2)
+    angles = [2 * math.pi * k / n for k in range(n)]
+    radii = [30 + 3 * math.sin(40 * t) + rng.uniform(0, 0.01) for t in angles]
+    tract = [ring([(37 + r * math.cos(t), 37 + r * math.sin(t)) for r, t in zip(radii, angles)])]
+    tracts = spark.createDataFrame([(1, tract)], f"t int, geom {G.GEOM_TYPE}")
+    sections = spark.range(74 * 74).select(F.col("id"), (F.col("id") % 74).cast("double").alias("x"), F.floor(F.col("id") / 74).cast("double").alias("y"))
+    sections = sections.select("id", G.rectangle(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("other_geom"))
+    fragments, crossings = FR.cut_up(tracts, "t", "geom", F.array(F.lit(0)))
+    assert fragments.agg(F.sum(F.size("sides"))).first()[0] < 1.1 * n
+    assert crossings.agg(F.sum(F.size("crossings"))).first()[0] < 1000
+    got = {r["id"]: r["area_intersect"] for r in FR.detailed_overlap_join(tracts, sections, "t", "id").collect()}
+    assert sum(got.values()) == pytest.approx(sum(shoelace(r) for r in tract), rel=1e-9)
+    some = sections.where(F.col("id").isin(*[k for k in got if 0 < got[k] < 1][:40], 37 * 74 + 37))
+    for r in O.overlap_join(tracts, some).collect():
+        assert got[r["id"]] == pytest.approx(r["area_intersect"], abs=1e-9)
