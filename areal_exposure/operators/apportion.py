@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from areal_exposure import constants as K
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions import values as V
+from areal_exposure.operators.fragments import detailed_overlap_join
 from areal_exposure.operators.joins import many_to_many
 from areal_exposure.operators.overlay import overlap_join, overlap_pieces
 
@@ -39,14 +40,19 @@ def section_density(
 
 
 def section_tract_shares(
-    sections: DataFrame, tracts: DataFrame, square_units_per_acre: float = K.SQ_METRES_PER_ACRE, **skew: int
+    sections: DataFrame, tracts: DataFrame, square_units_per_acre: float = K.SQ_METRES_PER_ACRE, detailed: bool = False, **skew: int
 ) -> DataFrame:
     """Which part of each section lies in which tract: ``(co_mtrs, geoid, area_intersect, area_proportion)``.
 
-    The whole-section area rides along through the overlay, which saves joining it back.
+    The whole-section area rides along through the overlay, which saves joining it back. ``detailed`` is for tracts
+    of thousands of vertices, whose sides are then cut up along the grid; co_mtrs and geoid must be unique.
     """
     whole = sections.select("co_mtrs", "geom", G.area(F.col("geom")).alias("_area"))
-    pieces = overlap_join(whole, tracts.select("geoid", F.col("geom").alias("other_geom")), **skew)
+    if detailed:
+        layer = sections.select("co_mtrs", F.col("geom").alias("other_geom"))
+        pieces = detailed_overlap_join(tracts.select("geoid", "geom"), layer, "geoid", "co_mtrs", **skew).join(whole.drop("geom"), "co_mtrs")
+    else:
+        pieces = overlap_join(whole, tracts.select("geoid", F.col("geom").alias("other_geom")), **skew)
     return pieces.select(
         "co_mtrs",
         "geoid",

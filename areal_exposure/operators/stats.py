@@ -4,15 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import pairwise
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areal_exposure.operators.joins import null_safe
+from areal_exposure.sources.scratch import written
 
-_COARSE_PER_LOG = 64
-_FINE = 4096
+#: Bits of a double's ordered pattern left out after each round of counting; a round tells 4,096 prefixes apart at most.
+_ROUNDS = (52, 40, 28, 16, 4, 0)
+_MANTISSA = 1 << 52
+
+
+def ordered_bits(v: Column) -> Column:
+    """A double's 64-bit pattern as a long that sorts as the value does: 0 for both zeros, NaN last, null for null.
+
+    Sign, exponent and mantissa are worked out by exact scaling with powers of two.
+    """
+    size = F.abs(v)
+    # log2 may be one off beside a power of two; the mantissa then shows it
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
+
+    def scaled(by: Column) -> Column:
+        first = F.floor(by / 2).cast("int")
+        return size * F.pow(F.lit(2.0), -first) * F.pow(F.lit(2.0), first - by)
+
+    exponent = guess - (scaled(guess) < 1).cast("int") + (scaled(guess) >= 2).cast("int")
+    least = F.greatest(exponent, F.lit(-1022))  # below, numbers have no leading one
+    mantissa = (scaled(least) * float(_MANTISSA)).cast("bigint")
+    bits = (least + 1022).cast("bigint") * F.lit(_MANTISSA) + mantissa
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 * _MANTISSA)).otherwise(bits)
+    return F.when(F.isnan(v), F.lit(2047 * _MANTISSA + 1)).when(v < 0, -bits).otherwise(bits)
+
+
+def from_ordered_bits(k: Column) -> Column:
+    """The double that :func:`ordered_bits` gave ``k`` for."""
+    bits = F.abs(k)
+    exponent = F.greatest(F.shiftright(bits, 52), F.lit(1)).cast("int") - 1022
+    whole = (bits - (exponent + 1022 - 1).cast("bigint") * F.lit(_MANTISSA)).cast("double") / float(_MANTISSA)
+    first = F.floor((exponent - 1) / 2).cast("int")
+    value = whole * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), exponent - 1 - first)
+    value = F.when(bits == 2047 * _MANTISSA, F.lit(float("inf"))).when(bits > 2047 * _MANTISSA, F.lit(float("nan"))).otherwise(value)
+    return F.when(k < 0, -value).otherwise(value)
 
 
 def _holding_ranks(buckets: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
@@ -40,42 +75,35 @@ def _holding_ranks(buckets: DataFrame, group: Sequence[str], bucket: str) -> Dat
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), few_groups: bool = False
 ) -> DataFrame:
-    """Interpolated quantiles per group, as rows ``(*by, prob, value)``; nulls are left out.
+    """Interpolated quantiles per group, as rows ``(*by, prob, value)``; nulls are left out, NaN sorts last.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here the wanted ranks
-    are located by counting instead: first in buckets of log-scaled width, then in 4096 equal parts of each
-    bucket that holds one, and only the distinct values of those small parts are put in order. Every step
-    counts before it shuffles and the buckets are the same on any re-run. ``few_groups`` states that the groups
-    are few and known, so that the table of wanted buckets (two per probability and group) may be broadcast.
+    are found by radix descent on the values' ordered 64-bit patterns: six rounds count the rows below the prefixes
+    that still hold a rank, by the next twelve bits (four in the last), until the prefix is the value. Whatever
+    the values, a round puts at most 4,096 counts of one prefix in order, and none sorts values. Rows are counted
+    before each shuffle. ``few_groups`` states that the groups are few and known, so that the table of wanted prefixes
+    (two per probability and group) may be broadcast. The patterns are written once and read by each round.
     """
     by = list(by)
     hint = F.broadcast if few_groups else (lambda d: d)
-    v = F.col("_v")
-    # Nulls are counted as nothing instead of filtered: a filter would move down to the scan and compute the
-    # value there a second time.
-    x = df.select(*by, F.col(value).cast("double").alias("_v"))
-    x = x.withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * _COARSE_PER_LOG))
-
-    coarse = x.groupBy(*by, "_b").agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    coarse = coarse.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-    positions = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in positions])))
-    coarse = coarse.withColumn("_ranks", F.transform(ranks, lambda r: F.struct(r.alias("at"), r.alias("rank"))))
-    wanted = _holding_ranks(coarse, by, "_b")
+    x = written(df.select(*by, ordered_bits(F.col(value).cast("double")).alias("_k")).where(F.col("_k").isNotNull()), "ordered")
 
-    inside = null_safe(x, hint(wanted), [*by, "_b"])
-    width = F.col("_hi") - F.col("_lo")
-    inside = inside.withColumn("_f", F.when(width > 0, F.floor((v - F.col("_lo")) / width * _FINE)).otherwise(F.lit(0)))
-    fine = inside.groupBy(*by, "_b", "_f").agg(
-        F.count("*").alias("_n"), F.max("_total").alias("_total"), F.max("_ranks").alias("_ranks")
-    )
-    part = _holding_ranks(fine, [*by, "_b"], "_f")
+    def prefix(left_out: int) -> Column:
+        return F.shiftright("_k", left_out)
 
-    values = null_safe(inside.select(*by, "_b", "_f", "_v"), hint(part), [*by, "_b", "_f"])
-    values = values.groupBy(*by, "_b", "_f", "_v").agg(
-        F.count("*").alias("_n"), F.max("_total").alias("_total"), F.max("_ranks").alias("_ranks")
-    )
-    found = _holding_ranks(values, [*by, "_b", "_f"], "_v").withColumn("_rank", F.explode("_ranks.rank"))
+    counts = x.groupBy(*by, prefix(_ROUNDS[0]).alias("_b")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    positions = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in positions])))
+    counts = counts.withColumn("_ranks", F.transform(ranks, lambda r: F.struct(r.alias("at"), r.alias("rank"))))
+    wanted = _holding_ranks(counts, by, "_b")
+    for known, left_out in pairwise(_ROUNDS):
+        inside = null_safe(x.withColumn("_b", prefix(known)), hint(wanted), [*by, "_b"])
+        counts = inside.groupBy(*by, "_b", prefix(left_out).alias("_next")).agg(
+            F.count("*").alias("_n"), F.max("_total").alias("_total"), F.max("_ranks").alias("_ranks")
+        )
+        wanted = _holding_ranks(counts, [*by, "_b"], "_next").drop("_b").withColumnRenamed("_next", "_b")
+    found = wanted.withColumn("_v", from_ordered_bits(F.col("_b"))).withColumn("_rank", F.explode("_ranks.rank"))
     by_rank = found.groupBy(*by).agg(
         F.max("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from areal_exposure import constants as K
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions import values as V
-from areal_exposure.functions.projection import CALIFORNIA, map_points
+from areal_exposure.functions.projection import CALIFORNIA, ellipsoid_area, map_points
 from areal_exposure.operators import apportion as A
 from areal_exposure.operators import census as C
 from areal_exposure.operators import fragments as FR
@@ -435,6 +435,24 @@ _CORNERS = (("x0", "y0", "1"), ("x1", "y0", "2"), ("x1", "y1", "3"), ("x0", "y1"
 _PROJECTED = ", ".join(_projected(f"(-121.0E0 + {x}/500)", f"(35.0E0 + {y}/200)", t) for x, y, t in _CORNERS)
 
 
+def _zone(lat: str) -> str:
+    """SQL: authalic q of a latitude on the ellipsoid."""
+    e2 = "(0.006694380022900788E0)"
+    s = f"sin(radians({lat}))"
+    return f"((1 - {e2}) * ({s} / (1 - {e2} * {s} * {s}) + atanh(sqrt({e2}) * {s}) / sqrt({e2})))"
+
+
+@query(
+    f"""select co_mtrs, round(6378137.0E0 * 6378137.0E0 / 2 * radians((x1 - x0) / 500)
+  * ({_zone("35.0E0 + y1 / 200")} - {_zone("35.0E0 + y0 / 200")}) / 4046.8564224E0, 4) as acres from sections""",
+    "sections",
+)
+def ellipsoid_acres(v):
+    """Acres of sections given in degrees, on the ellipsoid and without a projection."""
+    degrees = map_points(F.col("geom"), lambda x, y: (x / 500 - 121.0, y / 200 + 35.0))
+    return v.sections().select("co_mtrs", F.round(ellipsoid_area(degrees) / K.SQ_METRES_PER_ACRE, 4).alias("acres"))
+
+
 @query(
     f"""select co_mtrs, round(((xa3-xa1)*(ya4-ya2) - (xa4-xa2)*(ya3-ya1)) / 2 / 4046.8564224E0, 4) as acres
 from (select co_mtrs, {_PROJECTED.replace(" as x", " as xa").replace(" as y", " as ya")} from sections)""",

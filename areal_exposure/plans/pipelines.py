@@ -56,6 +56,7 @@ class Choices:
     square_units_per_acre: float = K.SQ_METRES_PER_ACRE
     units_per_mile: float = K.METRES_PER_MILE
     directions: int = 64
+    detailed_tracts: bool = False  # tracts of thousands of vertices, with unique geoid
     to_lonlat: Callable[[Column, Column], tuple[Column, Column]] | None = CALIFORNIA.inverse
 
 
@@ -114,7 +115,7 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
     layers.write_layer(points.drop("x", "y").join(listed, "cds_code"), f"{out}/school_map", point="point")
 
     # Tracts.
-    shares = A.section_tract_shares(inputs.sections, inputs.tracts, c.square_units_per_acre)
+    shares = A.section_tract_shares(inputs.sections, inputs.tracts, c.square_units_per_acre, c.detailed_tracts)
     calendar = T.section_calendar_totals(R.between_years(clean, c.years, "year"))
     census = C.relative_to_state(C.profile(inputs.census_tracts), C.profile(inputs.census_state))
     write_text_table(C.profile(inputs.census_state), f"{out}/census_state")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from areal_exposure import constants as K
 from areal_exposure.functions import geometry as G
-from areal_exposure.functions.projection import CALIFORNIA, map_points
+from areal_exposure.functions.projection import CALIFORNIA, ellipsoid_area, map_points
 from areal_exposure.operators import apportion as A
 from areal_exposure.operators import fragments as FR
 from areal_exposure.operators import overlay as O
@@ -333,3 +333,31 @@ def test_a_tract_of_many_vertices(spark):
     some = sections.where(F.col("id").isin(*[k for k in got if 0 < got[k] < 1][:40], 37 * 74 + 37))
     for r in O.overlap_join(tracts, some).collect():
         assert got[r["id"]] == pytest.approx(r["area_intersect"], abs=1e-9)
+
+
+def test_area_on_the_ellipsoid(spark):
+    e = CALIFORNIA._e
+
+    def zone(lat):
+        s = math.sin(math.radians(lat))
+        return (1 - e * e) * (s / (1 - e * e * s * s) + math.atanh(e * s) / e)
+
+    cell = K.GRS80_SEMI_MAJOR**2 / 2 * math.radians(1) * (zone(37) - zone(36))
+    over_date_line = [ring([(179.5, 36), (-179.5, 36), (-179.5, 37), (179.5, 37)])]
+    clockwise = [ring([(-120, 36), (-120, 37), (-119, 37), (-119, 36)])]
+    triangle = [ring([(-120, 36), (-119, 36.5), (-119.5, 37)])]
+    rows = [(0, box(-120, 36, -119, 37), []), (1, over_date_line, []), (2, clockwise, []), (3, triangle, []), (4, [], []), (5, None, [])]
+    got = dict(spark.createDataFrame(rows, PAIR).select("id", ellipsoid_area(F.col("a"))).collect())
+    assert got[0] == pytest.approx(cell, rel=1e-12) and got[1] == pytest.approx(cell, rel=1e-12) and got[2] == pytest.approx(-cell, rel=1e-12)
+    fine = [[{"x": p["x"] + (q["x"] - p["x"]) * k / 200, "y": p["y"] + (q["y"] - p["y"]) * k / 200} for p, q in zip(r, r[1:] + r[:1]) for k in range(200)] for r in triangle]
+    projected = spark.createDataFrame([(0, fine, [])], PAIR).select(G.area(map_points(F.col("a"), CALIFORNIA.forward))).first()[0]
+    assert got[3] == pytest.approx(projected, rel=1e-5)
+    assert spark.createDataFrame([(0, fine, [])], PAIR).select(ellipsoid_area(F.col("a"))).first()[0] == pytest.approx(got[3], rel=1e-9)
+    assert got[4] == 0 and got[5] is None
+
+
+def test_tract_shares_by_fragments(spark):
+    sections = spark.createDataFrame([("s1", box(0, 0, 1, 1)), ("s2", L_SHAPE)], f"co_mtrs string, geom {G.GEOM_TYPE}")
+    tracts = spark.createDataFrame([("t1", box(-1, -1, 0.3, 3)), ("t2", U_SHAPE)], f"geoid string, geom {G.GEOM_TYPE}")
+    plain, detailed = ({(r[0], r[1]): (r[2], r[3]) for r in A.section_tract_shares(sections, tracts, 1.0, detailed=d).collect()} for d in (False, True))
+    assert plain.keys() == detailed.keys() and all(plain[k] == pytest.approx(detailed[k]) for k in plain)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -62,3 +64,29 @@ def test_histogram_puts_the_maximum_in_the_last_bin(spark):
     got = {(r["g"], r["bin"]): r["n"] for r in S.histogram(df, "v", ["g"], bins=5).collect()}
     assert got[("a", 5)] == 3 and sum(n for (g, _), n in got.items() if g == "a") == 11
     assert got[("b", 1)] == 2
+
+
+def test_ordered_bits_are_the_pattern_of_the_double(spark):
+    rng = random.Random(8)
+    edge = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, math.nextafter(1, 0), math.nextafter(1, 2), 1.7976931348623157e308, math.inf, -math.inf]
+    edge += [math.nextafter(2.0**k, d) for k in range(-1073, 1024, 7) for d in (0, math.inf)] + [2.0**k for k in range(-1074, 1024, 5)]
+    values = edge + [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.ordered_bits(F.col("v")).alias("k"))
+    rows = df.select("v", "k", S.from_ordered_bits(F.col("k")).alias("back")).collect()
+    for r in rows:
+        pattern = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["k"] == (-pattern if r["v"] < 0 else pattern) and r["back"] == r["v"]
+    special = spark.createDataFrame([(math.nan,), (None,)], "v double").select(S.ordered_bits(F.col("v")).alias("k"))
+    found = [r[0] for r in special.select(S.from_ordered_bits(F.col("k"))).collect()]
+    assert math.isnan(found[0]) and found[1] is None
+
+
+def test_quantiles_of_values_that_hardly_differ(spark):
+    """A million values within 1e-12 of each other, and one far off; no round orders more than 4,096 counts of a prefix."""
+    df = spark.range(1_000_000).select((F.lit(1.0) + (F.col("id") % 4500) * 2.0**-52).alias("v")).union(spark.sql("select 1e9D"))
+    got = {r["prob"]: r["value"] for r in S.exact_quantiles(df, "v", (0.0, 0.25, 0.5, 1.0)).collect()}
+    values = np.append(1.0 + (np.arange(1_000_000) % 4500) * 2.0**-52, 1e9)
+    assert got == {p: np.quantile(values, p) for p in got} and len(got) == 4
+    steps = np.diff([64, *S._ROUNDS])
+    assert (-steps <= 12).all() and S._ROUNDS[-1] == 0
