@@ -6,9 +6,9 @@ corrections. The count of a shorter phrase is the flow out of its node, the sum
 its end corrections, level by level down to pairs. A node through which all flow goes on by one edge (or came by one)
 is compacted into that edge: the phrase is met only inside the longer one.
 
-A phrase met ``least`` times has only words met as often. So words are counted first, and pieces are cut where a rarer
-word stands; the graph holds the rest. Which words are common is sent to tasks as a bitmap of fixed size, in which
-a wrong bit only leaves more in the graph. Grams are dealt out by their first three words, so the counts of three to
+A phrase met ``least`` times has only words and pairs met as often. So words are counted first, then pairs by hash, and
+pieces are cut where a rarer word or pair stands; the graph holds the rest. Which words and pairs are common is sent to
+tasks as bitmaps of fixed size, in which a wrong bit only leaves more in the graph. Grams are dealt out by their first three words, so the counts of three to
 five words need no further shuffle. The flow out of pairs is added up in the tasks that read the texts, then between them.
 """
 
@@ -36,11 +36,12 @@ _END = b","
 _BYTES = bytes(44 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a bitmap.
 _BITS = 25
-#: What a task holds before it hands counts on: distinct words, grams, and known words.
+#: What a task holds before it hands counts on: distinct words, grams or pairs, and known words.
 _HELD, _HELD_GRAMS, _KNOWN = 500_000, 2_000_000, 500_000
 #: So many of the commonest words, up to so many bytes long, stand in grams as one character; others are spelled.
 _CODED, _CODED_BYTES = 200_000, 64
 _SEED = 42
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -87,32 +88,45 @@ class _Words(dict):
     def __init__(self, lang: str, common: np.ndarray, code: dict[bytes, int]):
         super().__init__()
         self.lead, self.common, self.code = lang.encode() + b"\t", common, code
-        self.codes, self.allowed = array("I", [0]), array("B", [0])
+        self.codes, self.hashes, self.allowed = array("I", [0]), array("Q", [0]), array("B", [0])
         self[_END] = 0
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.codes)
         self.codes.append(self.code.get(word, 0))
-        self.allowed.append(_has(self.common, xxhash.xxh64_intdigest(self.lead + word, _SEED)))
+        h = xxhash.xxh64_intdigest(self.lead + word, _SEED)
+        self.hashes.append(h)
+        self.allowed.append(_has(self.common, h))
         return number
 
-    def grams(self, found: list[bytes]) -> tuple[np.ndarray, list[str]]:
-        """The longest gram at every place where common words follow each other in a piece: as rows of codes, or spelled."""
+    def pairs(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers, where two common words stand side by side in a piece, and the hashes of these pairs."""
         numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        allowed = np.zeros(len(found) + LONGEST, np.bool_)
-        allowed[: len(found)] = np.array(self.allowed, np.bool_)[numbers]
+        allowed = np.array(self.allowed, np.bool_)[numbers]
+        hashes = np.array(self.hashes, np.uint64)[numbers]
+        at = np.flatnonzero(allowed[:-1] & allowed[1:])
+        first, second = hashes[at], hashes[at + 1]
+        mixed = (first ^ (first >> np.uint64(29))) * _M1 + (second ^ (second >> np.uint64(32))) * _M2
+        return numbers, at, mixed ^ (mixed >> np.uint64(31))
+
+    def grams(self, found: list[bytes], common_pairs: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """The longest gram at every place where a common pair starts, in a run of such: as rows of codes, or spelled."""
+        numbers, at, pairs = self.pairs(found)
+        at = at[_have(common_pairs, pairs)]
+        joined = np.zeros(len(found) + LONGEST, np.bool_)  # whether a word and the next are a common pair
+        joined[at] = True
         code = np.zeros(len(found) + LONGEST, np.uint32)
         code[: len(found)] = np.array(self.codes, np.uint32)[numbers]
-        at = np.flatnonzero(allowed[:-1] & allowed[1:])
         rows = np.zeros((len(at), LONGEST), np.uint32)
-        going, spelled = np.ones(len(at), np.bool_), np.zeros(len(at), np.bool_)
-        for k in range(LONGEST):
-            going &= allowed[at + k]
+        rows[:, 0] = code[at]
+        going, spelled = np.ones(len(at), np.bool_), code[at] == 0
+        for k in range(1, LONGEST):
+            going &= joined[at + k - 1]
             rows[:, k] = np.where(going, code[at + k], 0)
             spelled |= going & (code[at + k] == 0)
         written_out = []
         for i in at[spelled].tolist():
-            n = next((k for k in range(LONGEST) if not allowed[i + k]), LONGEST)
+            n = next((k for k in range(1, LONGEST) if not joined[i + k - 1]), LONGEST)
             written_out.append(" ".join(chr(c) if (c := int(code[i + k])) else "," + found[i + k].decode() for k in range(n)))
         return rows[~spelled], written_out
 
@@ -128,6 +142,30 @@ def _has(bitmap: np.ndarray, h: int) -> int:
     return int(bitmap[bit >> 6]) >> (bit & 63) & 1
 
 
+def _have(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & np.uint64((1 << _BITS) - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """pair (hash) and n."""
+
+    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    words, parts, size = {}, [], 0
+    for batch in batches:
+        for lang, texts in _by_language(batch).items():
+            parts.append(_known(words, lang, common, {}).pairs(tokens(texts))[2])
+            size += len(parts[-1])
+        if size > _HELD_GRAMS:
+            yield rows(parts)
+            parts, size = [], 0
+    if size:
+        yield rows(parts)
+
+
 def _added_up(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of codes and how often each is there."""
     wide = rows.astype(np.uint64)
@@ -148,7 +186,7 @@ def _spaced(rows: np.ndarray) -> pa.Array:
     return pa.array(points.view(f"<U{2 * k - 1}").ravel(), pa.string())
 
 
-def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, code: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, common_pairs: np.ndarray, code: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """lang, lead (first three words), tail (the rest) and n of the longest grams; under a null tail, the flow out of pairs.
 
     Grams come in order, so the flow out of their pairs is a sum over neighbours. A gram of two words is only in that.
@@ -179,7 +217,7 @@ def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, code:
     words, held, spelled, size = {}, defaultdict(list), defaultdict(Counter), 0
     for batch in batches:
         for lang, texts in _by_language(batch).items():
-            coded, written_out = _known(words, lang, common, code).grams(tokens(texts))
+            coded, written_out = _known(words, lang, common, code).grams(tokens(texts), common_pairs)
             if len(coded):
                 held[lang].append(coded)
             spelled[lang].update(written_out)
@@ -216,7 +254,10 @@ def graph(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     commonest = listed.where(F.octet_length("word") <= _CODED_BYTES).groupBy("word").agg(total).orderBy(F.desc("n"), "word")
     code = spark.sparkContext.broadcast(codes([r["word"] for r in commonest.limit(_CODED).collect()]))
 
-    grams = texts.mapInArrow(lambda batches: _counted_grams(batches, common.value, code.value), "lang string, lead string, tail string, n long")
+    pairs = texts.mapInArrow(lambda batches: _counted_pairs(batches, common.value), "pair long, n long").groupBy("pair").agg(total)
+    common_pairs = spark.sparkContext.broadcast(_bitmap(pairs.where(F.col("n") >= least), "pair"))
+
+    grams = texts.mapInArrow(lambda batches: _counted_grams(batches, common.value, common_pairs.value, code.value), "lang string, lead string, tail string, n long")
     return words, written(_spelled(_flows(grams, least), code), "phrases")
 
 
