@@ -23,6 +23,7 @@ from areal_exposure.operators import stats as S
 from areal_exposure.operators import totals as T
 from areal_exposure.plans import profile as P
 from areal_exposure.sources import layers
+from areal_exposure.sources.order import FILE_ORDER
 from areal_exposure.sources.scratch import written
 from areal_exposure.sources.text import write_text_table
 
@@ -41,7 +42,7 @@ class Inputs:
     crops: DataFrame  # water_year, class1.., subclass1.., geom
     schools: DataFrame  # cds_code, school, district, any further attributes, geom
     enrollment: DataFrame  # cds_code, enroll_total
-    school_points: DataFrame  # cds_code, x, y
+    school_points: DataFrame  # cds_code, x, y; with file_order, the first in the files counts, else the least x, y
     vulnerability: DataFrame  # the social-vulnerability columns, geom
     census_tracts: DataFrame  # geoid, name, variable (names), estimate
     census_state: DataFrame  # the same for the one state row
@@ -60,6 +61,22 @@ class Choices:
     to_lonlat: Callable[[Column, Column], tuple[Column, Column]] | None = CALIFORNIA.inverse
 
 
+def _write_years(yearly: DataFrame, cropland: DataFrame, sections: DataFrame, out: str, exported: Callable[[DataFrame], DataFrame], replace: bool = False) -> None:
+    layers.write_layer_by(exported(A.on_section_map(yearly, sections)), f"{out}/section_years", "water_year", replace=replace)
+    layers.write_layer_by(exported(cropland), f"{out}/cropland", "water_year", replace=replace)
+
+
+def republish_years(inputs: Inputs, out: str, choices: Choices) -> None:
+    """Write the yearly layers of ``choices.years`` anew; other years' files stay untouched, also if this fails.
+
+    For years whose records or surveys were corrected. The outputs that sum over years are left as they are.
+    """
+    records = R.drop_flagged(R.with_section_key(R.typed(R.distinct_records(inputs.records, tuple(choices.chemicals)))))
+    yearly = T.section_water_year(R.between_years(records, choices.years, "water_year"))
+    cropland = R.between_years(R.cropland(inputs.crops), choices.years, "water_year")
+    _write_years(yearly, cropland, inputs.sections, out, _exporter(choices.to_lonlat), replace=True)
+
+
 def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
     """Write all outputs. Existing outputs are not overwritten: the write fails instead."""
     c = choices
@@ -82,9 +99,8 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
     write_text_table(breaks.orderBy("chem_code", "prob"), f"{out}/section_quintiles")
 
     # Sections per water year, and the cropland of each survey year.
-    layers.write_layer_by(exported(A.on_section_map(yearly, inputs.sections)), f"{out}/section_years", "water_year")
     cropland = R.cropland(inputs.crops)
-    layers.write_layer_by(exported(cropland), f"{out}/cropland", "water_year")
+    _write_years(yearly, cropland, inputs.sections, out, exported)
 
     # Schools.
     pieces = written(A.crops_by_section(cropland.select("water_year", "geom"), inputs.sections), "crop-pieces")
@@ -103,7 +119,7 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
     wide = A.two_buffers(totals_by_school, attributes, c.radii)
     columns = [A.radius_column(r) for r in c.radii]
     listed = written(
-        wide.join(inputs.enrollment, "cds_code", "left").select(
+        J.null_safe(wide, inputs.enrollment, ["cds_code"], "left").select(
             "chem_code", "cds_code", "school", "district", "enroll_total", *columns
         ),
         "schools",
@@ -111,8 +127,9 @@ def publish(inputs: Inputs, out: str, choices: Choices = Choices()) -> None:
     write_text_table(listed.orderBy("chem_code", F.desc_nulls_last(columns[-1])), f"{out}/schools")
     for column in columns:
         write_text_table(A.exposed_to_both(listed, column, codes), f"{out}/schools_exposed_to_both/{column}")
-    points = T.first_by_key(inputs.school_points, "cds_code", ["x", "y"]).withColumn("point", F.struct("x", "y"))
-    layers.write_layer(points.drop("x", "y").join(listed, "cds_code"), f"{out}/school_map", point="point")
+    order = [FILE_ORDER] if FILE_ORDER in inputs.school_points.columns else ["x", "y"]
+    points = T.first_by_key(inputs.school_points, "cds_code", order).withColumn("point", F.struct("x", "y"))
+    layers.write_layer(J.null_safe(points.drop("x", "y", FILE_ORDER), listed, ["cds_code"]), f"{out}/school_map", point="point")
 
     # Tracts.
     shares = A.section_tract_shares(inputs.sections, inputs.tracts, c.square_units_per_acre, c.detailed_tracts)

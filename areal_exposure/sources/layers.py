@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions.projection import map_points
+from areal_exposure.sources.order import FILE_ORDER, file_order
 
 _RING = "array<array<double>>"
 
@@ -51,7 +52,7 @@ def _checked(feature: Column) -> Column:
     return F.when(feature["type"] == "Feature", feature).otherwise(wrong)
 
 
-def _features(raw: DataFrame, properties: StructType) -> DataFrame:
+def _features(raw: DataFrame, properties: StructType, further: Sequence[Column] = ()) -> DataFrame:
     """Rows of one struct ``feature`` to property columns and ``geom`` (``x``/``y`` for points)."""
     raw = raw.withColumn("feature", _checked(F.col("feature")))
     kind, coordinates = F.col("feature.geometry.type"), F.col("feature.geometry.coordinates")
@@ -61,6 +62,7 @@ def _features(raw: DataFrame, properties: StructType) -> DataFrame:
         _shape(F.col("feature.geometry")).alias("geom"),
         F.when(kind == "Point", G.point(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)))).alias("point"),
         "path",
+        *further,
     )
 
 
@@ -71,13 +73,15 @@ def read_layer(
     whole_file: bool = False,
     pattern: str | None = None,
     with_path: bool = False,
+    with_order: bool = False,
 ) -> DataFrame:
     """Polygon features below ``path`` (all files stacked), with the given property columns, e.g. ``"co_mtrs string"``.
 
     A property that some file lacks is null there. A line may hold several features, and the end of a collection
     after them. A line from which not every feature it announces can be read fails the job, and so does a whole
     collection in one line; wrapper lines without a feature are skipped. Point features come back in ``point``;
-    of a collection of geometries the polygons count; other kinds fail the job.
+    of a collection of geometries the polygons count; other kinds fail the job. ``with_order`` adds ``file_order``,
+    which sorts features as they stand in the files, by path.
     """
     props, shape = StructType.fromDDL(properties), "type:string,coordinates:string"
     feature = f"struct<type:string,properties:{props.simpleString()},geometry:struct<{shape},geometries:array<struct<{shape}>>>>"
@@ -88,20 +92,23 @@ def read_layer(
         docs = reader.option("multiLine", True).option("mode", "FAILFAST").schema(f"type string, features array<{feature}>").json(path)
         none = F.raise_error(F.lit("a file that holds no collection of features")).cast(f"array<{feature}>")
         held = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(none)
-        raw = docs.select(F.explode(held).alias("feature"), F.col("_metadata.file_path").alias("path"))
+        raw = docs.select(held.alias("held"), F.col("_metadata.file_path").alias("path"), *([file_order()] if with_order else []))
+        raw = raw.select("*", F.posexplode("held").alias("place", "feature"))
     else:
         announced = F.regexp_count(F.col("value"), F.lit(r'"type"\s*:\s*"Feature"'))
         whole = F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"')
-        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), announced.alias("n"))
+        order = [file_order()] if with_order else []
+        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), announced.alias("n"), *order)
         lines = lines.where(F.col("n") > 0)
         array = F.concat(F.lit("["), F.regexp_replace(F.trim("value"), r",$", ""), F.lit("]"))
         text = F.when(whole, F.raise_error(F.lit("a collection begins in a line with features: read it with whole_file=True"))).otherwise(array)
         held = F.from_json(text, f"array<{feature}>", {"mode": "FAILFAST"})
-        raw = lines.select("path", "n", held.alias("held"))
+        raw = lines.select("path", "n", held.alias("held"), *([FILE_ORDER] if with_order else []))
         lost = F.raise_error(F.lit("a line announces features that can't be read")).cast(f"array<{feature}>")
         all_read = F.when(F.size("held") == F.col("n"), F.col("held")).otherwise(lost)
-        raw = raw.select(F.explode(all_read).alias("feature"), "path")
-    out = _features(raw, props)
+        raw = raw.select("path", *([FILE_ORDER] if with_order else []), F.posexplode(all_read).alias("place", "feature"))
+    placed = [F.struct(f"{FILE_ORDER}.*", "place").alias(FILE_ORDER)] if with_order else []
+    out = _features(raw, props, placed)
     return out if with_path else out.drop("path")
 
 
@@ -154,14 +161,24 @@ def write_layer(df: DataFrame, path: str, geom: str = "geom", point: str | None
     feature_lines(df, geom, point).write.text(path)
 
 
-def write_layer_by(df: DataFrame, path: str, column: str, geom: str = "geom") -> None:
-    """One subfolder per value of ``column``, in a single pass. The rebalance hint lets adaptive execution cut a
-    large year into several files and merge small ones."""
-    feature_lines(df, geom, keep=[column]).hint("rebalance", column).write.partitionBy(column).text(path)
+def _by_folder(df: DataFrame, column: str, replace: bool) -> DataFrameWriter:
+    """The rebalance hint lets adaptive execution cut a large year into several files and merge small ones."""
+    writer = df.hint("rebalance", column).write.partitionBy(column)
+    return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer
 
 
-def write_table_by(df: DataFrame, path: str, column: str) -> None:
-    df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+def write_layer_by(df: DataFrame, path: str, column: str, geom: str = "geom", replace: bool = False) -> None:
+    """One subfolder per value of ``column``, in a single pass; fails if there is something at ``path``.
+
+    With ``replace`` the subfolders of the values that are in ``df`` take the place of earlier ones and the others stay
+    as they are. The new files are staged and moved when all are written: a run that fails leaves the old ones.
+    """
+    _by_folder(feature_lines(df, geom, keep=[column]), column, replace).text(path)
+
+
+def write_table_by(df: DataFrame, path: str, column: str, replace: bool = False) -> None:
+    """The same as Parquet."""
+    _by_folder(df, column, replace).parquet(path)
 
 
 def stack(layers: Sequence[DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from areal_exposure.functions import values as V
+from areal_exposure.sources.order import file_order
 
 
 def read_text_table(
@@ -22,6 +23,7 @@ def read_text_table(
     keep: Mapping[str, Sequence[str]] | None = None,
     trim: bool = True,
     multi_line: bool = False,
+    with_order: bool = False,
 ) -> DataFrame:
     """Every column as text, so codes keep their zeros. Blank and ``NA`` are null, fields are trimmed.
 
@@ -32,7 +34,8 @@ def read_text_table(
     ``path`` is searched through its subfolders; ``pattern`` is a file-name glob such as ``*udc*``. Without
     ``columns`` the names come from the header of one file. Every file must carry the same header; one that
     does not fails instead of putting values under the wrong name. ``keep`` lists the wanted values of some
-    columns; it is put straight on the file column, so the scan drops other rows while it parses them.
+    columns; it is put straight on the file column, so the scan drops other rows while it parses them. ``with_order``
+    adds ``file_order``, which sorts rows as they stand in the files, by path (see ``operators.totals.first_by_key``).
     """
     reader = (
         spark.read.option("header", True)
@@ -54,7 +57,8 @@ def read_text_table(
     for name, values in (keep or {}).items():
         df = df.where(F.col(f"`{name}`").isin(*values))
     path_column = [F.col("_metadata.file_path").alias("_path")] if with_path else []
-    return df.select(*[V.blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns], *path_column)
+    order = [file_order()] if with_order else []
+    return df.select(*[V.blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns], *path_column, *order)
 
 
 def below(root: str) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
 
 from areal_exposure.operators import census as C
 from areal_exposure.plans import catalogue
 from areal_exposure.plans.driver_views import SQUARE_UNITS_PER_ACRE, YEARS, Views
-from areal_exposure.plans.pipelines import Choices, Inputs, publish
+from areal_exposure.plans.pipelines import Choices, Inputs, publish, republish_years
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,9 +39,13 @@ def out(spark, tmp_path_factory):
         years=YEARS, square_units_per_acre=SQUARE_UNITS_PER_ACRE, units_per_mile=1.0, directions=4, to_lonlat=None
     )
     publish(inputs, folder, choices)
+    _PUBLISHED.update(inputs=inputs, choices=choices)
     return folder
 
 
+_PUBLISHED = {}
+
+
 def table(spark, path):
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
@@ -76,3 +82,20 @@ def test_tracts_and_sections(spark, out):
     assert years == 5
     for name in ("chemical", "records_with_errors", "section_map", "cropland", "schools", "census_state", "fraction_histogram"):
         assert spark.read.text(f"{out}/{name}").count() > 0
+
+
+def test_republishing_a_year(spark, out):
+    def files(name):
+        return {f.relative_to(out).as_posix(): f.read_bytes() for f in Path(out, name).rglob("part-*")}
+
+    def lines(name):
+        return sorted(tuple(r) for r in spark.read.text(f"{out}/{name}").collect())
+
+    names = ("section_years", "cropland")
+    before, rows = {n: files(n) for n in names}, {n: lines(n) for n in names}
+    year = YEARS[0] + 1
+    republish_years(_PUBLISHED["inputs"], out, replace(_PUBLISHED["choices"], years=(year, year)))
+    for n in names:
+        after = files(n)
+        same = {f for f in after if before[n].get(f) == after[f]}
+        assert same and same == {f for f in after if f"water_year={year}" not in f} and lines(n) == rows[n]

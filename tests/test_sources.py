@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,49 @@ def test_collections_of_geometries_and_whole_files(spark, tmp_path):
     whole.mkdir()
     (whole / "b.json").write_text(f'{{"type":"FeatureCollection","features":[{named("b")},\n{named("c", mixed)}],"bbox":[0]}}')
     assert areas(spark, whole, whole_file=True) == {"b": 1.0, "c": 1.0}
+
+
+def test_first_in_file_order(spark, tmp_path):
+    """The files' order is neither that of the values nor of the tasks; small blocks, several in a file."""
+    from areal_exposure.operators.totals import first_by_key
+    from areal_exposure.sources.order import FILE_ORDER
+
+    first = "".join(f"k{i % 50},{9999 - i}\n" for i in range(3000))
+    (tmp_path / "b.csv").write_text("k,x\n" + "k1,-5\nk99,1\n")
+    (tmp_path / "a.csv").write_text("k,x\n" + first)
+    (tmp_path / "a.geojson").write_text("".join(f'{named(f"k{i % 50}")},{named("twice")}\n' for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = text.read_text_table(spark, str(tmp_path), ["k", "x"], pattern="*.csv", with_order=True)
+        assert rows.rdd.getNumPartitions() > 4
+        got = {r["k"]: r["x"] for r in first_by_key(rows, "k", [FILE_ORDER]).collect()}
+        layer = layers.read_layer(spark, str(tmp_path), "name string", pattern="*.geojson", with_order=True)
+        in_order = [r["name"] for r in layer.orderBy(FILE_ORDER).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"k{i}": str(9999 - i) for i in range(50)} | {"k99": "1"}
+    assert in_order == [x for i in range(500) for x in (f"k{i % 50}", "twice")]
+
+
+def test_replacing_one_year_leaves_the_others(spark, tmp_path):
+    box = G.rectangle(*[F.lit(float(v)) for v in (0, 0, 1, 1)])
+    years = spark.createDataFrame([("a", 2018), ("b", 2019), ("c", 2019)], "key string, water_year int").withColumn("geom", box)
+    path = str(tmp_path / "years")
+
+    def files():
+        return {f.relative_to(path).as_posix(): f.read_bytes() for f in Path(path).rglob("part-*")}
+
+    layers.write_layer_by(years, path, "water_year")
+    before = files()
+    layers.write_layer_by(years.where("water_year = 2019").withColumn("key", F.lit("new")), path, "water_year", replace=True)
+    after = files()
+    assert {n: b for n, b in after.items() if "2018" in n} == {n: b for n, b in before.items() if "2018" in n}
+    assert all(b"new" in b for n, b in after.items() if "2019" in n) and set(after) != set(before)
+    failing = years.withColumn("key", F.when(F.col("key") == "c", F.raise_error(F.lit("broken"))).otherwise(F.col("key")))
+    with pytest.raises(Exception, match="broken"):
+        layers.write_layer_by(failing, path, "water_year", replace=True)
+    assert files() == after
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        layers.write_layer_by(years, path, "water_year")
