@@ -175,8 +175,10 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
     Every row of ``docs`` is a document, so a repeated row takes a rank of its own; rows of equal scores are ranked by
     doc_id (null first). A null or empty text has no term and is never found; an item without known terms has no rows.
-    Only doc_id, text and item_id are read. Weights and scores are those of the module's query (README). Memory of
-    a task is bounded by a block's postings and the accumulators of a bundle for it.
+    Only doc_id, text and item_id are read. With N documents that have a term, L terms in all, n in the document and df
+    documents with the term, a term adds ``w * (10^9 tf div (1000 tf + 8 m))``, where w is
+    ``floor(1000 ln((2 N + 2) / (2 df + 1)))`` and m is ``10 + 90 n N div L``. Memory of a task is bounded by a block's
+    postings and the accumulators of a bundle for it.
     """
     spark = docs.sparkSession
     result = T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.LongType())])
