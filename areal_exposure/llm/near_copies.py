@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import ready, whole_text
-from areal_exposure.llm.shingles import jaccard, mixed, shingles
+from areal_exposure.llm.shingles import jaccard, mixed, plain_words, sets, shingles
+from areal_exposure.operators.joins import many_to_many
 from areal_exposure.sources.scratch import written
 
 #: At similarity 0.8 a pair shares a bucket with probability 0.99995.
@@ -25,7 +26,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: A pair of similarity 0.8 has so few registers in common with probability 2e-7.
 _LEAST_EQUAL = 75
-_BLOCK = 64
+#: Shingles in a block of a bucket, 4 MB; a member counts as ``_OWN`` more for its registers.
+_BLOCK, _OWN = 1 << 19, 40
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,7 +65,10 @@ def _thrown(home: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: in
 
 
 def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text) to doc_id, the bands' keys and 16 bits of each register; none for a text without words."""
+    """From (doc_id, text) to doc_id, the bands' keys, 16 bits of each register and the number of distinct shingles.
+
+    A text without words has no row.
+    """
     for batch in batches:
         for first, home, shingle, count in shingles(batch["text"]):
             if not len(home):
@@ -78,8 +83,9 @@ def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     batch["doc_id"].take(pa.array(first + present)),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                     pa.array([b.tobytes() for b in bits], pa.binary()),
+                    pa.array(np.bincount(at, minlength=len(present)), pa.int64()),
                 ],
-                names=["doc_id", "bands", "bits"],
+                names=["doc_id", "bands", "bits", "size"],
             )
 
 
@@ -147,12 +153,16 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their labels, of the buckets that still have several components; ``main`` is the commonest."""
+    """Members with their labels, of the buckets that still have several components.
+
+    ``main`` is the commonest component of a bucket, ``load`` and ``load_main`` tell how many shingles there are.
+    """
     own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("band", "key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    sizes = own.groupBy("band", "key", "label").agg(F.count("*").alias("many"))
-    main = F.max_by("label", F.struct("many", "label")).alias("main")
-    several = sizes.groupBy("band", "key").agg(main, F.max("many").alias("n_main"), F.count("*").alias("kinds"))
+    own = own.select("band", "key", "doc_id", "n", "size", F.coalesce("label", "doc_id").alias("label"))
+    loads = own.groupBy("band", "key", "label").agg(F.count("*").alias("many"), F.sum(F.col("size") + _OWN).alias("part"))
+    rank = F.struct("many", "label")
+    main = [F.max_by("label", rank).alias("main"), F.max_by("part", rank).alias("load_main")]
+    several = loads.groupBy("band", "key").agg(*main, F.sum("part").alias("load"), F.count("*").alias("kinds"))
     return own.join(several.where("kinds > 1").drop("kinds"), ["band", "key"])
 
 
@@ -164,37 +174,87 @@ def centre_pairs(mixed_ones: DataFrame) -> DataFrame:
     return apart.select(*_pair("doc_id", "centre")).distinct()
 
 
-def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Pairs across two blocks of members with different labels and enough equal registers."""
+def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text) to doc_id and the text's distinct shingles, ascending."""
+    for batch in batches:
+        held = pa.array([s.astype("<u8").tobytes() for s in sets(batch["text"])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], held], names=["doc_id", "held"])
+
+
+def _forest(one: list[dict], two: list[dict], band: int, least: float) -> list[dict]:
+    """Links that connect the components of two blocks' members as all their links would, each found to hold."""
+    above: dict[int, int] = {}
+
+    def head(label: int) -> int:
+        while (up := above.get(label, label)) != label:
+            above[label] = above.get(up, up)
+            label = up
+        return label
+
+    registers = np.frombuffer(b"".join(m["bits"] for m in two), "<u2").reshape(-1, REGISTERS)
+    shingled = [np.frombuffer(m["held"], "<u8") for m in two]
+    label = np.array([m["label"] for m in two], np.int64)
+    itself = [m["doc_id"] for m in one] == [m["doc_id"] for m in two]
     out = []
-    for one, two in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        x, y = (np.frombuffer(b"".join(m["bits"] for m in side), "<u2").reshape(-1, REGISTERS) for side in (one, two))
-        found = []
-        for m, own in zip(one, x, strict=True):
-            for k in np.flatnonzero((own == y).sum(1) >= _LEAST_EQUAL):
-                if m["label"] != two[k]["label"]:
-                    found.append({"a": min(m["doc_id"], two[k]["doc_id"]), "b": max(m["doc_id"], two[k]["doc_id"])})
-        out.append(found)
-    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-
-def rest_pairs(mixed_ones: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are still in different components and agree in enough registers.
-
-    The members of a bucket are dealt to blocks by a hash, its commonest component apart from the others, and
-    blocks meet pairwise inside tasks; blocks of that component don't meet each other. Only pairs that pass come out.
+    for k, m in enumerate(one):
+        own, first = np.frombuffer(m["held"], "<u8"), k + 1 if itself else 0
+        apart = first + np.flatnonzero(label[first:] != m["label"])
+        equal = registers[apart] == np.frombuffer(m["bits"], "<u2")
+        likely = equal.sum(1) >= _LEAST_EQUAL
+        # A pair is tried in the first band that it shares only.
+        likely[likely] = equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        for j in apart[likely].tolist():
+            x, y = head(m["label"]), head(two[j]["label"])
+            other = shingled[j]
+            if x == y or min(len(own), len(other)) < least * max(len(own), len(other)):
+                continue
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if common / max(1, len(own) + len(other) - common) >= least:
+                above[max(x, y)] = min(x, y)
+                out.append({"a": min(m["doc_id"], two[j]["doc_id"]), "b": max(m["doc_id"], two[j]["doc_id"])})
+    return out
+
+
+def _linked(left: pa.Array, right: pa.Array, band: pa.Array, least: pa.Array) -> pa.Array:
+    rows = zip(left, right, band, least, strict=True)
+    found = [_forest(a.as_py(), b.as_py(), k.as_py(), s.as_py()) for a, b, k, s in rows]
+    return pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+
+def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect what is still apart in a bucket, each verified; not all links, but all they connect.
+
+    The members of a bucket are dealt to blocks by a hash, its commonest component apart from the others. Blocks
+    hold some 4 MB of shingles, so that their number follows from the texts' lengths, and each pair of blocks is a
+    row of its own, so that a large bucket is spread over tasks; blocks of the commonest component don't meet each
+    other. A pair of blocks gives fewer links than it has members.
     """
-    own = mixed_ones.join(signs.select("doc_id", "bits"), "doc_id")
-    main = F.col("label") == F.col("main")
-    blocks = F.ceil(F.when(main, F.col("n_main")).otherwise(F.col("n") - F.col("n_main")) / _BLOCK)
-    own = own.withColumn("is_main", main).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest(blocks, F.lit(1))))
-    dealt = own.groupBy("band", "key", "is_main", "block").agg(F.collect_list(F.struct("doc_id", "label", "bits")).alias("held"))
+    needed = mixed_ones.select("doc_id").distinct()
+    held = texts.join(needed, "doc_id", "left_semi").mapInArrow(digest_rows, "doc_id long, held binary")
+    held = signs.select("doc_id", "bits").join(held, "doc_id").dropDuplicates(["doc_id"])
+    own = mixed_ones.withColumn("is_main", F.col("label") == F.col("main")).join(held, "doc_id")
+    n_main = F.greatest(F.ceil(F.col("load_main") / _BLOCK), F.lit(1)).cast("int")
+    n_rest = F.greatest(F.ceil((F.col("load") - F.col("load_main")) / _BLOCK), F.lit(1)).cast("int")
+    own = own.withColumns({"n_main": n_main, "n_rest": n_rest})
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    dealt = own.groupBy("band", "key", "is_main", "block", "n_main", "n_rest").agg(F.collect_list(F.struct("doc_id", "label", "bits", "held")).alias("members"))
     dealt = written(dealt, "blocks")
-    left = dealt.where("not is_main").select("band", "key", F.col("block").alias("block_a"), F.col("held").alias("held_a"))
-    met = left.join(dealt, ["band", "key"]).where("is_main or block >= block_a")
-    alike = F.arrow_udf(_alike, "array<struct<a: bigint, b: bigint>>").asNondeterministic()
-    pair = F.explode(alike("held_a", "held")).alias("p")
-    return met.select(pair).select("p.a", "p.b").distinct()
+    place = ["band", "key", "is_main", "i", "j"]
+
+    def to(last: Column, first: Column | None = None) -> Column:
+        return F.sequence(F.lit(0) if first is None else first, last)
+
+    partners = F.concat(
+        F.transform(to(F.col("n_rest") - 1, F.col("block")), lambda j: F.struct(F.lit(False).alias("is_main"), j.alias("j"))),
+        F.transform(to(F.col("n_main") - 1), lambda j: F.struct(F.lit(True).alias("is_main"), j.alias("j"))),
+    )
+    left = dealt.where("not is_main").select("band", "key", F.col("block").alias("i"), F.col("members").alias("one"), F.explode(partners).alias("with"))
+    left = left.select("band", "key", "with.is_main", "i", "with.j", "one")
+    lefts = to(F.when(F.col("is_main"), F.col("n_rest") - 1).otherwise(F.col("block")))
+    right = dealt.select("band", "key", "is_main", F.col("block").alias("j"), F.explode(lefts).alias("i"), F.col("members").alias("two"))
+    linked = F.arrow_udf(_linked, "array<struct<a: bigint, b: bigint>>").asNondeterministic()
+    links = left.join(right, place).select(F.explode(linked("one", "two", "band", F.lit(float(least)))).alias("p"))
+    return links.select("p.a", "p.b").distinct()
 
 
 def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -206,30 +266,34 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     a doc_id share a class; a null doc_id gets a null class. Other columns are ignored.
 
     Copies are put aside before signatures meet. Each text is first tried with one centre of its buckets only, then
-    with the other centres it isn't connected with; what is then still apart is tried in blocks (``rest_pairs``), so
-    that no link between texts of a bucket is lost and no group's pairs are listed.
+    with the other centres it isn't connected with; what is then still apart is tried in blocks (``rest_links``), which
+    give verified links only, and no more than connect what they hold. No link between texts of a bucket that would
+    join two classes is lost, and no group's pairs are listed.
     """
     spark = docs.sparkSession
     ready(spark)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lower(whole_text()).alias("text"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), plain_words(F.lower(whole_text())).alias("text"))
     raw = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     keys = written(raw.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(6), "text").alias("l")), "keys")
     first = keys.groupBy("k", "l").agg(F.min("doc_id").alias("rep"))
-    reps = written(keys.join(first, ["k", "l"]).select("doc_id", "rep").distinct(), "reps")
+    reps = written(many_to_many(keys, first, ["k", "l"]).select("doc_id", "rep").distinct(), "reps")
 
-    signs = texts.mapInArrow(signature_rows, "doc_id long, bands array<long>, bits binary")
+    signs = texts.mapInArrow(signature_rows, "doc_id long, bands array<long>, bits binary, size long")
     alone = reps.where("doc_id = rep").select("doc_id").distinct()
     signs = written(signs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
-    rows = signs.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    rows = signs.select("doc_id", "size", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(buckets, ["band", "key"]), "members")
 
     same_id = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     edges = written(verified(first_pairs(members), texts, least).union(same_id), "links")
     labels = components(edges)
-    for pairs in (centre_pairs, lambda mixed_ones: rest_pairs(mixed_ones, signs)):
-        apart = written(mixed_buckets(members, labels), "mixed")
-        more = written(verified(pairs(apart), texts, least), "links")
+    steps = (
+        lambda apart: verified(centre_pairs(apart), texts, least),
+        lambda apart: rest_links(apart, signs, texts, least),
+    )
+    for step in steps:
+        more = written(step(written(mixed_buckets(members, labels), "mixed")), "links")
         if not more.isEmpty():
             labels = merged(labels, more)
     found = reps.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")

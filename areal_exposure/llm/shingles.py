@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import utf8
 
@@ -14,13 +16,21 @@ _CUT = 1 << 21
 _DOCS = 4096  # fit in the bits above a shingle's 52
 _MASK = np.uint64((1 << 52) - 1)
 
-_APART = np.ones(256, dtype=bool)  # all of ASCII but letters and digits; what is beyond ASCII belongs to words
+#: Scripts that are written without blanks between words; each character counts as a word.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
+_APART = np.ones(256, dtype=bool)  # all of ASCII but letters and digits; see plain_words for what is beyond ASCII
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 _rng = np.random.Generator(np.random.PCG64(7))
 _PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _TURN = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
+def plain_words(text: Column) -> Column:
+    """The text with blanks for what is beyond ASCII and neither letter, mark nor number, and round unspaced characters."""
+    spaced = F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " "), f"({_UNSPACED})", " $1 ")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), spaced).otherwise(text)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

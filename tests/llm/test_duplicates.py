@@ -2,19 +2,25 @@ from __future__ import annotations
 
 import itertools
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import regex
+from pyspark.sql import functions as F
 
 from areal_exposure.llm import near_copies, shingles
 from texts import words
 
 
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
+
 def brute_sets(texts):
+    """Words are runs of letters, marks and numbers; characters of scripts without blanks are words each."""
     out = []
     for t in texts:
-        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        w = regex.findall(rf"{UNSPACED}\p{{M}}*|(?:(?!{UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+", (t or "").lower())
         out.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
     return out
 
@@ -42,10 +48,11 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-def test_shingles_equal_python_sets(odd_texts):
-    texts = [(t or "").lower() for t in odd_texts]
-    found = shingles.sets(pa.array(texts))
-    assert [len(x) for x in found] == [len(x) for x in brute_sets(texts)]
+def test_shingles_equal_python_sets(spark, odd_texts):
+    texts = odd_texts + ["“one”\u00a0two—three four… five’s sixth", "私は東京に住んでいます。犬が好きです。", "ภาษาไทย x", "Cafe\u0301 é"]
+    rows = spark.createDataFrame([(k, t or "") for k, t in enumerate(texts)], "k int, t string")
+    plain = [r[0] for r in rows.orderBy("k").select(shingles.plain_words(F.lower("t"))).collect()]
+    assert [len(x) for x in shingles.sets(pa.array(plain))] == [len(x) for x in brute_sets(texts)]
 
 
 def test_jaccard_is_exact():
@@ -80,6 +87,37 @@ def test_classes_equal_brute_force(make, odd_texts):
     assert [found[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+@pytest.mark.parametrize("block", [1_000, 1 << 19])
+def test_group_around_the_threshold_in_blocks(make, monkeypatch, block):
+    """Many texts of one origin, most pairs of which are just below 0.8: all meet in blocks, no class may change."""
+    monkeypatch.setattr(near_copies, "_BLOCK", block)
+    rng = random.Random(11)
+    origin = words(rng, 150)
+    texts = [edited(rng, origin, 3 + k % 4) for k in range(150)]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(make(texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_classes(texts)
+
+
+def test_blocks_give_a_forest_of_true_links():
+    rng = random.Random(12)
+    origin = words(rng, 150)
+    texts = [edited(rng, origin, 1 + k % 3) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    (signed,), (held,) = near_copies.signature_rows(iter([batch])), near_copies.digest_rows(iter([batch]))
+    members = [{**a, **b, "label": a["doc_id"]} for a, b in zip(signed.to_pylist(), held.to_pylist(), strict=True)]
+    found = [x for band in range(near_copies.BANDS) for x in near_copies._forest(members, members, band, 0.8)]
+    own = brute_sets(texts)
+    assert all(len(own[x["a"]] & own[x["b"]]) / len(own[x["a"]] | own[x["b"]]) >= 0.8 for x in found)
+    assert len({(x["a"], x["b"]) for x in found}) == len(found)
+    assert all(len(near_copies._forest(members, members, band, 0.8)) < 60 for band in range(3))
+
+
+def test_texts_without_blanks_are_linked(make):
+    text = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(200))
+    found = near_copies.near_copies(make([text, text[:100] + "。" + text[100:], text[:150] + "犬" + text[151:]])).collect()
+    assert {r["class_id"] for r in found} == {0}
+
+
 def test_one_of_each_keeps_heads_and_columns(make):
     docs = make(["a b c d e f", "a b c d e f", "other words stand in this one"], ids=[7, 3, None])
     kept = near_copies.one_of_each(docs)
