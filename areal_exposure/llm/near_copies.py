@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import ready, whole_text
-from areal_exposure.llm.shingles import jaccard, mixed, plain_words, sets, shingles
+from areal_exposure.llm.shingles import jaccard, mixed, sets, shingles
 from areal_exposure.operators.joins import many_to_many
 from areal_exposure.sources.scratch import written
 
@@ -229,7 +229,7 @@ def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least:
     row of its own, so that a large bucket is spread over tasks; blocks of the commonest component don't meet each
     other. A pair of blocks gives fewer links than it has members.
     """
-    needed = mixed_ones.select("doc_id").distinct()
+    needed = written(mixed_ones.select("doc_id").distinct(), "needed")  # its size tells Spark whether to broadcast it
     held = texts.join(needed, "doc_id", "left_semi").mapInArrow(digest_rows, "doc_id long, held binary")
     held = signs.select("doc_id", "bits").join(held, "doc_id").dropDuplicates(["doc_id"])
     own = mixed_ones.withColumn("is_main", F.col("label") == F.col("main")).join(held, "doc_id")
@@ -272,7 +272,7 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """
     spark = docs.sparkSession
     ready(spark)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), plain_words(F.lower(whole_text())).alias("text"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lower(whole_text()).alias("text"))
     raw = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     keys = written(raw.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(6), "text").alias("l")), "keys")
     first = keys.groupBy("k", "l").agg(F.min("doc_id").alias("rep"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import utf8
 
@@ -16,8 +16,18 @@ _CUT = 1 << 21
 _DOCS = 4096  # fit in the bits above a shingle's 52
 _MASK = np.uint64((1 << 52) - 1)
 
-#: Scripts that are written without blanks between words; each character counts as a word.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
+#: Blocks of scripts written without blanks between words; each letter counts as a word.
+_UNSPACED = (
+    (0x0E00, 0x0EFF),  # Thai, Lao
+    (0x1000, 0x109F),  # Myanmar
+    (0x1780, 0x17FF),  # Khmer
+    (0x3005, 0x3007),  # ideographic signs
+    (0x3041, 0x30FF),  # Hiragana, Katakana
+    (0x3400, 0x4DBF),  # ideographs
+    (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF),
+    (0x20000, 0x323AF),
+)
 _APART = np.ones(256, dtype=bool)  # all of ASCII but letters and digits; see plain_words for what is beyond ASCII
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -25,10 +35,42 @@ _PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _TURN = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
-def plain_words(text: Column) -> Column:
-    """The text with blanks for what is beyond ASCII and neither letter, mark nor number, and round unspaced characters."""
-    spaced = F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " "), f"({_UNSPACED})", " $1 ")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), spaced).otherwise(text)
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point: 0 apart from words, 1 part of a word, 2 a mark, 3 a word of its own."""
+    major = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
+    held = np.frombuffer(major.encode(), np.uint8)
+    kinds = np.select([held == ord("M"), (held == ord("L")) | (held == ord("N"))], [2, 1], 0).astype(np.uint8)
+    for low, high in _UNSPACED:
+        own = kinds[low : high + 1]
+        own[own == 1] = 3
+    return kinds
+
+
+def _plain(text: str) -> str:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _kinds()[code]
+    code = np.where((kind == 0) & (code > 127), 32, code)
+    if (kind == 3).any():
+        own = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))  # a mark belongs to what it follows
+        after = np.concatenate([[False], kind[own[:-1]] == 3]) & (kind != 2)
+        code = np.insert(code, np.flatnonzero((kind == 3) | after), 32)
+    return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def plain_words(texts: pa.Array) -> pa.Array:
+    """The texts with blanks for what is beyond ASCII and no letter, mark or number, and around unspaced characters."""
+    data, at = utf8(texts)
+    beyond = np.concatenate([[0], np.cumsum(data > 127)])
+    odd = np.flatnonzero(np.diff(beyond[at])) if len(texts) else np.zeros(0, np.int64)
+    if not len(odd):
+        return texts
+    # One pass over all such texts, with a mark between them that stays as it is.
+    joined = "\x00".join(t.replace("\x00", " ") for t in texts.take(pa.array(odd)).to_pylist())
+    out = texts.to_pylist()
+    for k, text in zip(odd.tolist(), _plain(joined).split("\x00"), strict=True):
+        out[k] = text
+    return pa.array(out, pa.large_string())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,7 +94,7 @@ def _slices(apart: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word of the (lower-cased) texts in turn, and the text each stands in."""
-    data, at = utf8(texts)
+    data, at = utf8(plain_words(texts))
     firsts = np.zeros(len(data) + 1, dtype=bool)
     firsts[at] = True
     numbers, homes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
