@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import pairwise
-from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,29 +121,79 @@ def exact_quantiles(
     return by_rank.select(*by, F.explode(F.array(*rows)).alias("_row")).select(*by, "_row.prob", "_row.value")
 
 
+_MOMENTS = "n long, base array<double>, mean array<double>, c array<double>"
+
+
+def _co_moments(rows: DataFrame, width: int, merge: bool = False) -> DataFrame:
+    """Rows (n, base, mean, c), one per task: count, means from ``base`` on, sums of products of deviations.
+
+    From complete rows of numbers, or with ``merge`` from such rows (Chan, Golub and LeVeque). ``base`` is one of the rows:
+    a constant column has deviations of exactly zero, and large values lose no digits.
+    """
+
+    def parts(batch):
+        if merge:
+            for row in batch.to_pylist():
+                yield row["n"], np.array(row["base"]), np.array(row["mean"]), np.array(row["c"]).reshape(width, width)
+            return
+        whole = np.ones(batch.num_rows, dtype=bool)
+        for column in batch.columns:
+            whole &= column.is_valid().to_numpy(zero_copy_only=False)
+        x = np.stack([c.to_numpy(zero_copy_only=False)[whole] for c in batch.columns], axis=1).astype(float)
+        if len(x):
+            off = x - x[0]
+            apart = off - off.mean(0)
+            yield len(x), x[0], off.mean(0), apart.T @ apart
+
+    def task(batches):
+        n, base, mean, c, any_row = 0, np.zeros(width), np.zeros(width), np.zeros((width, width)), False
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                any_row = any_row or batch.num_rows > 0
+                for n2, base2, mean2, c2 in parts(batch):
+                    if not n2:
+                        continue
+                    if not n:
+                        n, base, mean, c = n2, base2, mean2, c2
+                        continue
+                    gap, total = (base2 - base) + (mean2 - mean), n + n2
+                    c = c + c2 + np.outer(gap, gap) * (n * n2 / total)
+                    mean, n = mean + gap * (n2 / total), total
+        if any_row:
+            row = {"n": n, "base": base.tolist(), "mean": mean.tolist(), "c": c.ravel().tolist()}
+            yield pa.RecordBatch.from_pylist([row], schema=shape)
+
+    numbers = pa.list_(pa.float64())
+    shape = pa.schema([("n", pa.int64()), ("base", numbers), ("mean", numbers), ("c", numbers)])
+    return rows.mapInArrow(task, _MOMENTS)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle ``(var_x, var_y, r)`` over the rows that have every column; null for a constant column.
 
-    An incomplete row counts in no pair (its values are blanked), so a pair is listed even if no row is complete.
-    Each row is fanned out to its pairs and folded again in the same task; one small row per pair and task is
-    shuffled, whatever the number of rows.
+    An incomplete row counts in no pair, but a pair is listed even if no row is complete; an empty table gives no rows.
+    One pass: each task makes one row of count, means and co-moments of its rows by matrix products, and these
+    are merged. Nothing is fanned out, and no more than the square of the number of columns is held.
     """
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
-    complete = values.select(*[F.when(whole, F.col(c)).alias(c) for c in columns])
-    pairs = [
-        F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), F.col(x).alias("x"), F.col(y).alias("y"))
-        for i, x in enumerate(columns)
-        for y in columns[:i]
-    ]
-    moments = (
-        complete.select(F.explode(F.array(*pairs)).alias("pair"))
-        .select("pair.*")
-        .groupBy("var_x", "var_y")
-        .agg(F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sd_x"), F.stddev_samp("y").alias("sd_y"))
-    )
-    r = F.when((F.col("sd_x") > 0) & (F.col("sd_y") > 0), F.col("cov") / F.col("sd_x") / F.col("sd_y"))
-    return moments.select("var_x", "var_y", r.alias("r"))
+    names = list(columns)
+    values = df.select(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(names)])
+    merged = _co_moments(_co_moments(values, len(names)).repartition(1), len(names), merge=True)
+
+    def triangle(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c, size = row["c"], len(names)
+                found = []
+                for i, x in enumerate(names):
+                    for j, y in enumerate(names[:i]):
+                        xx, yy = c[i * size + i], c[j * size + j]
+                        known = row["n"] > 1 and xx != 0 and yy != 0
+                        r = float(c[i * size + j] / np.sqrt(xx) / np.sqrt(yy)) if known else None
+                        found.append({"var_x": x, "var_y": y, "r": r})
+                yield pa.RecordBatch.from_pylist(found, schema=shape)
+
+    shape = pa.schema([("var_x", pa.string()), ("var_y", pa.string()), ("r", pa.float64())])
+    return merged.mapInArrow(triangle, "var_x string, var_y string, r double")
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 30, few_groups: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The usual writers put one feature per line even inside a ``FeatureCollection``, so such files are read as
 lines and split over tasks. A file that holds the whole collection in a single line or spreads a feature over
-several lines has to be read whole by one task: ask for that with ``whole_file``.
+several lines is read with ``whole_file``: in byte ranges too, whose nesting is worked out from all before them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from areal_exposure.functions import geometry as G
 from areal_exposure.functions.projection import map_points
 from areal_exposure.sources.order import FILE_ORDER, file_order
+from areal_exposure.sources.ranges import collection_members
 
 _RING = "array<array<double>>"
 
@@ -89,11 +90,10 @@ def read_layer(
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if whole_file:
-        docs = reader.option("multiLine", True).option("mode", "FAILFAST").schema(f"type string, features array<{feature}>").json(path)
-        none = F.raise_error(F.lit("a file that holds no collection of features")).cast(f"array<{feature}>")
-        held = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(none)
-        raw = docs.select(held.alias("held"), F.col("_metadata.file_path").alias("path"), *([file_order()] if with_order else []))
-        raw = raw.select("*", F.posexplode("held").alias("place", "feature"))
+        pieces = reader.option("lineSep", "}").text(path).select("value", file_order(), F.col("_metadata.file_size").alias("size"))
+        members = collection_members(pieces)
+        held = F.from_json("value", feature, {"mode": "FAILFAST"})
+        raw = members.select(held.alias("feature"), F.col(f"{FILE_ORDER}.path").alias("path"), FILE_ORDER, "place")
     else:
         announced = F.regexp_count(F.col("value"), F.lit(r'"type"\s*:\s*"Feature"'))
         whole = F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"')

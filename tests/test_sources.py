@@ -78,6 +78,36 @@ def test_whole_collection_file(spark, tmp_path):
         layers.read_layer(spark, str(tmp_path), "key string").collect()
 
 
+def test_whole_collection_is_read_in_byte_ranges(spark, tmp_path):
+    """One line, strings with braces, quotes and backslashes, members before and after; cut at any byte."""
+    odd = ['a{b', 'c}d', 'say "x{"', "back\\", '\\"}{', "é日", "", "[{]"]
+    made = [feature(SQUARE if k % 2 else TWO, key=f"{k} {odd[k % len(odd)]}", n=k) for k in range(400)]
+    crs = {"type": "name", "properties": {"name": "x}{\\\""}}
+    doc = {"type": "FeatureCollection", "name": "a{b", "crs": crs, "features": made, "further": {"a": {"b": 1}}}
+    (tmp_path / "one.geojson").write_text(json.dumps(doc, ensure_ascii=False))
+    (tmp_path / "two.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": made[:3]}, indent=2) + "\n\n")
+    (tmp_path / "none.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+    try:
+        df = layers.read_layer(spark, str(tmp_path), "key string, n int", whole_file=True, with_path=True, with_order=True)
+        rows = df.withColumn("area", G.area(F.col("geom"))).orderBy("file_order").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = [r for r in rows if r["path"].endswith("one.geojson")]
+    assert [(r["key"], r["n"]) for r in one] == [(f["properties"]["key"], f["properties"]["n"]) for f in made]
+    assert {round(r["area"], 6) for r in one[1::2]} == {3.75} and len(rows) == 403
+    assert len({r["file_order"]["block"] for r in one}) > 10
+
+
+@pytest.mark.parametrize("end", [1, 2, 3, 40])
+def test_collection_cut_short_fails(spark, tmp_path, end):
+    whole = json.dumps({"type": "FeatureCollection", "features": [feature(SQUARE, key="a"), feature(None, key="b")]})
+    (tmp_path / "layer.geojson").write_text(whole[:-end])
+    with pytest.raises(Exception):
+        layers.read_layer(spark, str(tmp_path), "key string", whole_file=True).collect()
+
+
 def test_broken_feature_fails(spark, tmp_path):
     (tmp_path / "layer.geojson").write_text('{"type":"Feature","properties":{"key":"a"},"geometry":\n')
     with pytest.raises(Exception):
@@ -167,6 +197,36 @@ def test_whole_collection_file(spark, tmp_path):
         layers.read_layer(spark, str(tmp_path), "key string").collect()
 
 
+def test_whole_collection_is_read_in_byte_ranges(spark, tmp_path):
+    """One line, strings with braces, quotes and backslashes, members before and after; cut at any byte."""
+    odd = ['a{b', 'c}d', 'say "x{"', "back\\", '\\"}{', "é日", "", "[{]"]
+    made = [feature(SQUARE if k % 2 else TWO, key=f"{k} {odd[k % len(odd)]}", n=k) for k in range(400)]
+    crs = {"type": "name", "properties": {"name": "x}{\\\""}}
+    doc = {"type": "FeatureCollection", "name": "a{b", "crs": crs, "features": made, "further": {"a": {"b": 1}}}
+    (tmp_path / "one.geojson").write_text(json.dumps(doc, ensure_ascii=False))
+    (tmp_path / "two.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": made[:3]}, indent=2) + "\n\n")
+    (tmp_path / "none.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+    try:
+        df = layers.read_layer(spark, str(tmp_path), "key string, n int", whole_file=True, with_path=True, with_order=True)
+        rows = df.withColumn("area", G.area(F.col("geom"))).orderBy("file_order").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = [r for r in rows if r["path"].endswith("one.geojson")]
+    assert [(r["key"], r["n"]) for r in one] == [(f["properties"]["key"], f["properties"]["n"]) for f in made]
+    assert {round(r["area"], 6) for r in one[1::2]} == {3.75} and len(rows) == 403
+    assert len({r["file_order"]["block"] for r in one}) > 10
+
+
+@pytest.mark.parametrize("end", [1, 2, 3, 40])
+def test_collection_cut_short_fails(spark, tmp_path, end):
+    whole = json.dumps({"type": "FeatureCollection", "features": [feature(SQUARE, key="a"), feature(None, key="b")]})
+    (tmp_path / "layer.geojson").write_text(whole[:-end])
+    with pytest.raises(Exception):
+        layers.read_layer(spark, str(tmp_path), "key string", whole_file=True).collect()
+
+
 def test_broken_feature_fails(spark, tmp_path):
     (tmp_path / "layer.geojson").write_text('{"type":"Feature","properties":{"key":"a"},"geometry":\n')
     with pytest.raises(Exception):

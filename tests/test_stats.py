@@ -58,6 +58,24 @@ def test_correlation_uses_complete_rows_only(spark):
     assert got[("k", "a")] is None and len(got) == 6
 
 
+def test_correlation_in_one_pass(spark):
+    """Large values with a small noise keep nine digits, no row is fanned out, and constants stay constants."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(5000, 3))
+    m[:, 1] += m[:, 0]
+    rows = [(1e9 + float(a), float(b), float(c), 0.1) for a, b, c in m]
+    df = spark.createDataFrame(rows, "a double, b double, n double, c double").repartition(7)
+    matrix = S.correlation_matrix(df, df.columns)
+    got = {(r["var_x"], r["var_y"]): r["r"] for r in matrix.collect()}
+    exact = np.corrcoef((np.array(rows)[:, :3] - [1e9, 0, 0]).T)
+    assert got[("b", "a")] == pytest.approx(exact[1, 0], abs=1e-9) and got[("n", "a")] == pytest.approx(exact[2, 0], abs=1e-9)
+    assert got[("c", "a")] is None and got[("c", "n")] is None
+    assert "Generate" not in matrix._jdf.queryExecution().toString()
+    nothing = spark.createDataFrame([(None, 1.0), (2.0, None)], "a double, b double")
+    assert [tuple(r) for r in S.correlation_matrix(nothing, ["a", "b"]).collect()] == [("b", "a", None)]
+    assert S.correlation_matrix(nothing.limit(0), ["a", "b"]).count() == 0
+
+
 def test_histogram_puts_the_maximum_in_the_last_bin(spark):
     rows = [("a", x / 10) for x in range(11)] + [("b", 2.0), ("b", 2.0), ("a", None)]
     df = spark.createDataFrame(rows, "g string, v double")
