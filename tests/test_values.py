@@ -212,6 +212,30 @@ def test_hot_keys_are_really_split(spark):
     assert l2.groupBy(*keys).count().agg(F.max("count")).first()[0] < 330
 
 
+def test_identical_rows_of_a_hot_key_are_spread(spark):
+    """100,000 identical rows on one key, and others: counted, cut into chunks, dealt to blocks, all written out again."""
+    left = spark.range(100_000).select(F.lit("hot").alias("k"), F.lit(1).alias("l")).union(spark.range(50).select(F.col("id").cast("string"), F.lit(2)))
+    right = spark.createDataFrame([("hot", 7), ("hot", 7), ("hot", 8), (None, 9), ("3", 9)], "k string, r int")
+    got = J.many_to_many(left, right, ["k"], parts=8, min_rows=1000)
+    found = {(r["k"], r["l"], r["r"]): r["count"] for r in got.groupBy("k", "l", "r").count().collect()}
+    assert found == {("hot", 1, 7): 200_000, ("hot", 1, 8): 100_000, ("3", 2, 9): 1}
+    chunks = J.counted_copies(left.where("k = 'hot'"), "_copies_l", 1000)
+    assert chunks.count() == 100 and chunks.agg(F.sum("_copies_l")).first()[0] == 100_000
+    others = J.counted_copies(right, "_copies_r", 1000)
+    l2, _, keys = J.split_hot(chunks, others, ["k"], chunks.columns, others.columns, 8, 1000, ("_copies_l", "_copies_r"))
+    assert l2.groupBy(*keys).agg(F.sum("_copies_l").alias("n")).agg(F.max("n"), F.count("*")).first()[0] < 40_000
+
+
+def test_keys_are_cut_by_pairs(spark):
+    """Neither side has many rows on the key, but nearly all pairs are its own."""
+    left = spark.range(900).select(F.when(F.col("id") < 90, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("l"))
+    right = spark.range(900).select(F.when(F.col("id") < 90, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("r"))
+    l2, r2, keys = J.split_hot(left, right, ["k"], ["l"], ["r"], parts=8, min_rows=1)
+    most = l2.groupBy(*keys).count().join(r2.groupBy(*keys).agg(F.count("*").alias("m")), keys).agg(F.max(F.col("count") * F.col("m"))).first()[0]
+    assert most < 90 * 90 / 4
+    assert J.many_to_many(left, right, ["k"], parts=8, min_rows=1).count() == 90 * 90 + 810
+
+
 def test_missing_code_stays_missing(spark):
     df = spark.createDataFrame([("7",), (None,), ("123",)], "c string")
     assert [r["p"] for r in df.select(V.pad_code("c").alias("p")).collect()] == ["07", None, "123"]
