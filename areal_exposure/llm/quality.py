@@ -1,14 +1,15 @@
 """Text quality by co-training two classifiers with different views of a document.
 
 One sees the content (letters, words, marks, repeats), the other the page's metadata (source, language, size,
-layout of lines). Each is fitted to the labelled rows; then, round by round, each labels those rows of an unlabelled
-pool that it is surest of, for the other to learn from. Each is calibrated on labelled rows kept apart, and the
-calibrated views are combined to score all documents.
+layout of lines). Each is fitted to the labelled rows; then, round by round, each labels those of all other rows that
+it is surest of, for the other to learn from. Each is calibrated on labelled rows kept apart, and the calibrated views
+are combined to score all documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import ready, whole_text
+from areal_exposure.sources.scratch import written
 
 CONTENT, METADATA = 12 + 64, 7 + 16 + 8
 _FOLD = np.arange(256) % 64  # of bytes into 64 bins
@@ -74,6 +76,11 @@ class View:
         return self.line[0] * self.odds(x) + self.line[1]
 
 
+#: Fitted views, how many good and how many bad rows each may label, to what each labels: the other's view of the rows,
+#: and the labels.
+Surest = Callable[[list[View], int, int], list[tuple[np.ndarray, np.ndarray]]]
+
+
 @dataclass
 class Judge:
     """Both views, and the weights of their calibrated log-odds."""
@@ -110,34 +117,20 @@ def fit_view(x: np.ndarray, y: np.ndarray) -> View:
     return View(mean, scale, logistic((x - mean) / scale, y))
 
 
-def co_train(
-    views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int, each: int
-) -> Judge | None:
-    """Co-train on labelled rows and a pool, both given by both views; None without labels of both kinds."""
+def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, surest: Surest, rounds: int, each: int) -> Judge | None:
+    """Co-train on labelled rows, given by both views, and on what ``surest`` finds; None without labels of both kinds."""
     apart = np.arange(len(labels)) % 5 == 0  # for calibration
     y = labels[~apart]
     if len(set(y)) < 2 or len(set(labels[apart])) < 2:
         return None
     seen = [(v[~apart], y) for v in views]
-    free = np.ones(len(pool[0]), dtype=bool)
+    good = max(1, round(each * y.mean()))
     for _ in range(rounds):
-        fitted = [fit_view(*s) for s in seen]
-        taken = free.copy()
+        found = surest([fit_view(*s) for s in seen], good, max(1, each - good))
         for teacher, pupil in ((0, 1), (1, 0)):
-            left = np.flatnonzero(taken)
-            if not len(left):
-                break
-            p = probability(fitted[teacher].odds(pool[teacher][left]))
-            good = max(1, round(each * y.mean()))
-            order = np.argsort(p, kind="stable")
-            sure = np.concatenate([order[::-1][:good], order[: max(1, each - good)]])
-            sure = np.unique(sure[np.abs(p[sure] - 0.5) >= 0.4])  # only what it is sure of
-            rows = left[sure]
-            seen[pupil] = (
-                np.vstack([seen[pupil][0], pool[pupil][rows]]),
-                np.concatenate([seen[pupil][1], (p[sure] > 0.5).astype(float)]),
-            )
-            free[rows] = False
+            rows, told = found[teacher]
+            if len(told):
+                seen[pupil] = (np.vstack([seen[pupil][0], rows]), np.concatenate([seen[pupil][1], told]))
     fitted, known = [fit_view(*s) for s in seen], labels[apart]
     for view, x in zip(fitted, views, strict=True):
         b, a = logistic(view.odds(x[apart])[:, None], known)
@@ -171,34 +164,83 @@ def _inputs() -> tuple[Column, Column, Column]:
     return whole_text(), F.col("source").cast("string"), F.col("lang").cast("string")
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_pool: int = 10_000, rounds: int = 5, each: int = 500
-) -> Judge | None:
-    """Fit to about ``most_labelled`` rows of ``labels`` (doc_id, quality) and a pool of ``most_pool`` other rows.
+def _stacked(found: list) -> tuple[np.ndarray, np.ndarray]:
+    empty = (np.zeros((0, CONTENT)), np.zeros((0, METADATA)))
+    return tuple(np.array([r[k] for r in found], dtype=float) for k in ("content", "metadata")) if found else empty
+
+
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """What both views see of all rows whose doc_id is not in ``known``, written: key, content, metadata.
+
+    Rows that look alike to both views are one row, so that copies don't take all places of a round.
+    """
+    seen = docs.select("doc_id", view_columns(docs.sparkSession, *_inputs()).alias("v")).join(known, "doc_id", "left_anti")
+    return written(seen.select(F.xxhash64("v").alias("key"), "v.*").dropDuplicates(["key"]), "views")
+
+
+def _odds(view: View, column: str) -> Column:
+    @F.arrow_udf("double")
+    def tell(rows: pa.Array) -> pa.Array:
+        held = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(view.mean))
+        return pa.array(view.odds(held.astype(float)))
+
+    return tell(column)
+
 
-    Both samples go by a hash of doc_id, and only their numbers reach the driver. ``each`` is how many rows a view
-    labels in a round. Rows with a null quality or doc_id aren't labelled.
+def surest_of(pool: DataFrame) -> Surest:
+    """What views are surest of among all rows of ``pool`` that no earlier call gave, by ordered limits.
+
+    Rows between a tenth and nine tenths are not sure. Ties go by ``key``. Only keys and odds take part in the ordering;
+    the rows found, at most twice ``good`` and ``bad``, are read by key.
+    """
+    names, taken = ("content", "metadata"), set()
+    sure = float(np.log(9.0))
+
+    def find(fitted: list[View], good: int, bad: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        free = pool.where(~F.col("key").isin(sorted(taken))) if taken else pool
+        lists = []
+        for k, (view, name) in enumerate(zip(fitted, names, strict=True)):
+            odds = free.select("key", _odds(view, name).alias("odds"))
+            high = odds.where(F.col("odds") >= sure).orderBy(F.desc("odds"), "key").limit(good)
+            low = odds.where(F.col("odds") <= -sure).orderBy("odds", "key").limit(bad)
+            lists += [high.select("key", F.lit(k).alias("teacher"), F.lit(1.0).alias("told"))]
+            lists += [low.select("key", F.lit(k).alias("teacher"), F.lit(0.0).alias("told"))]
+        first, *rest = lists
+        for more in rest:
+            first = first.unionAll(more)
+        found = first.collect()
+        keys = sorted({r["key"] for r in found})
+        rows = {r["key"]: r for r in pool.where(F.col("key").isin(keys)).collect()} if keys else {}
+        taken.update(keys)
+        out = []
+        for teacher, pupil in ((0, 1), (1, 0)):
+            own = sorted((r["key"], r["told"]) for r in found if r["teacher"] == teacher)
+            out.append((_stacked([rows[key] for key, _ in own])[pupil], np.array([told for _, told in own])))
+        return out
+
+    return find
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, rounds: int = 5, each: int = 500) -> Judge | None:
+    """Fit to about ``most_labelled`` rows of ``labels`` (doc_id, quality), and to the surest of all other rows.
+
+    The labelled sample goes by a hash of doc_id. All rows without a label are scored in every round, and ``each`` of them
+    are taken per view: only the numbers of those reach the driver. Rows with a null quality or doc_id aren't labelled.
     """
     spark = docs.sparkSession
     ready(spark)
     chance = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) / 1_000_000
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-    n_known, n_docs = known.count(), docs.count()
-    chosen = known.where(chance < most_labelled / max(1, n_known))
+    chosen = known.where(chance < most_labelled / max(1, known.count()))
     rows = docs.select("doc_id", "text", "source", "lang")
     labelled = rows.join(F.broadcast(chosen), "doc_id")  # about most_labelled rows by construction
-    others = rows.where(chance >= 1 - most_pool / max(1, n_docs)).join(known, "doc_id", "left_anti")
-
-    def views(df: DataFrame, *more: str) -> list:
-        return df.select("doc_id", view_columns(spark, *_inputs()).alias("v"), *more).select("doc_id", "v.*", *more).collect()
-
-    def stacked(found: list) -> tuple[np.ndarray, np.ndarray]:
-        empty = (np.zeros((0, CONTENT)), np.zeros((0, METADATA)))
-        return tuple(np.array([r[k] for r in found], dtype=float) for k in (1, 2)) if found else empty
-
-    first, second = sorted(views(labelled, "quality")), sorted(views(others))
-    return co_train(stacked(first), np.array([r[3] for r in first]), stacked(second), rounds, each)
+    views = labelled.select("doc_id", view_columns(spark, *_inputs()).alias("v"), "quality")
+    first = sorted(views.select("doc_id", "v.*", "quality").collect())
+    told = np.array([r["quality"] for r in first])
+    if len(set(told)) < 2:
+        return None
+    return co_train(_stacked(first), told, surest_of(unlabelled(rows, known.select("doc_id"))), rounds, each)
 
 
 def score(docs: DataFrame, judge: Judge | None) -> DataFrame:

@@ -95,6 +95,36 @@ def test_co_training_tells_good_from_bad(spark, make, odd_texts):
     assert len(odd) == len(odd_texts) and all(0 <= r[c] <= 1 for r in odd for c in ("by_content", "by_metadata", "quality"))
 
 
+def test_the_surest_of_all_rows(spark, make):
+    """Against sorting the odds of every row in numpy; a source with one row in 300 teaches too, copies count once."""
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(5, 60)) for _ in range(299)] + ["%%% !!! ### " * 30] + ["same text here"] * 40
+    docs = make(texts)
+    pool = quality.unlabelled(docs, spark.createDataFrame([(0,), (1,)], "doc_id long"))
+    rows = sorted(pool.collect(), key=lambda r: r["key"])
+    assert len(rows) == len({tuple(r["content"] + r["metadata"]) for r in rows}) == 297 + 1 + 3  # the same text of three sources
+    x = [np.array([r[k] for r in rows], dtype=float) for k in ("content", "metadata")]
+    views = [quality.fit_view(v, (np.arange(len(v)) % 3 == 0).astype(float)) for v in x]
+    for view in views:
+        view.weights *= 20  # so that some rows are sure and some are not
+    find, free = quality.surest_of(pool), np.ones(len(rows), dtype=bool)
+    for _ in range(3):
+        got, used = find(views, 7, 11), []
+        for teacher, pupil in ((0, 1), (1, 0)):
+            odds = views[teacher].odds(x[teacher])
+            order = sorted(np.flatnonzero(free), key=lambda k: (-odds[k], k))
+            high = [k for k in order if odds[k] >= math.log(9)][:7]
+            order = sorted(np.flatnonzero(free), key=lambda k: (odds[k], k))
+            low = [k for k in order if odds[k] <= -math.log(9)][:11]
+            want = sorted([(k, 1.0) for k in high] + [(k, 0.0) for k in low])
+            assert want and got[teacher][1].tolist() == [told for _, told in want]
+            assert np.allclose(got[teacher][0], x[pupil][[k for k, _ in want]])
+            used += high + low
+        free[used] = False
+    empty = quality.surest_of(quality.unlabelled(make([]), spark.createDataFrame([], "doc_id long")))
+    assert [len(told) for _, told in empty(views, 7, 11)] == [0, 0]
+
+
 def test_quality_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int")
     judge = quality.train(make(["a b"]), none)
