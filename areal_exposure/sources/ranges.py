@@ -68,3 +68,36 @@ def collection_members(pieces: DataFrame) -> DataFrame:
     checked = found.join(whole, "_file").withColumn("value", F.when(F.col("whole") == 1, F.col("value")).otherwise(wrong))
     member = F.col("before").rlike(r'"\s*:\s*$')
     return checked.where((F.col("value") != "") & ~member).select("value", "place", FILE_ORDER)
+
+
+def _quotes(text: Column) -> Column:
+    return _count(text, '"')
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """The records of CSV files whose quoted fields may hold line breaks: ``value``, ``place`` in the file, ``file_order``.
+
+    ``lines`` are the files' text cut after every line feed (``value`` without it) with ``file_order``. A line that an even
+    number of quotes stands before begins a record, others go on with it; the end of a record loses a carriage return. Blank
+    lines between records are skipped. Only records of several lines are moved, each to one task. A file that ends inside
+    quotes fails the job, and so does a record of several lines with a quote inside an unquoted field.
+    """
+    lines = written(sums_before(lines, _quotes(F.col("value")), "quotes"), "csv-lines")
+    begins = F.col("quotes") % 2 == 0
+    lines = lines.withColumn("begins", begins.cast("int")).where(~begins | (F.trim(F.regexp_replace("value", r"\s", " ")) != ""))
+    lines = sums_before(lines, F.col("begins"), "place").withColumn("place", F.col("place") + F.col("begins") - 1)
+    single = begins & (_quotes(F.col("value")) % 2 == 0)
+    path = F.col(_BLOCK[0]).alias("_file")
+    # What ends inside quotes would gather the rest of its file, so it's told before anything is gathered.
+    ends = lines.groupBy(path).agg((F.max(F.col("quotes") + _quotes(F.col("value"))) % 2).alias("_open"))
+    wrong = F.raise_error(F.concat(F.lit("a file that ends inside quotes: "), F.col("_file")))
+    parts = lines.where(~single).withColumn("_file", path).join(ends, "_file")
+    parts = parts.withColumn("value", F.when(F.col("_open") == 0, F.col("value")).otherwise(wrong))
+    order = F.array_sort(F.collect_list(F.struct(FILE_ORDER, "value")))
+    whole = parts.groupBy("_file", "place").agg(F.concat_ws("\n", F.transform(order, lambda p: p["value"])).alias("value"), F.min(FILE_ORDER).alias(FILE_ORDER))
+    field = r'(?:\s*+"[^"]*+"\s*+|[^",]*+)'  # doubled quotes are taken out first
+    plain = F.replace("value", F.lit('""'), F.lit("")).rlike(rf"^{field}(?:,{field})*+\z")
+    stray = F.raise_error(F.concat(F.lit("a quote inside an unquoted field: "), F.col("_file")))
+    whole = whole.select(F.when(plain, F.col("value")).otherwise(stray).alias("value"), "place", FILE_ORDER)
+    records = lines.where(single).select("value", "place", FILE_ORDER).unionByName(whole)
+    return records.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
