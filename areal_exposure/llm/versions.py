@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areal_exposure.llm.common import whole_text
+from areal_exposure.operators.joins import null_safe
 from areal_exposure.sources.scratch import written
 
 PARAGRAPH = r"[^\n.!?]{1,64}[\n.!?\s]*|[\n.!?\s]+"
@@ -182,12 +183,11 @@ def _told(docs: DataFrame, factor: float, bad: DataFrame | None = None) -> DataF
     arrays = [digests(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "edited"), ("following", "following"))]
     found = _compared(after.select("grp", "row", *arrays), factor)
     values = [c for c in found.columns if c not in ("grp", "row")]
-    found = found.withColumnsRenamed({"grp": "_grp", "row": "_row"})
     digest = F.sha2("edited", 256).alias("edited_sha256")
     about = after.select("doc_id", "grp", "row", F.char_length("text").cast("long").alias("n_chars"), digest)
-    same = (F.col("grp") == F.col("_grp")) & (F.col("row") == F.col("_row"))
+    # Not a plain equality: that filters nulls before the exchange of the texts on one side only, and they move twice.
     # A pair without any paragraph has no table: all of its numbers are 0.
-    return about.join(found, same, "left").drop("_grp", "_row").fillna(0, values)
+    return null_safe(about, found, ["grp", "row"], "left").fillna(0, values)
 
 
 def _likeness(other: str) -> Column:

@@ -106,7 +106,9 @@ def meeting_pairs(
         & (F.floor(y0 / level_size(F.col("_level"))) == F.col("_gy"))
     )
     columns = [c for df in (left, right) for c in df.columns if c not in on]
-    return l2.join(r2, keys).where(once).select(*on, *columns, ((x1 - x0) * (y1 - y0)).alias("_common"))
+    # Pairs cost far more than their sides' bytes: a small side is not broadcast, which would leave all work to the few
+    # partitions of the other.
+    return l2.hint("shuffle_merge").join(r2, keys).where(once).select(*on, *columns, ((x1 - x0) * (y1 - y0)).alias("_common"))
 
 
 def _computed_once(value: Column, area: str | None) -> Column:

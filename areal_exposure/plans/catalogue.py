@@ -95,13 +95,22 @@ def tract_pounds(v: Views) -> DataFrame:
     return A.tract_totals(shares(v), T.section_calendar_totals(in_calendar_years(v)))
 
 
-def fractions(v: Views, directions: int = 4) -> DataFrame:
-    """Buffers with 4 directions around rectangular grounds are rectangles, so SQL can state the result."""
-    crops = R.cropland(v.crops())
-    yearly = T.section_water_year(in_water_years(v))
+def yearly_pounds(v: Views) -> DataFrame:
+    return written(T.section_water_year(in_water_years(v)), "yearly")
+
+
+def fractions(v: Views, directions: int = 4, yearly: DataFrame | None = None) -> DataFrame:
+    """Buffers with 4 directions around rectangular grounds are rectangles, so SQL can state the result.
+
+    Cropland and yearly pounds are written, as the overlay and the join read their sides several times over; so the
+    records are gone through once for each of the two. ``yearly`` is :func:`yearly_pounds`, if at hand.
+    """
+    crops = written(R.cropland(v.crops()), "crops")
+    yearly = yearly_pounds(v) if yearly is None else yearly
     buffers = A.school_buffers(v.schools(), units_per_mile=UNITS_PER_MILE, directions=directions)
     inside = written(A.buffer_crop_acres(buffers, crops, SQUARE_UNITS_PER_ACRE), "inside")
-    return A.crop_fractions(inside, A.cropland_years(crops, yearly, square_units_per_acre=SQUARE_UNITS_PER_ACRE))
+    years = written(A.cropland_years(crops, yearly, square_units_per_acre=SQUARE_UNITS_PER_ACRE), "years")
+    return A.crop_fractions(inside, years)
 
 
 def school_totals(v: Views) -> DataFrame:
@@ -660,9 +669,9 @@ from fractions""",
 def pounds_mismatch(v):
     """Pounds carried through the overlay against section-year totals of which those that end in 7 were changed."""
     keys = ["chem_code", "co_mtrs", "water_year"]
-    yearly = T.section_water_year(in_water_years(v)).select(*keys, "pounds")
-    yearly = yearly.withColumn("pounds", F.col("pounds") + F.when(F.col("co_mtrs").endswith("7"), 1.0).otherwise(0.0))
-    parts = written(fractions(v).select(*keys, "pounds"))
+    yearly = yearly_pounds(v)
+    parts = written(fractions(v, yearly=yearly).select(*keys, "pounds"))
+    yearly = yearly.select(*keys, (F.col("pounds") + F.when(F.col("co_mtrs").endswith("7"), 1.0).otherwise(0.0)).alias("pounds"))
     mismatch = A.pounds_mismatch(parts, yearly, keys).select(F.lit(1).alias("bad"))
     compared = parts.select(F.lit(0).alias("bad"))
     return compared.unionByName(mismatch).agg(

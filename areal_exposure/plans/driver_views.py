@@ -74,19 +74,28 @@ class Views:
             self._tables["records"] = self._records()
         return self._tables["records"]
 
+    def _lines(self) -> DataFrame:
+        return self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+    @staticmethod
+    def _section_key(supplier: Column, part: Column) -> list[Column]:
+        """The parts of a section's key; they depend on the remainders by 20 and 180 of the line's keys only."""
+        return [
+            _two(F.col("s_nationkey")).alias("county_cd"),
+            F.lit("M").alias("base_ln_mer"),
+            _two(supplier % 20).alias("township"),
+            F.when(supplier % 2 == 0, "N").otherwise("S").alias("tship_dir"),
+            _two(part % 5).alias("range"),
+            F.lit("E").alias("range_dir"),
+            _two(part % 36 + 1).alias("section"),
+        ]
+
     def _records(self) -> DataFrame:
-        lines = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         day = F.col("l_shipdate")
-        return lines.select(
+        return self._lines().select(
             F.col("l_orderkey").cast("string").alias("use_no"),
             F.when(F.col("l_returnflag") == "A", "573").when(F.col("l_returnflag") == "R", "136").otherwise("999").alias("chem_code"),
-            _two(F.col("s_nationkey")).alias("county_cd"),
-            F.lit("M").alias("base_ln_mer"),
-            _two(F.col("l_suppkey") % 20).alias("township"),
-            F.when(F.col("l_suppkey") % 2 == 0, "N").otherwise("S").alias("tship_dir"),
-            _two(F.col("l_partkey") % 5).alias("range"),
-            F.lit("E").alias("range_dir"),
-            _two(F.col("l_partkey") % 36 + 1).alias("section"),
+            *self._section_key(F.col("l_suppkey"), F.col("l_partkey")),
             F.concat_ws("/", _two(F.month(day)), _two(F.dayofmonth(day)), F.year(day).cast("string")).alias("applic_dt"),
             F.when(F.col("l_discount") != 0, F.col("l_quantity").cast("string")).alias("lbs_chm_used"),
             F.col("l_extendedprice").cast("string").alias("acre_treated"),
@@ -113,7 +122,9 @@ class Views:
         return nations.unionByName(regions)
 
     def section_corners(self) -> DataFrame:
-        parts = self.records().select(*K.SECTION_KEY_PARTS).distinct()
+        # Whole numbers are made distinct before text is made of them, which costs far less a line.
+        places = self._lines().select("s_nationkey", (F.col("l_suppkey") % 20).alias("s"), (F.col("l_partkey") % 180).alias("p"))
+        parts = places.distinct().select(*self._section_key(F.col("s"), F.col("p"))).distinct()
         x = F.col("county_cd").cast("int") * 20.0 + F.col("township").cast("int")
         y = F.col("range").cast("int") * 36.0 + F.col("section").cast("int") - 1
         return parts.select(

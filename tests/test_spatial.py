@@ -361,3 +361,37 @@ def test_tract_shares_by_fragments(spark):
     tracts = spark.createDataFrame([("t1", box(-1, -1, 0.3, 3)), ("t2", U_SHAPE)], f"geoid string, geom {G.GEOM_TYPE}")
     plain, detailed = ({(r[0], r[1]): (r[2], r[3]) for r in A.section_tract_shares(sections, tracts, 1.0, detailed=d).collect()} for d in (False, True))
     assert plain.keys() == detailed.keys() and all(plain[k] == pytest.approx(detailed[k]) for k in plain)
+
+
+def test_school_fractions_read_the_records_no_more_once_built(spark, tmp_path):
+    """Overlay and join read their sides many times over; both must come from written tables, not from the lines."""
+    from datetime import date
+
+    from areal_exposure.plans import catalogue
+    from areal_exposure.plans.driver_views import Views
+
+    flag, day = ["A", "R", "N"], date(1997, 5, 1)
+    lines = [(i, i % 40, i * 7 % 180, flag[i % 3], 0.05, float(i % 9), 10.0, 0.01, day) for i in range(400)]
+    names = "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_quantity double, l_extendedprice double, l_tax double, l_shipdate date"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = [(k, f"S{k}", k % 3) for k in range(40)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, f"N{k}", 0) for k in range(3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    found = catalogue.fractions(Views(spark, str(tmp_path)))
+    assert found.count() > 0
+    assert not [f for f in found.inputFiles() if "lineitem" in f or "supplier" in f]
+
+
+def test_sections_of_large_and_negative_keys(spark, tmp_path):
+    from areal_exposure.constants import SECTION_KEY_PARTS
+    from areal_exposure.plans.driver_views import Views
+
+    keys = [(s, p) for s in (-41, -20, -1, 0, 7, 19, 123457) for p in (-181, -36, -7, 0, 5, 179, 987654, None)]
+    rows = [(1, s, p, "A", 0.05, 1.0, 1.0, 0.01, None) for s, p in keys]
+    names = "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_quantity double, l_extendedprice double, l_tax double, l_shipdate date"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = [(s, "S", n) for s, n in zip((-41, -20, -1, 0, 7, 19, 123457), (0, 1, None, 3, 4, 5, 6), strict=True)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    v = Views(spark, str(tmp_path))
+    of_records = v.records().select(F.concat(*SECTION_KEY_PARTS).alias("k")).distinct()
+    assert sorted(str(r["co_mtrs"]) for r in v.section_corners().select("co_mtrs").distinct().collect()) == sorted(str(r["k"]) for r in of_records.collect())
