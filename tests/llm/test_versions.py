@@ -56,3 +56,12 @@ def test_few_rows(make):
     check(make(["alone. here"]), ["alone. here"], [0])
     check(make(["b.", "a."], ids=[5, 5]), ["b.", "a."], [5, 5])
     assert versions.fingerprints(make(["x", "y"], ids=[None, 2])).where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_texts_are_dealt_out_once(spark):
+    docs = spark.createDataFrame([(k, f"text {k}. more of it {k % 3}. end") for k in range(50)], "doc_id long, text string")
+    found = versions._told(docs, 1.7)
+    assert found.count() == 50
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"(?<!Reused)Exchange .*REPARTITION_BY_NUM", plan)) - len(re.findall(r"ReusedExchange .*REPARTITION_BY_NUM", plan)) == 1
