@@ -75,42 +75,47 @@ class Encoder:
             return np.fromiter(chain.from_iterable(e.ids for e in whole), "<u4", counts.sum()), counts
         cut = pc.utf8_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        pool, sizes = self._pool(words.dictionary.to_pylist())
-        starts = np.cumsum(sizes) - sizes
+        pool, sizes = self._pool(words.dictionary)
         word = words.indices.to_numpy()
         each = sizes[word]
-        ends = np.cumsum(each)
-        ids = pool[np.repeat(starts[word] - (ends - each), each) + np.arange(len(each) and ends[-1])]
-        upto = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *pc.list_value_length(cut).to_pylist()])]
+        ids = _taken(pool, (np.cumsum(sizes) - sizes)[word], each)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        upto = ends[np.cumsum([0, *pc.list_value_length(cut).to_pylist()])]
         return ids, np.diff(upto)
 
-    def _pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct ``words`` in a row, and how many each has."""
-        found = list(map(self.known.get, words))
+    def _pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct ``words`` in a row, and how many each has.
+
+        Words of ASCII letters that differ in case or in the marks at their end only are looked up once, and the marks
+        apart; all other words as they are.
+        """
+        core = pc.utf8_rtrim(words, characters=_TAIL)
+        alike = pc.match_substring_regex(core, "^[A-Za-z]+$")
+        tail = pc.if_else(alike, pc.replace_substring_regex(words, "^[A-Za-z]+", ""), "")
+        parts = pa.concat_arrays([pc.if_else(alike, pc.ascii_lower(core), words), tail]).dictionary_encode()
+        known, sizes = self._looked_up(parts.dictionary.to_pylist())
+        both = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # each word's letters, then its marks
+        each = sizes[both]
+        return _taken(known, (np.cumsum(sizes) - sizes)[both], each), each.reshape(-1, 2).sum(1)
+
+    def _looked_up(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct ``parts`` of words in a row, and how many each has."""
+        found = list(map(self.known.get, parts))
         if len(self.known) > self.remembered:  # what this batch doesn't need is forgotten
-            self.known = {w: x for w, x in zip(words, found, strict=True) if x is not None}
+            self.known = {w: x for w, x in zip(parts, found, strict=True) if x is not None}
         if None in found:
-            self._learn([w for w, x in zip(words, found, strict=True) if x is None])
-            found = list(map(self.known.__getitem__, words))
+            new = [w for w, x in zip(parts, found, strict=True) if x is None]
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+            found = list(map(self.known.__getitem__, parts))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), dtype="<u4"), sizes
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that differ in case or in the marks at their end only are encoded once, and the marks apart."""
-        made, needed = {}, set()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            # a letter may become a letter and a mark, which the library takes together with what follows
-            alike = core.isalpha() and max(core) < "\u0250" and core.lower().isalpha()
-            parts = (core.lower(), w[len(core) :]) if alike else (w, "")
-            made[w] = parts
-            needed.update(parts)
-        needed = [w for w in needed if w and w not in self.known]
-        for w, e in zip(needed, self.tokenizer.encode_batch_fast(needed, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-        self.known[""] = b""
-        for w, (core, tail) in made.items():
-            self.known[w] = self.known[core] + self.known[tail] if tail else self.known[core]
+
+def _taken(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` from ``starts`` on, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(len(ends) and ends[-1])]
 
 
 @cache

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -82,3 +83,12 @@ def test_token_files_round_trip(spark, make, odd_texts, tmp_path, block):
 def test_token_files_of_no_rows(spark, make, tmp_path):
     token_files.write_ids(make([]), str(tmp_path / "ids"), WORDS, end_id=1)
     assert token_files.read_ids(spark, str(tmp_path / "ids")).count() == 0
+
+
+def test_words_are_looked_up_without_case_and_marks():
+    encoder = token_files.Encoder(WORDS)
+    texts = pa.array(["Horse, horse HORSE! horse?! 12, İstanbul. Ärger, ärger a.b, .,. x", "", "horse. Horse;"])
+    ids, counts = encoder.ids(texts)
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [ids[a - n : a].tolist() for a, n in zip(counts.cumsum(), counts, strict=True)] == whole
+    assert sum(w.lower().startswith("horse") for w in encoder.known) == 1
