@@ -28,7 +28,10 @@ def shared_folder(spark: SparkSession, purpose: str = "table") -> str:
 
 
 def written(df: DataFrame, purpose: str = "table") -> DataFrame:
-    """The same rows, read back from a written table: computed once, and safe when executors are lost."""
+    """The same rows, read back from a written table: computed once, and safe when executors are lost.
+
+    The schema is known, so no job looks for it in the files.
+    """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
