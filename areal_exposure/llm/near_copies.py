@@ -93,8 +93,16 @@ def _similarity(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(jaccard(left, right))
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids``. These are written: their size tells Spark whether to broadcast them, so
+    that the other rows, most of all texts, need not be dealt out."""
+    return rows.join(written(ids.select("doc_id").distinct(), "needed"), "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts have at least ``least`` of their shingles in common."""
+    pairs = written(pairs, "pairs")
+    texts = _of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts
     held = pairs.join(one, "a").join(two.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return held.withColumn("s", F.arrow_udf(_similarity, "double").asNondeterministic()("text_a", "text_b")).where(F.col("s") >= least).select("a", "b")
@@ -181,6 +189,31 @@ def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], held], names=["doc_id", "held"])
 
 
+def _meetings(one: list[dict], two: list[dict], band: int) -> Iterator[tuple[int, list[int]]]:
+    """Members of a block, and those of the other in other components whose signatures make a link likely, by number."""
+    registers = np.frombuffer(b"".join(m["bits"] for m in two), "<u2").reshape(-1, REGISTERS)
+    label = np.array([m["label"] for m in two], np.int64)
+    itself = [m["doc_id"] for m in one] == [m["doc_id"] for m in two]
+    for k, m in enumerate(one):
+        first = k + 1 if itself else 0
+        apart = first + np.flatnonzero(label[first:] != m["label"])
+        equal = registers[apart] == np.frombuffer(m["bits"], "<u2")
+        likely = equal.sum(1) >= _LEAST_EQUAL
+        # A pair is tried in the first band that it shares only.
+        likely[likely] = equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        if likely.any():
+            yield k, apart[likely].tolist()
+
+
+def _meeting(one: list[dict], two: list[dict], band: int) -> list[int]:
+    """The doc_ids of all members of two blocks that have a pair to try."""
+    found = set()
+    for k, others in _meetings(one, two, band):
+        found.add(one[k]["doc_id"])
+        found.update(two[j]["doc_id"] for j in others)
+    return sorted(found)
+
+
 def _forest(one: list[dict], two: list[dict], band: int, least: float) -> list[dict]:
     """Links that connect the components of two blocks' members as all their links would, each found to hold."""
     above: dict[int, int] = {}
@@ -191,19 +224,12 @@ def _forest(one: list[dict], two: list[dict], band: int, least: float) -> list[d
             label = up
         return label
 
-    registers = np.frombuffer(b"".join(m["bits"] for m in two), "<u2").reshape(-1, REGISTERS)
     shingled = [np.frombuffer(m["held"], "<u8") for m in two]
-    label = np.array([m["label"] for m in two], np.int64)
-    itself = [m["doc_id"] for m in one] == [m["doc_id"] for m in two]
     out = []
-    for k, m in enumerate(one):
-        own, first = np.frombuffer(m["held"], "<u8"), k + 1 if itself else 0
-        apart = first + np.flatnonzero(label[first:] != m["label"])
-        equal = registers[apart] == np.frombuffer(m["bits"], "<u2")
-        likely = equal.sum(1) >= _LEAST_EQUAL
-        # A pair is tried in the first band that it shares only.
-        likely[likely] = equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-        for j in apart[likely].tolist():
+    for k, others in _meetings(one, two, band):
+        m = one[k]
+        own = np.frombuffer(m["held"], "<u8")
+        for j in others:
             x, y = head(m["label"]), head(two[j]["label"])
             other = shingled[j]
             if x == y or min(len(own), len(other)) < least * max(len(own), len(other)):
@@ -215,29 +241,20 @@ def _forest(one: list[dict], two: list[dict], band: int, least: float) -> list[d
     return out
 
 
+def _met(left: pa.Array, right: pa.Array, band: pa.Array) -> pa.Array:
+    rows = zip(left, right, band, strict=True)
+    return pa.array([_meeting(a.as_py(), b.as_py(), k.as_py()) for a, b, k in rows], pa.list_(pa.int64()))
+
+
 def _linked(left: pa.Array, right: pa.Array, band: pa.Array, least: pa.Array) -> pa.Array:
     rows = zip(left, right, band, least, strict=True)
     found = [_forest(a.as_py(), b.as_py(), k.as_py(), s.as_py()) for a, b, k, s in rows]
     return pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
 
-def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect what is still apart in a bucket, each verified; not all links, but all they connect.
-
-    The members of a bucket are dealt to blocks by a hash, its commonest component apart from the others. Blocks
-    hold some 4 MB of shingles, so that their number follows from the texts' lengths, and each pair of blocks is a
-    row of its own, so that a large bucket is spread over tasks; blocks of the commonest component don't meet each
-    other. A pair of blocks gives fewer links than it has members.
-    """
-    needed = written(mixed_ones.select("doc_id").distinct(), "needed")  # its size tells Spark whether to broadcast it
-    held = texts.join(needed, "doc_id", "left_semi").mapInArrow(digest_rows, "doc_id long, held binary")
-    held = signs.select("doc_id", "bits").join(held, "doc_id").dropDuplicates(["doc_id"])
-    own = mixed_ones.withColumn("is_main", F.col("label") == F.col("main")).join(held, "doc_id")
-    n_main = F.greatest(F.ceil(F.col("load_main") / _BLOCK), F.lit(1)).cast("int")
-    n_rest = F.greatest(F.ceil((F.col("load") - F.col("load_main")) / _BLOCK), F.lit(1)).cast("int")
-    own = own.withColumns({"n_main": n_main, "n_rest": n_rest})
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
-    dealt = own.groupBy("band", "key", "is_main", "block", "n_main", "n_rest").agg(F.collect_list(F.struct("doc_id", "label", "bits", "held")).alias("members"))
+def _block_pairs(own: DataFrame, *carried: str) -> DataFrame:
+    """band, key, and the members of two blocks of a bucket that must meet, ``one`` and ``two``, with what they carry."""
+    dealt = own.groupBy("band", "key", "is_main", "block", "n_main", "n_rest").agg(F.collect_list(F.struct(*carried)).alias("members"))
     dealt = written(dealt, "blocks")
     place = ["band", "key", "is_main", "i", "j"]
 
@@ -252,8 +269,34 @@ def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least:
     left = left.select("band", "key", "with.is_main", "i", "with.j", "one")
     lefts = to(F.when(F.col("is_main"), F.col("n_rest") - 1).otherwise(F.col("block")))
     right = dealt.select("band", "key", "is_main", F.col("block").alias("j"), F.explode(lefts).alias("i"), F.col("members").alias("two"))
+    return left.join(right, place)
+
+
+def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect what is still apart in a bucket, each verified; not all links, but all they connect.
+
+    The members of a bucket are dealt to blocks by a hash, its commonest component apart from the others. Blocks
+    hold some 4 MB of shingles, so that their number follows from the texts' lengths, and each pair of blocks is a
+    row of its own, so that a large bucket is spread over tasks; blocks of the commonest component don't meet each
+    other. A pair of blocks gives fewer links than it has members.
+
+    Blocks meet twice: first with signatures only, a tenth of the bytes, which tell the members that have a pair to
+    try; then these alone, with their shingles.
+    """
+    own = mixed_ones.withColumn("is_main", F.col("label") == F.col("main")).join(_of(signs.select("doc_id", "bits"), mixed_ones), "doc_id")
+    n_main = F.greatest(F.ceil(F.col("load_main") / _BLOCK), F.lit(1)).cast("int")
+    n_rest = F.greatest(F.ceil((F.col("load") - F.col("load_main")) / _BLOCK), F.lit(1)).cast("int")
+    own = own.withColumns({"n_main": n_main, "n_rest": n_rest})
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    own = written(own, "dealt")
+
+    met = F.arrow_udf(_met, "array<bigint>").asNondeterministic()
+    tried = _block_pairs(own, "doc_id", "label", "bits").select("band", "key", F.explode(met("one", "two", "band")).alias("doc_id"))
+    tried = written(tried.distinct(), "tried")
+    held = _of(texts, tried).mapInArrow(digest_rows, "doc_id long, held binary").dropDuplicates(["doc_id"])
+    own = own.join(tried, ["band", "key", "doc_id"], "left_semi").join(held, "doc_id")
     linked = F.arrow_udf(_linked, "array<struct<a: bigint, b: bigint>>").asNondeterministic()
-    links = left.join(right, place).select(F.explode(linked("one", "two", "band", F.lit(float(least)))).alias("p"))
+    links = _block_pairs(own, "doc_id", "label", "bits", "held").select(F.explode(linked("one", "two", "band", F.lit(float(least)))).alias("p"))
     return links.select("p.a", "p.b").distinct()
 
 
@@ -302,7 +345,9 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, and those with a null doc_id, with all columns."""
-    heads = near_copies(docs, least).where("doc_id = class_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").cast("long") == F.col("_head"), "left_semi")
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` whose doc_id is the least of its class, and those with a null doc_id, with all columns.
+
+    The rows to leave out are far fewer than those kept; written, their size tells Spark whether to broadcast them.
+    """
+    copies = near_copies(docs, least).where("doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")

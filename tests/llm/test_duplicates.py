@@ -110,6 +110,33 @@ def test_blocks_give_a_forest_of_true_links():
     assert all(len(near_copies._forest(members, members, band, 0.8)) < 60 for band in range(3))
 
 
+def test_texts_are_dealt_out_only_where_a_pair_needs_them(make, spark):
+    """Else each of the steps shuffles the whole input, which took more disk than the pipeline has."""
+    rng = random.Random(13)
+    docs = make([words(rng, 60) for _ in range(40)])
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    kept = plan(near_copies.one_of_each(docs))
+    assert "BroadcastHashJoin" in kept and "SortMergeJoin" not in kept
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    assert plan(near_copies.verified(pairs, docs, 0.8)).count("LeftSemi") == 2
+
+
+def test_only_members_with_a_pair_to_try_bring_their_shingles():
+    rng = random.Random(14)
+    origin = words(rng, 150)
+    texts = [origin, edited(rng, origin, 1), *(words(rng, 150) for _ in range(20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    (signed,) = near_copies.signature_rows(iter([batch]))
+    members = [{**m, "label": m["doc_id"]} for m in signed.to_pylist()]
+    tried = [near_copies._meeting(members, members, band) for band in range(near_copies.BANDS)]
+    assert sorted(filter(None, tried)) == [[0, 1]]
+    same = [{**m, "label": 0} for m in members]
+    assert not any(near_copies._meeting(same, same, band) for band in range(near_copies.BANDS))
+
+
 def test_texts_without_blanks_are_linked(make):
     text = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(200))
     found = near_copies.near_copies(make([text, text[:100] + "。" + text[100:], text[:150] + "犬" + text[151:]])).collect()
