@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from areal_exposure.llm.common import ready, whole_text
 from areal_exposure.llm.shingles import jaccard, mixed, sets, shingles
-from areal_exposure.operators.joins import many_to_many
 from areal_exposure.sources.scratch import written
 
 #: At similarity 0.8 a pair shares a bucket with probability 0.99995.
@@ -300,6 +299,16 @@ def rest_links(mixed_ones: DataFrame, signs: DataFrame, texts: DataFrame, least:
     return links.select("p.a", "p.b").distinct()
 
 
+def representatives(keys: DataFrame) -> DataFrame:
+    """Distinct doc_id, rep: the least doc_id with a text's key (k, l), for each text of a doc_id.
+
+    Only texts that are there more than once are joined, with one row for each; written, their size tells Spark whether
+    to broadcast them, and otherwise it can split the rows of a large group of copies.
+    """
+    copied = keys.groupBy("k", "l").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keys.join(written(copied, "copied"), ["k", "l"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
+
+
 def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id and class_id, the least doc_id of its class.
 
@@ -318,8 +327,7 @@ def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lower(whole_text()).alias("text"))
     raw = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     keys = written(raw.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(6), "text").alias("l")), "keys")
-    first = keys.groupBy("k", "l").agg(F.min("doc_id").alias("rep"))
-    reps = written(many_to_many(keys, first, ["k", "l"]).select("doc_id", "rep").distinct(), "reps")
+    reps = written(representatives(keys), "reps")
 
     signs = texts.mapInArrow(signature_rows, "doc_id long, bands array<long>, bits binary, size long")
     alone = reps.where("doc_id = rep").select("doc_id").distinct()

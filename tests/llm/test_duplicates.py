@@ -124,6 +124,25 @@ def test_texts_are_dealt_out_only_where_a_pair_needs_them(make, spark):
     assert plan(near_copies.verified(pairs, docs, 0.8)).count("LeftSemi") == 2
 
 
+def test_plans_stay_small(make, monkeypatch):
+    """One plan of thousands of nodes took the driver of the pipeline beyond its memory."""
+    sizes, write = [], near_copies.written
+
+    def written(df, purpose="table"):
+        sizes.append(df._jdf.queryExecution().executedPlan().toString().count("\n"))
+        return write(df, purpose)
+
+    monkeypatch.setattr(near_copies, "written", written)
+    near_copies.near_copies(make(["a b c d e f", "a b c d e f", None, "", "other words stand in this one"]))
+    assert max(sizes) < 300
+
+
+def test_each_text_of_an_id_has_its_representative(spark):
+    keys = [(5, 1, 1), (5, 1, 1), (3, 1, 1), (9, 1, 2), (5, 2, 2), (4, 2, 2), (7, 3, 3)]
+    found = near_copies.representatives(spark.createDataFrame(keys, "doc_id long, k long, l long"))
+    assert sorted(map(tuple, found.collect())) == [(3, 3), (4, 4), (5, 3), (5, 4), (7, 7), (9, 9)]
+
+
 def test_only_members_with_a_pair_to_try_bring_their_shingles():
     rng = random.Random(14)
     origin = words(rng, 150)
