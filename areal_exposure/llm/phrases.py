@@ -38,6 +38,8 @@ _BYTES = bytes(44 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b +
 _BITS = 25
 #: What a task holds before it hands counts on: distinct words, grams or pairs, and known words.
 _HELD, _HELD_GRAMS, _KNOWN = 500_000, 2_000_000, 500_000
+#: A task that counts grams reads up to so many splits of the input, where that leaves two tasks for each core.
+_SPLITS = 4
 #: So many of the commonest words, up to so many bytes long, stand in grams as one character; others are spelled.
 _CODED, _CODED_BYTES = 200_000, 64
 _SEED = 42
@@ -166,15 +168,16 @@ def _counted_pairs(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Ite
         yield rows(parts)
 
 
-def _added_up(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of codes and how often each is there."""
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of codes, in order, and the sums of their counts."""
+    rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     wide = rows.astype(np.uint64)
     first = wide[:, 0] << np.uint64(42) | wide[:, 1] << np.uint64(21) | wide[:, 2]
     second = wide[:, 3] << np.uint64(21) | wide[:, 4]
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
     new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-    return rows[order[new]], np.diff(np.append(new, len(rows)))
+    return rows[order[new]], np.add.reduceat(n[order], new)
 
 
 def _spaced(rows: np.ndarray) -> pa.Array:
@@ -190,14 +193,15 @@ def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, common
     """lang, lead (first three words), tail (the rest) and n of the longest grams; under a null tail, the flow out of pairs.
 
     Grams come in order, so the flow out of their pairs is a sum over neighbours. A gram of two words is only in that.
+    What is held is added up first, and handed on only where the distinct grams are too many.
     """
 
     def batch_of(lang: str, lead: pa.Array, tail: pa.Array, n: np.ndarray | list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(lead), pa.string()), lead, tail, pa.array(n, pa.int64())], names=["lang", "lead", "tail", "n"])
 
-    def rows(held: dict[str, list[np.ndarray]], spelled: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    def rows(held: dict[str, list[tuple[np.ndarray, np.ndarray]]], spelled: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
-            grams, n = _added_up(np.concatenate(parts))
+            grams, n = _added_up(parts)
             new = np.flatnonzero(np.concatenate(([True], (grams[1:, :2] != grams[:-1, :2]).any(axis=1))))
             lead = _spaced(grams[new, :2])
             yield batch_of(lang, lead, pa.nulls(len(lead), pa.string()), np.add.reduceat(n, new))
@@ -219,12 +223,15 @@ def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, common
         for lang, texts in _by_language(batch).items():
             coded, written_out = _known(words, lang, common, code).grams(tokens(texts), common_pairs)
             if len(coded):
-                held[lang].append(coded)
+                held[lang].append((coded, np.ones(len(coded), np.int64)))
             spelled[lang].update(written_out)
             size += len(coded) + len(written_out)
         if size > _HELD_GRAMS:
-            yield from rows(held, spelled)
-            held, spelled, size = defaultdict(list), defaultdict(Counter), 0
+            held = defaultdict(list, {lang: [_added_up(parts)] for lang, parts in held.items()})
+            size = sum(len(parts[0][1]) for parts in held.values()) + sum(map(len, spelled.values()))
+            if size > _HELD_GRAMS // 2:
+                yield from rows(held, spelled)
+                held, spelled, size = defaultdict(list), defaultdict(Counter), 0
     yield from rows(held, spelled)
 
 
@@ -257,7 +264,9 @@ def graph(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     pairs = texts.mapInArrow(lambda batches: _counted_pairs(batches, common.value), "pair long, n long").groupBy("pair").agg(total)
     common_pairs = spark.sparkContext.broadcast(_bitmap(pairs.where(F.col("n") >= least), "pair"))
 
-    grams = texts.mapInArrow(lambda batches: _counted_grams(batches, common.value, common_pairs.value, code.value), "lang string, lead string, tail string, n long")
+    # the more text a task reads, the more of its grams are equal
+    tasks = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // _SPLITS)
+    grams = texts.coalesce(tasks).mapInArrow(lambda batches: _counted_grams(batches, common.value, common_pairs.value, code.value), "lang string, lead string, tail string, n long")
     return words, written(_spelled(_flows(grams, least), code), "phrases")
 
 

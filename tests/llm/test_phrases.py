@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from areal_exposure.llm import phrases
@@ -51,6 +53,23 @@ def test_against_brute_force(make, monkeypatch, seed, first, coded):
     assert found(make(texts, langs=langs), 5, first) == brute(texts, langs, 5, first)
 
 
+def test_equal_grams_of_a_task_are_handed_on_once(monkeypatch):
+    """They were handed on anew whenever many places had been read."""
+    monkeypatch.setattr(phrases, "_HELD_GRAMS", 40)
+    full = np.full(1 << (phrases._BITS - 6), 2**64 - 1, np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(["a b c d e f"] * 4)], names=["lang", "text"])
+    for code in (phrases.codes(list("abcdef")), {}):
+        rows = [r for b in phrases._counted_grams(iter([batch] * 10), full, full, code) for r in b.to_pylist()]
+        assert sorted(r["n"] for r in rows) == [40] * 9  # five pairs, and one gram of three words or more at four places
+
+
+def test_a_task_reads_several_splits(make, monkeypatch):
+    tasks, flows = [], phrases._flows
+    monkeypatch.setattr(phrases, "_flows", lambda grams, least: tasks.append(grams.rdd.getNumPartitions()) or flows(grams, least))
+    phrases.graph(make(["a b c d e f"] * 300).repartition(100), 5)
+    assert tasks == [25]
+
+
 def test_scores_beyond_64_bits(spark):
     one = spark.sql("SELECT CAST(9e12 AS BIGINT) a, CAST(9e15 AS BIGINT) n, CAST(9e12 AS BIGINT) + 1 l, CAST(9e13 AS BIGINT) + 7 r")
     got = one.select(phrases._score(one.a, one.n, one.l, one.r)).first()[0]
