@@ -17,7 +17,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import batched, count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,14 @@ _END = b","
 _BYTES = bytes(44 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a bitmap.
 _BITS = 25
-#: What a task holds before it hands counts on: distinct words, grams or pairs, and known words.
-_HELD, _HELD_GRAMS, _KNOWN = 500_000, 2_000_000, 500_000
+#: What a task holds before it hands counts on: distinct words, grams or pairs, and known words of all languages.
+_HELD, _HELD_GRAMS, _KNOWN = 500_000, 2_000_000, 200_000
+#: A spelled gram takes the room of so many others.
+_SPELLED = 4
+#: Texts are taken apart up to so many characters at a time, and counts handed on up to so many rows at a time.
+_READ, _ROWS = 1_000_000, 50_000
+#: Pairs and grams are added up in so many parts, so that what sorting takes is a share of what is held.
+_PARTS = 8
 #: A task that counts grams reads up to so many splits of the input, where that leaves two tasks for each core.
 _SPLITS = 4
 #: So many of the commonest words, up to so many bytes long, stand in grams as one character; others are spelled.
@@ -51,11 +57,16 @@ def tokens(texts: list[bytes]) -> list[bytes]:
     return b",".join(texts).translate(_BYTES).replace(_END, b" , ").split()
 
 
-def _by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
-    found = defaultdict(list)
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        found[lang].append(text.encode())
-    return found
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    """Languages with some of their texts, ``_READ`` characters or a single text beyond them at a time."""
+    found, size = defaultdict(list), 0
+    for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+        found[lang.as_py()].append(text.as_py().encode())
+        size += len(text.as_py())
+        if size > _READ:
+            yield from found.items()
+            found, size = defaultdict(list), 0
+    yield from found.items()
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,17 +75,20 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             counts.pop(_END, None)
-            words = [None, *(w.decode() for w in counts)]
-            n = [sum(counts.values()), *counts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            yield batch_of(lang, [None], [sum(counts.values())])
+            for part in batched(counts.items(), _ROWS):
+                yield batch_of(lang, [w.decode() for w, _ in part], [n for _, n in part])
+
+    def batch_of(lang: str, words: list[str | None], n: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     held = defaultdict(Counter)
     for batch in batches:
-        for lang, texts in _by_language(batch).items():
+        for lang, texts in _by_language(batch):
             held[lang].update(tokens(texts))
-        if sum(map(len, held.values())) > _HELD:
-            yield from rows(held)
-            held = defaultdict(Counter)
+            if sum(map(len, held.values())) > _HELD:
+                yield from rows(held)
+                held = defaultdict(Counter)
     yield from rows(held)
 
 
@@ -85,26 +99,26 @@ def codes(words: list[str]) -> dict[bytes, int]:
 
 
 class _Words(dict):
-    """Numbers for the words of a language, with their codes and whether they are common; 0 is the end of a piece."""
+    """Numbers for the common words of a language, with their codes; 0 is the end of a piece, and 1 any other word."""
 
     def __init__(self, lang: str, common: np.ndarray, code: dict[bytes, int]):
         super().__init__()
         self.lead, self.common, self.code = lang.encode() + b"\t", common, code
-        self.codes, self.hashes, self.allowed = array("I", [0]), array("Q", [0]), array("B", [0])
+        self.codes, self.hashes = array("I", [0, 0]), array("Q", [0, 0])
         self[_END] = 0
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.codes)
-        self.codes.append(self.code.get(word, 0))
         h = xxhash.xxh64_intdigest(self.lead + word, _SEED)
-        self.hashes.append(h)
-        self.allowed.append(_has(self.common, h))
+        number = self[word] = len(self.codes) if _has(self.common, h) else 1
+        if number > 1:
+            self.codes.append(self.code.get(word, 0))
+            self.hashes.append(h)
         return number
 
     def pairs(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words' numbers, where two common words stand side by side in a piece, and the hashes of these pairs."""
         numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        allowed = np.array(self.allowed, np.bool_)[numbers]
+        allowed = numbers > 1
         hashes = np.array(self.hashes, np.uint64)[numbers]
         at = np.flatnonzero(allowed[:-1] & allowed[1:])
         first, second = hashes[at], hashes[at + 1]
@@ -134,7 +148,9 @@ class _Words(dict):
 
 
 def _known(held: dict[str, _Words], lang: str, common: np.ndarray, code: dict[bytes, int]) -> _Words:
-    if lang not in held or len(held[lang]) > _KNOWN:
+    if sum(map(len, held.values())) > _KNOWN:
+        held.clear()
+    if lang not in held:
         held[lang] = _Words(lang, common, code)
     return held[lang]
 
@@ -152,32 +168,47 @@ def _have(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _counted_pairs(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """pair (hash) and n."""
 
-    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+    def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k in range(_PARTS):
+            pairs, n = np.unique(np.concatenate([p[p % np.uint64(_PARTS) == k] for p in parts]), return_counts=True)
+            for i in range(0, len(pairs), _ROWS):
+                part = slice(i, i + _ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["pair", "n"])
 
     words, parts, size = {}, [], 0
     for batch in batches:
-        for lang, texts in _by_language(batch).items():
+        for lang, texts in _by_language(batch):
             parts.append(_known(words, lang, common, {}).pairs(tokens(texts))[2])
             size += len(parts[-1])
-        if size > _HELD_GRAMS:
-            yield rows(parts)
-            parts, size = [], 0
+            if size > _HELD_GRAMS:
+                yield from rows(parts)
+                parts, size = [], 0
     if size:
-        yield rows(parts)
+        yield from rows(parts)
+
 
+#: Grams in two numbers, of their first three codes and of the others, and how often each is there.
+_Grams = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of codes, in order, and the sums of their counts."""
-    rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+def _packed(rows: np.ndarray) -> _Grams:
     wide = rows.astype(np.uint64)
     first = wide[:, 0] << np.uint64(42) | wide[:, 1] << np.uint64(21) | wide[:, 2]
-    second = wide[:, 3] << np.uint64(21) | wide[:, 4]
+    return first, wide[:, 3] << np.uint64(21) | wide[:, 4], np.ones(len(rows), np.int64)
+
+
+def _unpacked(*packed: tuple[np.ndarray, int]) -> np.ndarray:
+    """Rows of codes, from numbers with how many codes each holds."""
+    return np.stack([numbers >> np.uint64(21 * k) & np.uint64((1 << 21) - 1) for numbers, codes in packed for k in reversed(range(codes))], axis=1).astype(np.uint32)
+
+
+def _added_up(parts: list[_Grams]) -> _Grams:
+    """Distinct grams, in order, and the sums of their counts."""
+    first, second, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
     new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-    return rows[order[new]], np.add.reduceat(n[order], new)
+    return first[new], second[new], np.add.reduceat(n[order], new)
 
 
 def _spaced(rows: np.ndarray) -> pa.Array:
@@ -193,45 +224,51 @@ def _counted_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray, common
     """lang, lead (first three words), tail (the rest) and n of the longest grams; under a null tail, the flow out of pairs.
 
     Grams come in order, so the flow out of their pairs is a sum over neighbours. A gram of two words is only in that.
-    What is held is added up first, and handed on only where the distinct grams are too many.
+    What is held is added up first, apart by its first words, and handed on only where the distinct grams are too many.
     """
 
     def batch_of(lang: str, lead: pa.Array, tail: pa.Array, n: np.ndarray | list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(lead), pa.string()), lead, tail, pa.array(n, pa.int64())], names=["lang", "lead", "tail", "n"])
 
-    def rows(held: dict[str, list[tuple[np.ndarray, np.ndarray]]], spelled: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            grams, n = _added_up(parts)
-            new = np.flatnonzero(np.concatenate(([True], (grams[1:, :2] != grams[:-1, :2]).any(axis=1))))
-            lead = _spaced(grams[new, :2])
-            yield batch_of(lang, lead, pa.nulls(len(lead), pa.string()), np.add.reduceat(n, new))
-            grams, n = grams[grams[:, 2] > 0], n[grams[:, 2] > 0]
-            for i in range(0, len(grams), 100_000):
-                part = grams[i : i + 100_000]
-                yield batch_of(lang, _spaced(part[:, :3]), _spaced(part[:, 3:]), n[i : i + 100_000])
+    def rows(held: dict[tuple[str, int], list[_Grams]], spelled: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, _), parts in held.items():
+            first, second, n = _added_up(parts)
+            pair = first >> np.uint64(21)
+            new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            flow = np.add.reduceat(n, new)
+            for i in range(0, len(new), _ROWS):
+                lead = _spaced(_unpacked((pair[new[i : i + _ROWS]], 2)))
+                yield batch_of(lang, lead, pa.nulls(len(lead), pa.string()), flow[i : i + _ROWS])
+            longer = np.flatnonzero(first & np.uint64((1 << 21) - 1))
+            for i in range(0, len(longer), _ROWS):
+                part = longer[i : i + _ROWS]
+                yield batch_of(lang, _spaced(_unpacked((first[part], 3))), _spaced(_unpacked((second[part], 2))), n[part])
         for lang, counts in spelled.items():
             pairs = Counter()
             for gram, n in counts.items():
-                pairs[" ".join(gram.split(" ")[:2])] += n
-            yield batch_of(lang, pa.array(pairs, pa.string()), pa.nulls(len(pairs), pa.string()), list(pairs.values()))
-            longer = [(g.split(" "), n) for g, n in counts.items() if g.count(" ") > 1]
-            lead, tail = (pa.array([" ".join(w) for w in words], pa.string()) for words in ([g[:3] for g, _ in longer], [g[3:] for g, _ in longer]))
-            yield batch_of(lang, lead, tail, [n for _, n in longer])
+                pairs[" ".join(gram.split(" ", 2)[:2])] += n
+            for part in batched(pairs.items(), _ROWS):
+                yield batch_of(lang, pa.array([p for p, _ in part], pa.string()), pa.nulls(len(part), pa.string()), [n for _, n in part])
+            for part in batched(((g.split(" "), n) for g, n in counts.items() if g.count(" ") > 1), _ROWS):
+                lead, tail = (pa.array([" ".join(w) for w in words], pa.string()) for words in ([g[:3] for g, _ in part], [g[3:] for g, _ in part]))
+                yield batch_of(lang, lead, tail, [n for _, n in part])
 
     words, held, spelled, size = {}, defaultdict(list), defaultdict(Counter), 0
     for batch in batches:
-        for lang, texts in _by_language(batch).items():
+        for lang, texts in _by_language(batch):
             coded, written_out = _known(words, lang, common, code).grams(tokens(texts), common_pairs)
-            if len(coded):
-                held[lang].append((coded, np.ones(len(coded), np.int64)))
+            for k in range(_PARTS):
+                if len(part := coded[coded[:, 0] % _PARTS == k]):
+                    held[lang, k].append(_packed(part))
             spelled[lang].update(written_out)
-            size += len(coded) + len(written_out)
-        if size > _HELD_GRAMS:
-            held = defaultdict(list, {lang: [_added_up(parts)] for lang, parts in held.items()})
-            size = sum(len(parts[0][1]) for parts in held.values()) + sum(map(len, spelled.values()))
-            if size > _HELD_GRAMS // 2:
-                yield from rows(held, spelled)
-                held, spelled, size = defaultdict(list), defaultdict(Counter), 0
+            size += len(coded) + _SPELLED * len(written_out)
+            if size > _HELD_GRAMS // 4:
+                for key, parts in held.items():
+                    held[key] = [_added_up(parts)]
+                size = 0
+                if sum(len(parts[0][2]) for parts in held.values()) + _SPELLED * sum(map(len, spelled.values())) > _HELD_GRAMS // 2:
+                    yield from rows(held, spelled)
+                    held, spelled = defaultdict(list), defaultdict(Counter)
     yield from rows(held, spelled)
 
 

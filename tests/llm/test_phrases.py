@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,47 @@ def test_equal_grams_of_a_task_are_handed_on_once(monkeypatch):
         assert sorted(r["n"] for r in rows) == [40] * 9  # five pairs, and one gram of three words or more at four places
 
 
+def test_what_a_task_holds_is_bounded_over_all_languages(monkeypatch):
+    """Each language held as many words as all may together, rare words too."""
+    monkeypatch.setattr(phrases, "_KNOWN", 100)
+    none, held = np.zeros(1 << (phrases._BITS - 6), np.uint64), {}
+    for i in range(8):
+        known = phrases._known(held, f"l{i}", none, {})
+        known.pairs([b"w%d" % k for k in range(60)])
+        assert len(known.codes) == 2
+    assert sum(map(len, held.values())) <= 100 + 61
+
+
+def test_memory_of_a_task():
+    """Sorting took several times what was held, and a task handed all it held on at once."""
+    full = np.full(1 << (phrases._BITS - 6), 2**64 - 1, np.uint64)
+    code = phrases.codes([f"w{i}" for i in range(2000)])
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(2000)], k=5000)) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"]) for text in texts]
+
+    def peak(made):
+        tracemalloc.start()
+        rows = [(len(b), sum(n for n, x in zip(b["n"].to_pylist(), b.column(b.num_columns - 2).to_pylist(), strict=True) if type(x) is not str)) for b in made]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(n for _, n in rows) == 60 * 4999  # all pairs
+        assert max(n for n, _ in rows) <= 50_000
+        return most / 1e6
+
+    assert peak(phrases._counted_pairs(iter(batches), full)) < 12
+    assert peak(phrases._counted_grams(iter(batches), full, full, code)) < 35
+
+
+def test_long_texts_are_taken_apart_bit_by_bit(make, monkeypatch):
+    monkeypatch.setattr(phrases, "_READ", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr", "en", "en", "en"]), pa.array(["a" * 30, "b" * 30, "c" * 40, "d" * 20, ""])], names=["lang", "text"])
+    assert list(phrases._by_language(batch)) == [("en", [b"a" * 30]), ("fr", [b"b" * 30]), ("en", [b"c" * 40, b"d" * 20]), ("en", [b""])]
+    monkeypatch.setattr(phrases, "_ROWS", 3)
+    texts = ["a b c a b d e a b. f g h i j k l"] * 8
+    assert found(make(texts), 5, 10) == brute(texts, ["en"] * 8, 5, 10)
+
+
 def test_a_task_reads_several_splits(make, monkeypatch):
     tasks, flows = [], phrases._flows
     monkeypatch.setattr(phrases, "_flows", lambda grams, least: tasks.append(grams.rdd.getNumPartitions()) or flows(grams, least))
